@@ -93,8 +93,10 @@ def split_pages(spark, sf_dir):
     FROM terms JOIN freq USING (owner, term) JOIN sizes USING (owner) GROUP BY ALL""")
 def ngram_weights(spark, sf_dir):
     chunks = index_chunks(spark, sf_dir)
-    terms = retrieval.postings(chunks, ["owner", *CHUNK_KEY], "content")
-    frequency = retrieval.term_statistics(terms, ["owner"]).join(retrieval.scope_sizes(chunks, ["owner"]), "owner")
+    spread = retrieval.spread_texts(chunks, ["owner", *CHUNK_KEY], "content")
+    terms = retrieval.postings(spread, ["owner", *CHUNK_KEY], "content")
+    sizes = retrieval.scope_sizes(spread, ["owner"], "content")
+    frequency = retrieval.term_statistics(terms, ["owner"]).join(sizes, "owner")
     idf = F.log((F.col("n_chunks") + 2) / (F.col("df") + 1)) + 1
     return (
         terms.join(frequency.select("owner", "term", idf.alias("idf")), ["owner", "term"])
@@ -112,8 +114,10 @@ def ngram_weights(spark, sf_dir):
     JOIN (SELECT doc_type, count(*) AS n FROM chunks GROUP BY doc_type) USING (doc_type) GROUP BY doc_type, term""")
 def scope_term_stats(spark, sf_dir):
     chunks = index_chunks(spark, sf_dir)
-    terms = retrieval.postings(chunks, ["doc_type", *CHUNK_KEY], "content")
-    return retrieval.term_statistics(terms, ["doc_type"]).join(retrieval.scope_sizes(chunks, ["doc_type"]), "doc_type")
+    spread = retrieval.spread_texts(chunks, ["doc_type", *CHUNK_KEY], "content")
+    terms = retrieval.postings(spread, ["doc_type", *CHUNK_KEY], "content")
+    sizes = retrieval.scope_sizes(spread, ["doc_type"], "content")
+    return retrieval.term_statistics(terms, ["doc_type"]).join(sizes, "doc_type")
 
 
 OWNER_SEARCH = f"WITH {view_sql('docs', 'asked')}, chunks AS {INDEX_SQL}, "
