@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("retrieval",)
+FAMILIES = ("retrieval", "pages", "markdown")
 
 
 def load_all() -> None:
