@@ -53,6 +53,12 @@ def compact(value: Column | str) -> Column:
     return F.regexp_replace(F.lower(as_column(value)), rf"{BLANK}+", "")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once. A plain column used inside a lambda is
+    computed again for every element; a lambda argument is not."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def contains_any(value: Column, words: tuple[str, ...] | list[str]) -> Column:
     found = F.lit(False)
     for word in words:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tessaly.functions import vocabulary as V
 from tessaly.functions.text import (
     BLANK, PAGE_ANCHOR, as_column, bare_key, blank_to_null, blocks, clean_heading, compact, contains_any, dollar_math,
-    folded_space, remove_all, single_spaced, strip, unquoted,
+    folded_space, let, remove_all, single_spaced, strip, unquoted,
 )
 
 IMAGE = r"!\[[^\]]*\]\([^)]*\)"
@@ -45,16 +45,20 @@ def left_stripped(value: Column) -> Column:
 
 def dedupe_blocks(body: Column) -> Column:
     """Later repeats of long prose blocks dropped; headings, anchors, code and tables stay."""
-    pieces = blocks(strip(body))
-    keys = F.transform(pieces, block_key)
 
-    def keep(piece: Column, at: Column) -> Column:
-        key = F.get(keys, at)
-        protected = starts_with_any(left_stripped(piece), ("#", "<!-- page:", "```", "|"))
-        return protected | (F.length(key) < 30) | (F.array_position(keys, key) == at + 1)
+    def kept(pieces: Column, keys: Column) -> Column:
+        def keep(piece: Column, at: Column) -> Column:
+            protected = starts_with_any(left_stripped(piece), ("#", "<!-- page:", "```", "|"))
+            new = let(F.get(keys, at), lambda key: (F.length(key) < 30) | (F.array_position(keys, key) == at + 1))
+            return protected | new
 
-    kept = F.array_join(F.transform(F.filter(pieces, keep), strip), "\n\n")
-    return strip(unquoted(dollar_math(kept)))
+        return F.array_join(F.transform(F.filter(pieces, keep), strip), "\n\n")
+
+    joined = let(
+        blocks(strip(body)),
+        lambda pieces: let(F.transform(pieces, block_key), lambda keys: kept(pieces, keys)),
+    )
+    return strip(unquoted(dollar_math(joined)))
 
 
 def repeated_block_count(body: Column) -> Column:
@@ -75,23 +79,31 @@ def squeezed_closing() -> list[str]:
 def drop_closing_pages(body: Column) -> Column:
     """Pages holding only a closing phrase vanish; elsewhere short closing blocks do."""
     words = squeezed_closing()
-    segments = F.split(body, PAGE_ANCHOR, -1)
     numbers = found(body, PAGE_ANCHOR, 1)
 
-    def page(number: Column, at: Column) -> Column:
-        segment = F.get(segments, at + 1)
-        plain = bare_key(F.regexp_replace(segment, IMAGE, ""))
-        only_closing = contains_any(plain, words) & (F.length(remove_all(plain, words)) <= 8)
-        kept = F.filter(
-            blocks(segment),
-            lambda b: ~((F.length(bare_key(b)) <= 52) & contains_any(bare_key(b), words)),
+    def closing_block(block: Column) -> Column:
+        return let(bare_key(block), lambda key: (F.length(key) <= 52) & contains_any(key, words))
+
+    def only_closing(segment: Column) -> Column:
+        return let(
+            bare_key(F.regexp_replace(segment, IMAGE, "")),
+            lambda key: contains_any(key, words) & (F.length(remove_all(key, words)) <= 8),
         )
-        return F.when(only_closing, "").otherwise(
+
+    def page(number: Column, segment: Column) -> Column:
+        kept = F.filter(blocks(segment), lambda b: ~closing_block(b))
+        return F.when(only_closing(segment), "").otherwise(
             F.concat(F.lit("<!-- page:"), number, F.lit(" -->"), F.array_join(kept, "\n\n"))
         )
 
-    cleaned = strip(F.concat(F.get(segments, F.lit(0)), F.array_join(F.transform(numbers, page), "")))
-    return F.when(F.size(numbers) == 0, body).otherwise(cleaned)
+    cleaned = let(
+        F.split(body, PAGE_ANCHOR, -1),
+        lambda segments: F.concat(
+            F.get(segments, F.lit(0)),
+            F.array_join(F.zip_with(numbers, F.slice(segments, F.lit(2), F.size(segments)), page), ""),
+        ),
+    )
+    return F.when(F.size(numbers) == 0, body).otherwise(strip(cleaned))
 
 
 def heading_outline(body: Column) -> Column:
@@ -154,37 +166,43 @@ def split_units(docs: DataFrame) -> DataFrame:
     Text before the first chapter joins the first chapter, text before the first unit of a
     chapter joins that unit. A chapter without units is one unit of its own title.
     """
-    source = strip("body")
-    cuts = _pieces(source, CHAPTER_CUT)
-    lead_in = F.when(F.get(cuts, F.lit(0)).rlike(rf"(?d)^##(?!#){BLANK}+."), F.lit(0)).otherwise(F.lit(1))
-    chapters = F.slice(cuts, lead_in + 1, F.size(cuts))
-    preamble = F.when(lead_in == 1, strip(F.get(cuts, F.lit(0)))).otherwise(F.lit(""))
+
+    def chapter_list(cuts: Column) -> Column:
+        headed = F.get(cuts, F.lit(0)).rlike(rf"(?d)^##(?!#){BLANK}+.")
+        chapters = F.when(headed, cuts).otherwise(F.slice(cuts, F.lit(2), F.size(cuts)))
+        preamble = F.when(headed, F.lit("")).otherwise(strip(F.get(cuts, F.lit(0))))
+        return F.transform(
+            chapters,
+            lambda text, at: F.struct(F.when(at == 0, preamble).otherwise("").alias("pre"), text.alias("text")),
+        )
+
     chapter_rows = (
-        docs.filter(F.size(found(source, LEVEL2, 1)) > 0)
-        .select("*", preamble.alias("_pre"), F.posexplode(chapters).alias("chapter_no", "_chapter"))
-        .withColumn("group_title", clean_heading(F.regexp_extract("_chapter", LEVEL2, 1)))
-        .withColumn("_text", strip(F.regexp_replace("_chapter", rf"(?d)^##(?!#){BLANK}+[^\n]+", "")))
+        docs.select("*", F.posexplode(let(_pieces(strip("body"), CHAPTER_CUT), chapter_list)).alias("chapter_no", "_c"))
+        .withColumn("group_title", clean_heading(F.regexp_extract("_c.text", LEVEL2, 1)))
+        .withColumn("_own", strip(F.regexp_replace("_c.text", rf"(?d)^##(?!#){BLANK}+[^\n]+", "")))
         .withColumn(
             "_text",
-            F.when((F.col("chapter_no") == 0) & (F.col("_pre") != ""), strip(F.concat("_pre", F.lit("\n\n"), "_text")))
-            .otherwise(F.col("_text")),
+            F.when(F.col("_c.pre") != "", strip(F.concat("_c.pre", F.lit("\n\n"), "_own"))).otherwise(F.col("_own")),
         )
     )
-    parts = _pieces(F.col("_text"), UNIT_CUT)
     has_units = F.size(found(F.col("_text"), LEVEL3, 1)) > 0
-    first_is_unit = F.get(parts, F.lit(0)).rlike(rf"(?d)^###(?!#){BLANK}+.")
-    offset = F.when(first_is_unit, 0).otherwise(1)
-    prefix = F.when(first_is_unit, F.lit("")).otherwise(strip(F.get(parts, F.lit(0))))
-
-    def unit(part: Column, at: Column) -> Column:
-        title = clean_heading(F.regexp_extract(part, LEVEL3, 1))
-        text = strip(part)
-        led = F.when((at == 0) & (prefix != ""), F.concat(prefix, F.lit("\n\n"), text)).otherwise(text)
-        return F.struct(title.alias("title"), led.alias("text"))
-
-    units = F.when(has_units, F.transform(F.slice(parts, offset + 1, F.size(parts)), unit)).otherwise(
-        F.array(F.struct(F.col("group_title").alias("title"), F.col("_text").alias("text")))
-    )
+
+    def unit_list(parts: Column) -> Column:
+        first_is_unit = F.get(parts, F.lit(0)).rlike(rf"(?d)^###(?!#){BLANK}+.")
+        prefix = F.when(first_is_unit, F.lit("")).otherwise(strip(F.get(parts, F.lit(0))))
+        own = F.when(first_is_unit, parts).otherwise(F.slice(parts, F.lit(2), F.size(parts)))
+
+        def listed(before: Column) -> Column:
+            def unit(part: Column, at: Column) -> Column:
+                led = F.when((at == 0) & (before != ""), F.concat(before, F.lit("\n\n"), strip(part))).otherwise(strip(part))
+                return F.struct(clean_heading(F.regexp_extract(part, LEVEL3, 1)).alias("title"), led.alias("text"))
+
+            return F.transform(own, unit)
+
+        return let(prefix, listed)
+
+    whole = F.array(F.struct(F.col("group_title").alias("title"), F.col("_text").alias("text")))
+    units = F.when(has_units, let(_pieces(F.col("_text"), UNIT_CUT), unit_list)).otherwise(whole)
     keep = [c for c in docs.columns if c != "body"]
     return chapter_rows.select(*keep, "chapter_no", "group_title", units.alias("units"), has_units.alias("has_units"))
 
@@ -354,12 +372,17 @@ def repack(children: DataFrame) -> DataFrame:
 def paragraph_context(body: Column, selected: Column) -> Column:
     """The block holding the selection with one block on each side, else the selection."""
     parts = F.filter(F.transform(F.split(body, rf"\n{BLANK}*\n", -1), strip), lambda b: b != "")
-    probe = F.substring(strip(single_spaced(selected)), 1, 80)
-    hits = F.transform(parts, lambda b: (probe != "") & single_spaced(b).contains(probe))
-    at = F.array_position(hits, F.lit(True)).cast("int")
-    first = F.greatest(F.lit(1), at - 1)
-    around = F.array_join(F.slice(parts, first, F.when(at == 1, 2).otherwise(3)), "\n\n")
-    return F.when(at == 0, selected).otherwise(around)
+
+    def around(blocks_: Column, probe: Column) -> Column:
+        hits = F.transform(blocks_, lambda b: (probe != "") & single_spaced(b).contains(probe))
+        return let(
+            F.array_position(hits, F.lit(True)).cast("int"),
+            lambda at: F.when(at == 0, selected).otherwise(
+                F.array_join(F.slice(blocks_, F.greatest(F.lit(1), at - 1), F.when(at == 1, 2).otherwise(3)), "\n\n")
+            ),
+        )
+
+    return let(parts, lambda found_: let(F.substring(strip(single_spaced(selected)), 1, 80), lambda probe: around(found_, probe)))
 
 
 def _position(body: Column, selected: Column) -> Column:
@@ -374,29 +397,36 @@ def _position(body: Column, selected: Column) -> Column:
 
 def section_context(body: Column, selected: Column) -> Column:
     """From the nearest heading at or before the selection to the next of the same or a higher level."""
-    at = _position(body, selected)
-    pieces = F.split(body, rf"(?md)(?=^#{{1,4}}{BLANK}+.)", -1)
     level = lambda piece: F.length(F.regexp_extract(piece, rf"^(#{{1,4}}){BLANK}+.", 1))
     placed = F.aggregate(
-        pieces,
+        F.split(body, rf"(?md)(?=^#{{1,4}}{BLANK}+.)", -1),
         F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<start:int,level:int>>").alias("seen")),
         lambda acc, piece: F.struct(
             (acc["next"] + F.length(piece)).alias("next"),
             F.concat(acc["seen"], F.array(F.struct(acc["next"].alias("start"), level(piece).alias("level")))).alias("seen"),
         ),
-    )["seen"]
-    headings = F.filter(placed, lambda h: h["level"] > 0)
-    before = F.filter(headings, lambda h: h["start"] <= at)
-    own = F.element_at(before, -1)
-    after = F.filter(headings, lambda h: (h["start"] > own["start"]) & (h["level"] <= own["level"]))
-    end = F.when(F.size(after) > 0, F.get(after, F.lit(0))["start"]).otherwise(F.length(body) + 1)
-    cut = F.substring(F.substring(body, own["start"], end - own["start"]), 1, 14000)
-    return (
-        F.when(at == 0, paragraph_context(body, selected))
-        .when(F.size(before) == 0, F.substring(body, 1, 7000))
-        .otherwise(cut)
+        lambda acc: F.filter(acc["seen"], lambda h: h["level"] > 0),
     )
 
+    def from_heading(headings: Column, own: Column) -> Column:
+        after = F.filter(headings, lambda h: (h["start"] > own["start"]) & (h["level"] <= own["level"]))
+        end = F.coalesce(F.get(after, F.lit(0))["start"], F.length(body) + 1)
+        return F.substring(F.substring(body, own["start"], end - own["start"]), 1, 14000)
+
+    def at_place(at: Column) -> Column:
+        cut = let(
+            placed,
+            lambda headings: let(
+                F.filter(headings, lambda h: h["start"] <= at),
+                lambda before: F.when(F.size(before) == 0, F.substring(body, 1, 7000)).otherwise(
+                    let(F.get(before, F.size(before) - 1), lambda own: from_heading(headings, own))
+                ),
+            ),
+        )
+        return F.when(at == 0, paragraph_context(body, selected)).otherwise(cut)
+
+    return let(_position(body, selected), at_place)
+
 
 def span_context(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """Text of an anchored range with 120 characters on each side. Invalid ranges are flagged."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessaly.functions import vocabulary as V
-from tessaly.functions.text import bare_key, contains_any, count_present, lines, ordered_join, single_spaced, strip
+from tessaly.functions.text import bare_key, contains_any, count_present, let, lines, ordered_join, single_spaced, strip
 from tessaly.operators.segmented import latest_at, ranked
 
 
@@ -58,18 +58,22 @@ def strip_page_boilerplate(pages: DataFrame) -> DataFrame:
 
 def page_role(text: Column, page_no: Column, page_count: Column) -> Column:
     """content, outline or skip. Phrases lose their blanks before the test."""
-    spaced = strip(single_spaced(text))
-    key = bare_key(F.lower(spaced))
     squeezed = lambda words: [w.replace(" ", "") for w in words]
-    metadata = (F.length(key) <= 2100) | contains_any(spaced, V.METADATA_MARKERS)
     early = page_no <= F.least(page_count, F.lit(32))
-    return (
-        F.when(contains_any(key, squeezed(V.CLOSING_TERMS)), "skip")
-        .when(~early, "content")
-        .when(contains_any(key, squeezed(V.OUTLINE_TERMS)), "outline")
-        .when(contains_any(key, squeezed(V.FRONT_MATTER_TERMS)) & metadata, "skip")
-        .when((page_no <= 3) & (F.length(key) <= 550) & ~spaced.rlike(V.TEACHING_SIGNAL), "skip")
-        .otherwise("content")
+
+    def judge(spaced: Column, key: Column) -> Column:
+        metadata = (F.length(key) <= 2100) | contains_any(spaced, V.METADATA_MARKERS)
+        return (
+            F.when(contains_any(key, squeezed(V.CLOSING_TERMS)), "skip")
+            .when(~early, "content")
+            .when(contains_any(key, squeezed(V.OUTLINE_TERMS)), "outline")
+            .when(contains_any(key, squeezed(V.FRONT_MATTER_TERMS)) & metadata, "skip")
+            .when((page_no <= 3) & (F.length(key) <= 550) & ~spaced.rlike(V.TEACHING_SIGNAL), "skip")
+            .otherwise("content")
+        )
+
+    return let(
+        strip(single_spaced(text)), lambda spaced: let(bare_key(F.lower(spaced)), lambda key: judge(spaced, key))
     )
 
 

@@ -98,9 +98,9 @@ CHAPTER_CUT = f"string_split(regexp_replace(body, '(?m)^(##{WS}+.)', chr(1) || '
 
 @query("d12_chapter_body", rf"""{MD}, {OUTLINE},
     cut AS (SELECT id, body, hs[1] AS title, {CHAPTER_CUT} AS cs FROM outlines),
-    matched AS (SELECT *, list_position(list_transform(cs, lambda c: regexp_matches(c, '^##{WS}') AND {strip_sql(f"regexp_extract(c, '^##{WS}+([^\\n]*)', 1)")} = title), true) AS pos FROM cut),
+    matched AS (SELECT *, list_position(list_transform(cs, lambda c: regexp_matches(c, '^##{WS}+[^\n]*\n') AND {strip_sql(f"regexp_extract(c, '^##{WS}+([^\\n]*)', 1)")} = title), true) AS pos FROM cut),
     texts AS (SELECT *, CASE WHEN pos > 0 THEN {strip_sql("regexp_replace(cs[pos], '^[^\\n]*\\n?', '')")} ELSE '' END AS chapter FROM matched)
-    SELECT id, title, chapter, CASE WHEN pos > 0 THEN concat(array_to_string(cs[1:pos - 1], ''), regexp_extract(cs[pos], '^[^\n]*\n'), chr(10), 'repaired ', id, {NL2}, array_to_string(cs[pos + 1:], ''))
+    SELECT id, title, chapter, CASE WHEN pos > 0 THEN concat(array_to_string(cs[1:pos - 1], ''), regexp_extract(cs[pos], '^[^\n]*{WS}*\n'), chr(10), 'repaired ', id, {NL2}, array_to_string(cs[pos + 1:], ''))
       ELSE body END AS repaired FROM texts""")
 def chapter(spark, sf_dir):
     docs = view(spark, sf_dir, "markdown").select("id", "body", M.heading_outline(F.col("body"))[0].alias("title"))
