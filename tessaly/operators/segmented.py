@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ranked(df: DataFrame, keys: list[str], segment: str, order: list[Column], name: str = "rank") -> DataFrame:
+def ranked(
+    df: DataFrame, keys: list[str], segment: str, order: list[Column], name: str = "rank", descending: bool = False
+) -> DataFrame:
     """row_number() over (partition by keys order by segment, order)."""
     per_segment = df.groupBy(*keys, segment).agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(*keys).orderBy(segment).rowsBetween(Window.unboundedPreceding, -1)
+    direction = F.col(segment).desc() if descending else F.col(segment)
+    before = Window.partitionBy(*keys).orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_segment.select(*keys, segment, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
     local = Window.partitionBy(*keys, segment).orderBy(*order)
     return (
