@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("retrieval", "pages", "markdown", "tasks", "library", "jobs")
+FAMILIES = ("retrieval", "pages", "markdown", "tasks", "library", "jobs", "memory")
 
 
 def load_all() -> None:
