@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("retrieval", "pages", "markdown", "tasks", "library", "jobs", "memory", "recommend", "sources")
+FAMILIES = ("retrieval", "pages", "markdown", "tasks", "library", "jobs", "memory", "recommend", "sources", "streams")
 
 
 def load_all() -> None:
