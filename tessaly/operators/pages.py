@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tessaly.functions import vocabulary as V
 from tessaly.functions.text import bare_key, contains_any, count_present, let, lines, ordered_join, single_spaced, strip
-from tessaly.operators.segmented import latest_at, ranked
+from tessaly.operators.segmented import latest_at, neighbour, ranked
 
 
 def with_page_count(pages: DataFrame) -> DataFrame:
@@ -145,9 +145,9 @@ def dedupe_chapter_starts(starts: DataFrame) -> DataFrame:
 
 def chapter_ranges(starts: DataFrame, page_counts: DataFrame) -> DataFrame:
     """End page = next start - 1, the last chapter ends with the document."""
-    following = F.lead("page_no").over(Window.partitionBy("doc").orderBy("page_no"))
+    placed = starts.withColumn("block", F.floor(F.col("page_no") / 1000))
     return (
-        starts.withColumn("next_start", following)
+        neighbour(placed, ["doc"], "block", ["page_no"], "page_no", "next_start", 1)
         .join(page_counts, "doc")
         .select(
             "doc", "heading", F.col("page_no").alias("start_page"),
@@ -157,11 +157,11 @@ def chapter_ranges(starts: DataFrame, page_counts: DataFrame) -> DataFrame:
 
 
 def unique_titles(chapters: DataFrame) -> DataFrame:
-    """Second and later chapters of the same title are marked as continued."""
-    nth = F.row_number().over(Window.partitionBy("doc", "title").orderBy("start_page"))
-    return chapters.withColumn("_n", nth).withColumn(
-        "title", F.when(F.col("_n") > 1, F.concat("title", F.lit("（续）"))).otherwise(F.col("title"))
-    ).drop("_n")
+    """Second and later chapters of the same title (start pages differ) are marked as continued."""
+    first = chapters.groupBy("doc", "title").agg(F.min("start_page").alias("_first"))
+    return chapters.join(first, ["doc", "title"]).withColumn(
+        "title", F.when(F.col("start_page") > F.col("_first"), F.concat("title", F.lit("（续）"))).otherwise(F.col("title"))
+    ).drop("_first")
 
 
 def fallback_chapters(page_counts: DataFrame) -> DataFrame:

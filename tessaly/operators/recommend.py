@@ -91,8 +91,8 @@ def _indexed(candidates: DataFrame, kind: str, tiers: Column) -> DataFrame:
     enabled = candidates.filter(F.coalesce("enabled", F.lit(True))).withColumn("cents", F.round(F.col("price") * 100).cast("bigint"))
     if kind == "restaurant":
         # Distances are whole minutes, so the distinct limits (a scalar array) are few.
-        reach = F.transform(F.filter(tiers, lambda t: F.col("distance") <= t), lambda t: t.cast("string"))
-        enabled = enabled.withColumn("_f", listed(F.coalesce(reach, F.array().cast("array<string>"))))
+        reach = F.transform(F.filter(F.col("_tiers"), lambda t: F.col("distance") <= t), lambda t: t.cast("string"))
+        enabled = enabled.withColumn("_tiers", tiers).withColumn("_f", listed(F.coalesce(reach, F.array().cast("array<string>"))))
         fits = F.when(F.size("suitable_for") > 0, F.col("suitable_for")).otherwise(F.array(*[F.lit(x) for x in PARTY_LABELS]))
         enabled = enabled.withColumn("_p", listed(fits))
     else:
