@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessaly.functions.text import strip
-from tessaly.operators.segmented import latest_at, running_sum
+from tessaly.operators.segmented import latest_at, running_sums
 
 ANYTHING = ("随机", "随便")
 NO_SPICE, SPICE_CHARACTER = "不吃辣", "辣"
@@ -140,8 +140,8 @@ def cumulative(rows: DataFrame) -> DataFrame:
     """Counts and weights up to and including each candidate, along the price of its key."""
     banded = rows.withColumn("band", F.floor(F.col("cents") / PRICE_BAND))
     order = [F.col("cents"), F.col("id")]
-    counted = running_sum(banded, ["key"], "band", order, F.lit(1), "count_to")
-    return running_sum(counted, ["key"], "band", order, F.col("units"), "units_to").withColumn("at", F.struct("cents", "id"))
+    totals = {"count_to": F.lit(1), "units_to": F.col("units")}
+    return running_sums(banded, ["key"], "band", order, totals).withColumn("at", F.struct("cents", "id"))
 
 
 def stage_counts(shaped: DataFrame, steps: DataFrame) -> DataFrame:

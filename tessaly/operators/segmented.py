@@ -30,23 +30,30 @@ def ranked(
     )
 
 
-def running_sum(
-    df: DataFrame, keys: list[str], segment: str, order: list[Column], value: Column, name: str
+def running_sums(
+    df: DataFrame, keys: list[str], segment: str, order: list[Column], values: dict[str, Column]
 ) -> DataFrame:
-    """sum(value) over (partition by keys order by segment, order rows up to the current one)."""
-    valued = df.withColumn("_value", value)
-    per_segment = valued.groupBy(*keys, segment).agg(F.sum("_value").alias("_total"))
+    """sum(value) over (partition by keys order by segment, order rows up to the current one),
+    for several values in one pass."""
+    valued = df.select("*", *[value.alias(f"_v_{name}") for name, value in values.items()])
+    per_segment = valued.groupBy(*keys, segment).agg(*[F.sum(f"_v_{name}").alias(f"_t_{name}") for name in values])
     before = Window.partitionBy(*keys).orderBy(segment).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_segment.select(*keys, segment, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    offsets = per_segment.select(
+        *keys, segment, *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_b_{name}") for name in values]
+    )
     local = Window.partitionBy(*keys, segment).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        valued.withColumn("_local", F.sum("_value").over(local))
-        .join(offsets, keys + [segment])
-        .withColumn(name, F.col("_before") + F.col("_local"))
-        .drop("_local", "_before", "_value")
+    summed = valued.select("*", *[F.sum(f"_v_{name}").over(local).alias(f"_l_{name}") for name in values])
+    return summed.join(offsets, keys + [segment]).select(
+        *df.columns, *[(F.col(f"_b_{name}") + F.col(f"_l_{name}")).alias(name) for name in values]
     )
 
 
+def running_sum(
+    df: DataFrame, keys: list[str], segment: str, order: list[Column], value: Column, name: str
+) -> DataFrame:
+    return running_sums(df, keys, segment, order, {name: value})
+
+
 def neighbour(
     df: DataFrame, keys: list[str], segment: str, order: list[str], value: str, name: str, step: int = -1
 ) -> DataFrame:
