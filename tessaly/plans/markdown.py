@@ -243,7 +243,19 @@ def reading_context(spark, sf_dir):
     )
 
 
-@query("d19_section_context")
+CUT_SQL = r"string_split(regexp_replace(body, '(?m)^(#{1,4}@+.)', chr(1) || '\1', 'g'), chr(1))".replace("@", WS)
+LEVEL_SQL = r"len(regexp_extract(p, '^(#{1,4})@+.', 1))".replace("@", WS)
+
+
+@query("d19_section_context", f"""{MD}, picked AS (SELECT id, body, {SELECTED} AS sel FROM markdown),
+    cut AS (SELECT id, body, sel, CASE WHEN sel = '' THEN 1 ELSE strpos(body, sel) END AS loc, {CUT_SQL} AS ps FROM picked),
+    pieces AS (SELECT id, loc, unnest(ps) AS p, unnest(range(len(ps))) AS n FROM cut),
+    heads AS (SELECT id, loc, {LEVEL_SQL} AS lvl, 1 + coalesce(sum(len(p)) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM pieces),
+    own AS (SELECT id, max(st) AS st FROM heads WHERE lvl > 0 AND st <= loc GROUP BY id),
+    levelled AS (SELECT o.id, o.st, h.lvl FROM own o JOIN heads h ON h.id = o.id AND h.st = o.st AND h.lvl > 0),
+    ends AS (SELECT o.id, o.st, min(h.st) AS en FROM levelled o LEFT JOIN heads h ON h.id = o.id AND h.lvl > 0 AND h.st > o.st AND h.lvl <= o.lvl GROUP BY ALL)
+    SELECT id, CASE WHEN loc = 0 THEN sel WHEN e.st IS NULL THEN substr(body, 1, 7000)
+      ELSE substr(substr(body, CAST(e.st AS BIGINT), CAST(coalesce(en, len(body) + 1) - e.st AS BIGINT)), 1, 14000) END AS section FROM cut LEFT JOIN ends e USING (id)""")
 def section_context(spark, sf_dir):
     docs = view(spark, sf_dir, "markdown").withColumn("sel", F.expr(SELECTED))
     return docs.select("id", M.section_context(F.col("body"), F.col("sel")).alias("section"))
@@ -266,7 +278,17 @@ def spans(spark, sf_dir):
     return M.span_context(view(spark, sf_dir, "docs").select("id", "body"), ranges)
 
 
-@query("d25_outline_tree")
+OUTLINE_ITEMS = r"""rows_of AS (SELECT id, unnest(ls) AS l, unnest(range(len(ls))) AS n FROM (SELECT id, string_split_regex(body, '\r?\n') AS ls FROM markdown)),
+    shaped AS (SELECT id, n, CASE WHEN regexp_matches(l, '^#{1,6}\s+.+') THEN len(regexp_extract(l, '^(#{1,6})\s+', 1)) - 1
+        WHEN regexp_matches(l, '^\s*[-*+]\s+.+') THEN len(regexp_extract(l, '^(\s*)[-*+]\s+', 1)) // 2 + 1 END AS depth,
+      replace(CASE WHEN regexp_matches(l, '^#{1,6}\s+.+') THEN regexp_extract(l, '^#{1,6}\s+(.+)', 1) ELSE regexp_extract(l, '^\s*[-*+]\s+(.+)', 1) END, '**', '') AS label FROM rows_of),
+    items AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS no, depth, label FROM shaped WHERE depth IS NOT NULL),
+    walk AS (SELECT id, no, CAST(NULL AS BIGINT) AS parent, CAST(0 AS BIGINT) AS level, label, [no] AS stack FROM items WHERE no = 0
+      UNION ALL SELECT i.id, i.no, CASE WHEN depth > 0 THEN stack[least(len(stack), depth)] END, least(len(stack), depth), i.label,
+        list_append(stack[1:least(len(stack), depth)], i.no) FROM walk w JOIN items i ON i.id = w.id AND i.no = w.no + 1)"""
+
+
+@query("d25_outline_tree", f"{MD.replace('WITH', 'WITH RECURSIVE', 1)}, {OUTLINE_ITEMS} SELECT id, no, parent, level, label FROM walk")
 def tree(spark, sf_dir):
     return M.outline_tree(view(spark, sf_dir, "markdown").select("id", "body"))
 
