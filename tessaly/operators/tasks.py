@@ -86,7 +86,7 @@ def attach_subtasks(tasks: DataFrame, subtasks: DataFrame) -> DataFrame:
     """
     placed = ranked(
         subtasks.select("task_id", F.col("id").alias("subtask_id"), F.col("title").alias("subtask_title"), F.col("status").alias("subtask_status"))
-        .withColumn("_band", F.floor(F.col("subtask_id") / 100000000)),
+        .withColumn("_band", F.floor(F.col("subtask_id") / 1000000000)),
         ["task_id"], "_band", [F.col("subtask_id")], "position",
     ).drop("_band")
     opened = tasks.filter("status <> 'done'").select("owner", "id", "title")

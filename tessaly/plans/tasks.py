@@ -91,7 +91,7 @@ def with_subtasks(spark, sf_dir):
 def children(spark, sf_dir):
     from tessaly.operators.segmented import ranked
 
-    rows = view(spark, sf_dir, "subtasks").withColumn("band", F.floor(F.col("id") / 100000000))
+    rows = view(spark, sf_dir, "subtasks").withColumn("band", F.floor(F.col("id") / 1000000000))
     return ranked(rows, ["task_id"], "band", [F.col("id")], "position").select("task_id", "id", "position")
 
 

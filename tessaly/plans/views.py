@@ -102,7 +102,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
         "due_day": "CAST(o_orderdate AS DATE)",
     }),
     "subtasks": ("lineitem", {
-        "id": "CAST(l_linenumber AS BIGINT) * 100000000 + l_partkey * 1000 + l_suppkey % 1000",
+        "id": "CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey % 1000 * 10 + CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END",
         "task_id": "l_orderkey",
         "title": "concat('step ', CAST(l_linenumber AS STRING), ' of ', CAST(l_partkey AS STRING))",
         "status": "CASE WHEN l_linestatus = 'F' THEN 'done' ELSE 'open' END",
