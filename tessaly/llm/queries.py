@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaly.llm import hyperminhash, packing, quality_rules, rule_ensemble, sharding, toxicity, winnowing
+from tessaly.llm import arc_warc, html_blocks, hyperminhash, packing, quality_rules, rule_ensemble, sharding, token_counts, toxicity, winnowing
 from tessaly.llm.storage import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,11 +38,26 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query("op3_token_counts")
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), vocabulary())
+
+
 @query("op4_quality_rules")
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(quality_rules.measure(read_table(spark, sf_dir, "documents")))
 
 
+@query("op5_main_text")
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.main_text(read_table(spark, sf_dir, "pages"))
+
+
+@query("op6_arc_to_warc")
+def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc_warc.archive_pages(read_table(spark, sf_dir, "pages"))
+
+
 @query("op7_quality_classifier")
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
