@@ -177,3 +177,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     together = rows.where("n_shingles > 0 and doc_id is not null").join(final, "class").select("doc_id", "n_shingles", F.col("label").alias("component_id"))
     return together.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_documents(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` that are the least of their group, with their own columns. Rows that share an id stay together."""
+    gone = materialise(near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"))
+    return rows.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("gone_id"), "left_anti").select("row.*")

@@ -10,14 +10,15 @@ columns are ignored; an empty table gives no rows. Whole texts are read, however
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessaly.llm.measures import boxed, with_measures
+
 #: Texts below so many bytes, least ratio, largest ratio.
 BANDS = ((256, 0.30, 1.80), (512, 0.30, 0.95), (1024, 0.28, 0.85), (4096, 0.25, 0.75), (16384, 0.20, 0.68), (None, 0.15, 0.62))
 CHUNK = 2048
@@ -76,23 +77,17 @@ def count_text(text: str | None, packer: zstandard.ZstdCompressor) -> tuple:
     )
 
 
-COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_bytes bigint, ratio double, odd_chunks bigint, n_chunks bigint"
+COUNTS = {name: "bigint" for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bytes")} | {"ratio": "double", "odd_chunks": "bigint", "n_chunks": "bigint"}
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the counts of every text."""
-    names = ["doc_id", *(c.split()[0] for c in COUNTS.split(", "))]
+def start_counting() -> Callable[[str | None], tuple]:
+    packer = zstandard.ZstdCompressor(level=LEVEL)
+    return lambda text: count_text(text, packer)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=LEVEL)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                columns = list(zip(*(count_text(t.as_py(), packer) for t in batch.column("text")), strict=True)) or [[]] * 9
-                arrays = [pa.array(c, pa.float64() if n == "ratio" else pa.int64()) for n, c in zip(names[1:], columns, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id bigint, {COUNTS}")
+def measure(rows: DataFrame) -> DataFrame:
+    """Adds the counts of every text."""
+    return with_measures(rows, start_counting, COUNTS)
 
 
 def judge(measured: DataFrame, min_words: int = 50) -> DataFrame:
@@ -103,3 +98,13 @@ def judge(measured: DataFrame, min_words: int = 50) -> DataFrame:
         usual = fits if below is None and usual is None else (F.when(F.col("n_bytes") < below, fits) if usual is None else (usual.otherwise(fits) if below is None else usual.when(F.col("n_bytes") < below, fits)))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & usual & (F.col("odd_chunks") <= F.col("n_chunks") * ODD_CHUNKS))
+
+
+def judge_documents(docs: DataFrame) -> DataFrame:
+    """``doc_id``, the counts, ``base_failed`` and ``kept`` of every document."""
+    return judge(measure(boxed(docs).select("doc_id", "text"))).drop("text")
+
+
+def keep_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept."""
+    return judge(measure(boxed(docs).select("row", "text"))).where("kept").select("row.*")

@@ -45,7 +45,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_quality_rules")
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(quality_rules.measure(read_table(spark, sf_dir, "documents")))
+    return quality_rules.judge_documents(read_table(spark, sf_dir, "documents"))
 
 
 @query("op5_main_text")

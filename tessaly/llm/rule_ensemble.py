@@ -11,17 +11,17 @@ scored alike. Other columns are ignored. Without labels of both classes the scor
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 import zstandard
 from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessaly.llm.labelled import FIT_ROWS, HELD_OUT, fold, labelled_rows
+from tessaly.llm.measures import boxed, with_measures
 from tessaly.llm.quality_rules import LEVEL, count_text
 from tessaly.llm.storage import materialise
 
@@ -49,19 +49,13 @@ def statistics_of(text: str | None, packer: zstandard.ZstdCompressor) -> tuple[f
     )
 
 
-def with_statistics(rows: DataFrame) -> DataFrame:
-    kept = [c for c in rows.columns if c != "text"]
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(kept).schema), *(f"{name} double" for name in STATISTICS)])
+def start_statistics() -> Callable[[str | None], tuple]:
+    packer = zstandard.ZstdCompressor(level=LEVEL)
+    return lambda text: statistics_of(text, packer)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=LEVEL)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                values = np.array([statistics_of(t.as_py(), packer) for t in batch.column("text")], np.float64).reshape(-1, len(STATISTICS))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(v) for v in values.T)], [*kept, *STATISTICS])
 
-    return rows.select(*kept, "text").mapInArrow(run, schema)
+def with_statistics(rows: DataFrame) -> DataFrame:
+    return with_measures(rows, start_statistics, dict.fromkeys(STATISTICS, "double"))
 
 
 def extract_rules(forest: RandomForestClassificationModel) -> list[Rule]:
@@ -99,8 +93,6 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[list[
     forest = RandomForestClassifier(numTrees=20, maxDepth=3, maxBins=64, seed=7, featureSubsetStrategy="0.5").fit(assembled)
     rules = extract_rules(forest)
     matrix = measured.select("label", F.array(*[condition(r).cast("double") for r in rules]).alias("held"))
-    from pyspark.ml.functions import array_to_vector
-
     model = LogisticRegression(elasticNetParam=1.0, regParam=PENALTY, standardization=False, maxIter=60).fit(matrix.select("label", array_to_vector("held").alias("features")))
     return [(r, float(w)) for r, w in zip(rules, model.coefficients.toArray(), strict=True) if w], float(model.intercept)
 
@@ -115,7 +107,7 @@ def compile_rules(rules: list[tuple[Rule, float]], constant: float) -> Column:
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = FIT_ROWS) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every document."""
     fitted = fit(docs, labels, rows)
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = boxed(docs).select("doc_id", "text")
     held = (fold(F.col("doc_id")) == HELD_OUT).alias("held_out")
     if fitted is None:
         share = labels.where(fold(F.col("doc_id")) != HELD_OUT).agg(F.avg("quality")).first()[0] or 0.0

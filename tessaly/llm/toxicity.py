@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tessaly.llm.hyperminhash import shingle_set
 from tessaly.llm.labelled import FIT_ROWS, HELD_OUT, fold, labelled_rows
+from tessaly.llm.measures import boxed, with_measures
 from tessaly.llm.storage import materialise
 
 #: Words for the second person in English, German, French and Spanish.
@@ -100,20 +101,10 @@ def text_features(text: str | None, words_of: frozenset[str], starts_of: frozens
 
 
 def with_features(rows: DataFrame, lexicon: list[str]) -> DataFrame:
-    """``doc_id``, any other column but the text, and the features."""
-    kept = [c for c in rows.columns if c != "text"]
+    """Adds the features of every text."""
     words_of = frozenset(u for u in lexicon if not u.endswith("*"))
     starts_of = frozenset(u[:-1] for u in lexicon if u.endswith("*"))
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(kept).schema), *(f"{name} double" for name in FEATURES)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                values = np.array([text_features(t.as_py(), words_of, starts_of) for t in batch.column("text")], np.float64).reshape(-1, len(FEATURES))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(v) for v in values.T)], [*kept, *FEATURES])
-
-    return rows.select(*kept, "text").mapInArrow(run, schema)
+    return with_measures(rows, lambda: lambda text: text_features(text, words_of, starts_of), dict.fromkeys(FEATURES, "double"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS):
@@ -132,14 +123,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS):
     return lexicon, trees, curve
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = FIT_ROWS) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every document."""
-    lexicon, trees, curve = fit(docs, labels, rows)
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = (fold(F.col("doc_id")) == HELD_OUT).alias("held_out")
+def add_scores(rows: DataFrame, docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """Adds ``score`` to rows with a text; the models are learned from ``docs`` and ``labels``."""
+    lexicon, trees, curve = fit(docs, labels, fit_rows)
     if trees is None:
         share = labels.where(fold(F.col("doc_id")) != HELD_OUT).agg(F.avg("toxic")).first()[0] or 0.0
-        return plain.select("doc_id", held, F.lit(float(share)).alias("score"), F.lit(int(share >= threshold)).alias("predicted"))
-    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_features(plain, lexicon)).select("doc_id", "features")
-    scored = curve.transform(trees.transform(assembled).select("doc_id", vector_to_array("probability")[1].alias("raw")))
-    return scored.select("doc_id", held, F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+        return rows.withColumn("score", F.lit(float(share)))
+    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_features(rows, lexicon)).select(*rows.columns, "features")
+    scored = curve.transform(trees.transform(assembled).withColumn("raw", vector_to_array("probability")[1]))
+    return scored.select(*rows.columns, F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("score"))
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` for every document."""
+    scored = add_scores(boxed(docs).select("doc_id", "text"), docs, labels)
+    return scored.select("doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that are not called toxic."""
+    return add_scores(boxed(docs).select("row", "text"), docs, labels).where(F.col("score") < threshold).select("row.*")

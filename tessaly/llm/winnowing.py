@@ -111,7 +111,7 @@ def covered(document: Column, item: Column, at: Column, window: int) -> Column:
 
 
 def find_hits(docs: DataFrame, items: DataFrame, k: int = 5, window: int = 13, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One row per document: ``doc_id, n_words, places`` (its words inside windows) and ``item_ids`` (sorted strings)."""
+    """One row per document: ``doc_id, text_key, n_words, places`` (its words inside windows) and ``item_ids`` (sorted strings)."""
     known = materialise(item_fingerprints(items, k, window), "items")
     sizes = known.groupBy(F.least(F.size("item_words"), F.lit(window)).alias("n")).count().collect()
     short = sorted(r["n"] for r in sizes if r["n"] < window)
@@ -140,14 +140,24 @@ def find_hits(docs: DataFrame, items: DataFrame, k: int = 5, window: int = 13, b
         F.max("n_words").cast("bigint").alias("n_words"), F.count("n_words").alias("copies"), F.array_sort(F.collect_set("item_id")).alias("item_ids"),
         F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"),
     )
-    return grouped.select("doc_id", "n_words", "places", "item_ids", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy")).drop("copy")
+    return grouped.select("doc_id", "text_key", "n_words", "places", "item_ids", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy")).drop("copy")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, k: int = 5, window: int = 13, share: int = 20, **more: int) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``: contaminated when hits are at least one word in ``share``."""
-    found = find_hits(docs, items, k, window, **more)
+def judged(found: DataFrame, share: int) -> DataFrame:
     hit = F.size("places").cast("bigint")
-    return found.select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size("item_ids").cast("bigint").alias("n_items"),
-        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), ((hit > 0) & (hit * share >= F.col("n_words"))).alias("contaminated"),
+    return found.withColumn("n_hit", hit).withColumn("contaminated", (hit > 0) & (hit * share >= F.col("n_words")))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, k: int = 5, window: int = 13, share: int = 20, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``: contaminated when hits are at least one word in ``share``."""
+    return judged(find_hits(docs, items, k, window, broadcast_rows), share).select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated",
     )
+
+
+def keep_documents(docs: DataFrame, items: DataFrame, k: int = 5, window: int = 13, share: int = 20, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with their own columns."""
+    bad = materialise(judged(find_hits(docs, items, k, window, broadcast_rows), share).where("contaminated").select(F.col("doc_id").alias("bad_id"), "text_key").distinct(), "contaminated")
+    few = bad.count() <= broadcast_rows
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+    return rows.join(F.broadcast(bad) if few else bad, (F.col("key") == F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select("row.*")
