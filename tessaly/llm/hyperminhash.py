@@ -2,15 +2,22 @@
 
 The set of a document holds its different shingles of ``width`` words (fewer words: the whole sequence). Each shingle has
 a 64-bit hash: the upper bits choose one of ``REGISTERS`` buckets, and the least rest in a bucket is stored as its count
-of leading zeros and the next ``MANTISSA`` bits: two bytes a bucket. Neighbouring registers are hashed as bands.
+of leading zeros and the next ``MANTISSA`` bits: two bytes a bucket. An empty bucket takes the register of another one, in an order of
+its own that is the same for all documents; so short documents have full bands too, and registers still agree with
+the chance of the similarity. Neighbouring registers are hashed as bands.
 
 1. Rows with equal sets become one class, known by its least id. Bands of classes meet in buckets.
 2. Every class is paired with the least class of each bucket. Pairs whose sizes or whose collision-corrected estimate
    rule the similarity out are dropped, the rest is confirmed on full sets, and components are formed.
-3. A bucket that still holds several components pairs the classes outside its largest one with all of its classes in
-   other components. So no group emits all its pairs, and yet every pair of a bucket is either linked already or tested.
+3. Buckets that still hold several components are open. In small ones all classes of different components meet. In large
+   ones each class outside the largest component first meets the most central class of it.
+4. In large buckets that are open even then, a shingle is rare if it occurs in one component only or in few classes. Classes of
+   different components that share a rare shingle meet. Two classes that share none have at most their other shingles in
+   common, so they meet only if those are enough for the similarity; a class with too few is ruled out with all
+   others at once. Documents that share one passage and copies with many changes of their own go this way without
+   any pair. So no group emits all its pairs, and yet every pair of a bucket is linked, tested or ruled out.
 
-With 32 bands of 4 registers a pair at similarity 0.75 shares no band with a chance of 5 in a million.
+With 48 bands of 4 registers a pair at similarity 0.75 shares no band with a chance of 1 in 80 million.
 
 Rows without words or text have empty sets and are linked with nothing. Rows that share an id count as one document.
 Null ids are linked with nothing and get a null component. Other columns are ignored; empty tables give no rows.
@@ -29,12 +36,16 @@ from pyspark.sql import functions as F
 from tessaly.llm.components import components
 from tessaly.llm.storage import materialise
 
-REGISTERS = 128
-BUCKET_BITS = 7
+REGISTERS = 256
+BUCKET_BITS = 8
 REST_BITS = 64 - BUCKET_BITS
 MANTISSA = 10
 BAND = 4
-EMPTY = 0xFFFF
+BANDS = 48
+#: Open buckets with more classes are large.
+LARGE_BUCKET = 32
+#: Classes that a rare shingle occurs in at most, if they belong to several components.
+RARE = 16
 #: Estimates are believed to this many standard deviations.
 DEVIATIONS = 5
 #: Ids of classes to verify that are sent to all executors (8 bytes each); more are joined by shuffling.
@@ -49,6 +60,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: For each register the order in which it asks others for a value.
+DONORS = np.argsort(mixed(np.arange(REGISTERS * REGISTERS, dtype=np.uint64) + np.uint64(1)).reshape(REGISTERS, REGISTERS), axis=1)
+
+
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     """Sorted hashes of the different shingles. Words part at ASCII white space; A-Z count as a-z."""
     words = (text or "").encode().lower().split()
@@ -66,16 +81,23 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """Two bytes a register: leading zeros and mantissa of the least rest of each bucket."""
-    registers = np.full(REGISTERS, EMPTY, "<u2")
-    if len(hashes):
-        bucket = (hashes >> np.uint64(REST_BITS)).astype(np.int64)
-        first = np.concatenate(([True], bucket[1:] != bucket[:-1]))
-        rest = hashes[first] & np.uint64((1 << REST_BITS) - 1)
-        zeros = REST_BITS - np.frexp(rest.astype(np.float64))[1]
-        zeros = np.clip(zeros, 0, 62)
-        cut = (rest << (zeros + 1).astype(np.uint64)) & np.uint64((1 << REST_BITS) - 1)
-        registers[bucket[first]] = (zeros << MANTISSA) | (cut >> np.uint64(REST_BITS - MANTISSA)).astype(np.int64)
+    """Two bytes a register: leading zeros and mantissa of the least rest of each bucket, empty ones filled from others.
+    Nothing for an empty set."""
+    if not len(hashes):
+        return b""
+    registers = np.zeros(REGISTERS, "<u2")
+    bucket = (hashes >> np.uint64(REST_BITS)).astype(np.int64)
+    first = np.concatenate(([True], bucket[1:] != bucket[:-1]))
+    rest = hashes[first] & np.uint64((1 << REST_BITS) - 1)
+    zeros = np.clip(REST_BITS - np.frexp(rest.astype(np.float64))[1], 0, 62)
+    cut = (rest << (zeros + 1).astype(np.uint64)) & np.uint64((1 << REST_BITS) - 1)
+    registers[bucket[first]] = (zeros << MANTISSA) | (cut >> np.uint64(REST_BITS - MANTISSA)).astype(np.int64)
+    held = np.zeros(REGISTERS, bool)
+    held[bucket[first]] = True
+    empty = np.flatnonzero(~held)
+    if len(empty):
+        asked = DONORS[empty]
+        registers[empty] = registers[asked[np.arange(len(empty)), held[asked].argmax(axis=1)]]
     return registers.tobytes()
 
 
@@ -120,12 +142,13 @@ def estimated(pairs: DataFrame, threshold: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("a_registers", "b_registers"))
-            held = ((one != EMPTY) | (two != EMPTY)).sum(1)
-            equal = ((one == two) & (one != EMPTY)).sum(1)
+            equal = (one == two).sum(1)
+            smaller = np.minimum(batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy())
+            held = REGISTERS * -np.expm1(-smaller / REGISTERS)
             ratio = batch.column("a_n").to_numpy() / batch.column("b_n").to_numpy()
             chance = 0.169919487159739 * 2.0 ** (BUCKET_BITS - MANTISSA) * 4 * ratio / (1 + ratio) ** 2
             margin = DEVIATIONS * np.sqrt(threshold * (1 - threshold) / held)
-            yield batch.select(["a", "b"]).filter(pa.array((equal - chance) / held >= threshold - margin))
+            yield batch.select(["a", "b"]).filter(pa.array((equal - chance) / REGISTERS >= threshold - margin))
 
     return pairs.mapInArrow(run, "a bigint, b bigint")
 
@@ -143,35 +166,85 @@ def confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, p
     return materialise(both.where(common * 100 >= (F.size("a_set") + F.size("b_set") - common) * percent).select("a", "b").distinct(), "confirmed")
 
 
+def band_rows(classes: DataFrame) -> DataFrame:
+    """``band, part`` added: the bytes of each band."""
+    parts = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring("registers", i * (2 * BAND) + 1, F.lit(2 * BAND)))
+    return classes.select(*(c for c in classes.columns if c != "registers"), F.posexplode(parts).alias("band", "part"))
+
+
+def mixed_buckets(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of buckets with several components, with ``label``, the bucket's largest component ``main`` and ``members``."""
+    rows = rows.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    parts = rows.groupBy("bucket", "label").count()
+    mixed_ones = parts.groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("members"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return materialise(rows.join(mixed_ones.select("bucket", F.col("top.label").alias("main"), "members"), "bucket"), "mixed")
+
+
+def rare_shingles(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rep, label, n_shingles, shingle, alone``: the rare shingles of each class among the given sets."""
+    named = sets.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"), F.size("shingles").alias("n_shingles"), F.explode("shingles").alias("shingle"))
+    counted = named.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
+    return named.join(counted.where((F.col("low") == F.col("high")) | (F.col("n") <= RARE)).select("shingle", (F.col("low") == F.col("high")).alias("alone")), "shingle")
+
+
+def rare_pairs(rare: DataFrame, percent: int) -> DataFrame:
+    """Classes of different components and fitting sizes that share a rare shingle: at most RARE classes meet at each."""
+    met = rare.where("not alone").select("shingle", "rep", "label", "n_shingles")
+    other = met.toDF("shingle", "b", "b_label", "b_n")
+    fit = (F.col("rep") < F.col("b")) & (F.col("label") != F.col("b_label")) & (F.least("n_shingles", "b_n") * 100 >= F.greatest("n_shingles", "b_n") * percent)
+    return met.join(other, "shingle").where(fit).select(F.col("rep").alias("a"), "b")
+
+
+def star_pairs(rows: DataFrame) -> DataFrame:
+    """Each class outside the largest component of a bucket with that class of it which has the fewest rare shingles."""
+    centre = rows.where("label = main").groupBy("bucket").agg(F.min(F.struct("own", "rep"))["rep"].alias("centre"))
+    return rows.where("label <> main").join(centre, "bucket").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
+
+
+def all_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a bucket in different components that may be similar by their sizes and without their rare shingles (``own`` of them)."""
+    outside = rows.where("label <> main").select("bucket", F.col("rep").alias("s"), F.col("label").alias("s_label"), F.col("n_shingles").alias("s_n"), F.col("own").alias("s_own"))
+    inside = rows.select("bucket", F.col("rep").alias("m"), F.col("label").alias("m_label"), F.col("n_shingles").alias("m_n"), F.col("own").alias("m_own"), (F.col("label") == F.col("main")).alias("is_main"))
+    able = lambda n, own: (n - own) * 100 >= n * percent  # noqa: E731  else ruled out with all others
+    common = F.least(F.col("s_n") - F.col("s_own"), F.col("m_n") - F.col("m_own"))
+    fit = (F.col("s_label") != F.col("m_label")) & (F.col("is_main") | (F.col("s") < F.col("m"))) & (common * (100 + percent) >= (F.col("s_n") + F.col("m_n")) * percent)
+    left, right = outside.where(able(F.col("s_n"), F.col("s_own"))), inside.where(able(F.col("m_n"), F.col("m_own")))
+    return left.join(right, "bucket").where(fit & (F.least("s_n", "m_n") * 100 >= F.greatest("s_n", "m_n") * percent)).select(F.least("s", "m").alias("a"), F.greatest("s", "m").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``."""
     rows = materialise(sketch_documents(docs, width), "sketches")
     grouped = rows.where("n_shingles > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     classes = materialise(grouped, "classes")
 
-    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda i: F.substring("registers", i * (2 * BAND) + 1, F.lit(2 * BAND)))).alias("band", "part")
-    bands = classes.select("rep", "n_shingles", band).where(F.hex("part") != "FF" * 2 * BAND).select(F.xxhash64("band", "part").alias("bucket"), "rep", "n_shingles")
+    bands = band_rows(classes).select(F.xxhash64("band", "part").alias("bucket"), "band", "rep", "n_shingles")
     least = bands.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = materialise(bands.join(least.select("bucket", "centre"), "bucket"), "buckets")
 
     first = materialise(shared.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = confirm(docs, first, classes, width, percent)
-    labels = components(links)
+    labels, shared = components(links), shared.drop("centre")
 
-    # Buckets with several components: those outside the largest meet all other components of the bucket.
-    named = shared.select("bucket", "rep", "n_shingles").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    parts = named.groupBy("bucket", "label").count()
-    largest = parts.groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed_rows = materialise(named.join(largest.select("bucket", F.col("top.label").alias("main")), "bucket"), "mixed")
-    outside = mixed_rows.where("label <> main").select("bucket", F.col("rep").alias("s"), F.col("label").alias("s_label"), F.col("n_shingles").alias("s_n"))
-    inside = mixed_rows.select("bucket", F.col("rep").alias("m"), F.col("label").alias("m_label"), F.col("n_shingles").alias("m_n"), (F.col("label") == F.col("main")).alias("is_main"))
-    fit = (F.col("s_label") != F.col("m_label")) & (F.col("is_main") | (F.col("s") < F.col("m"))) & (F.least("s_n", "m_n") * 100 >= F.greatest("s_n", "m_n") * percent)
-    second = outside.join(inside, "bucket").where(fit).select(F.least("s", "m").alias("a"), F.greatest("s", "m").alias("b")).distinct()
-    second = materialise(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    if second.limit(1).count():
-        more = confirm(docs, second, classes, width, percent)
-        if more.limit(1).count():
-            labels = components(links.unionByName(more))
+    open_rows = mixed_buckets(shared, labels).withColumn("own", F.lit(0).cast("bigint"))
+    once = classes.groupBy("rep").count().where("count = 1").select("rep")  # ids with one text: only theirs have one set
+    ids = materialise(open_rows.where(F.col("members") > LARGE_BUCKET).select("rep").distinct().join(once, "rep", "left_semi"), "ids")
+    sets = materialise(full_sets(docs, ids, width), "sets")
+
+    def with_own(rows: DataFrame, rare: DataFrame) -> DataFrame:
+        own = rare.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+        return materialise(rows.drop("own").join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))), "large")
+
+    small = open_rows.where(F.col("members") <= LARGE_BUCKET)
+    large = with_own(open_rows.where(F.col("members") > LARGE_BUCKET), rare_shingles(sets, labels))
+    second = materialise(all_pairs(small, percent).unionByName(star_pairs(large)).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(confirm(docs, second, classes, width, percent))
+    labels = components(links)
+    rare = materialise(rare_shingles(sets, labels), "rare")
+    left = with_own(mixed_buckets(large.drop("label", "main", "members"), labels), rare)
+    third = all_pairs(left, percent).unionByName(rare_pairs(rare, percent)).distinct()
+    third = materialise(third.join(first.unionByName(second), ["a", "b"], "left_anti"), "pairs")
+    labels = components(links.unionByName(confirm(docs, third, classes, width, percent)))
 
     final = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("class", F.coalesce("label", "rep").alias("label"))
     alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
