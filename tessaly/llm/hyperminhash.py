@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessaly.llm.components import components
@@ -44,6 +44,8 @@ BAND = 4
 BANDS = 48
 #: Open buckets with more classes are large.
 LARGE_BUCKET = 32
+#: Sizes of one level differ by this factor at most; more than 100 / percent.
+SIZE_STEP = 1.5
 #: Classes that a rare shingle occurs in at most, if they belong to several components.
 RARE = 16
 #: Estimates are believed to this many standard deviations.
@@ -172,6 +174,17 @@ def band_rows(classes: DataFrame) -> DataFrame:
     return classes.select(*(c for c in classes.columns if c != "registers"), F.posexplode(parts).alias("band", "part"))
 
 
+def size_level(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(SIZE_STEP))).cast("int")
+
+
+def by_size(rows: DataFrame, percent: int) -> DataFrame:
+    """Buckets split by size. A class goes to the level of its size and to that of the least size it may be similar to, so
+    two classes of fitting sizes meet at the level of the smaller one."""
+    levels = F.array_distinct(F.array(size_level(F.col("n_shingles")), size_level(F.col("n_shingles") * percent / 100)))
+    return rows.withColumn("level", F.explode(levels)).withColumn("bucket", F.xxhash64("bucket", "level"))
+
+
 def mixed_buckets(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of buckets with several components, with ``label``, the bucket's largest component ``main`` and ``members``."""
     rows = rows.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
@@ -196,20 +209,29 @@ def rare_pairs(rare: DataFrame, percent: int) -> DataFrame:
 
 
 def star_pairs(rows: DataFrame) -> DataFrame:
-    """Each class outside the largest component of a bucket with that class of it which has the fewest rare shingles."""
-    centre = rows.where("label = main").groupBy("bucket").agg(F.min(F.struct("own", "rep"))["rep"].alias("centre"))
+    """Each class outside the largest component of a bucket with that class of it which shares most buckets with others."""
+    central = rows.groupBy("rep").agg((-F.sum("members")).alias("far"))
+    centre = rows.where("label = main").join(central, "rep").groupBy("bucket").agg(F.min(F.struct("far", "rep"))["rep"].alias("centre"))
     return rows.where("label <> main").join(centre, "bucket").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
 
 
+def first_meeting(band: Column, one: Column, two: Column) -> Column:
+    """Whether no earlier band of two classes agrees."""
+    part = lambda registers, i: F.substring(registers, i * (2 * BAND) + 1, F.lit(2 * BAND))
+    return ~F.exists(F.slice(F.lit(list(range(BANDS))), F.lit(1), band), lambda i: part(one, i) == part(two, i))
+
+
 def all_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """All pairs of a bucket in different components that may be similar by their sizes and without their rare shingles (``own`` of them)."""
-    outside = rows.where("label <> main").select("bucket", F.col("rep").alias("s"), F.col("label").alias("s_label"), F.col("n_shingles").alias("s_n"), F.col("own").alias("s_own"))
-    inside = rows.select("bucket", F.col("rep").alias("m"), F.col("label").alias("m_label"), F.col("n_shingles").alias("m_n"), F.col("own").alias("m_own"), (F.col("label") == F.col("main")).alias("is_main"))
+    outside = rows.where("label <> main").select("bucket", F.col("rep").alias("s"), F.col("label").alias("s_label"), F.col("n_shingles").alias("s_n"), F.col("own").alias("s_own"), "band", "level", F.col("registers").alias("s_registers"))
+    inside = rows.select("bucket", F.col("rep").alias("m"), F.col("label").alias("m_label"), F.col("n_shingles").alias("m_n"), F.col("own").alias("m_own"), (F.col("label") == F.col("main")).alias("is_main"), F.col("registers").alias("m_registers"))
     able = lambda n, own: (n - own) * 100 >= n * percent  # noqa: E731  else ruled out with all others
     common = F.least(F.col("s_n") - F.col("s_own"), F.col("m_n") - F.col("m_own"))
     fit = (F.col("s_label") != F.col("m_label")) & (F.col("is_main") | (F.col("s") < F.col("m"))) & (common * (100 + percent) >= (F.col("s_n") + F.col("m_n")) * percent)
+    # A pair that shares several buckets meets in the first one only.
+    once = (F.col("level") == size_level(F.least("s_n", "m_n"))) & first_meeting(F.col("band"), F.col("s_registers"), F.col("m_registers"))
     left, right = outside.where(able(F.col("s_n"), F.col("s_own"))), inside.where(able(F.col("m_n"), F.col("m_own")))
-    return left.join(right, "bucket").where(fit & (F.least("s_n", "m_n") * 100 >= F.greatest("s_n", "m_n") * percent)).select(F.least("s", "m").alias("a"), F.greatest("s", "m").alias("b"))
+    return left.join(right, "bucket").where(fit & (F.least("s_n", "m_n") * 100 >= F.greatest("s_n", "m_n") * percent) & once).select(F.least("s", "m").alias("a"), F.greatest("s", "m").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
@@ -226,22 +248,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     links = confirm(docs, first, classes, width, percent)
     labels, shared = components(links), shared.drop("centre")
 
-    open_rows = mixed_buckets(shared, labels).withColumn("own", F.lit(0).cast("bigint"))
-    once = classes.groupBy("rep").count().where("count = 1").select("rep")  # ids with one text: only theirs have one set
-    ids = materialise(open_rows.where(F.col("members") > LARGE_BUCKET).select("rep").distinct().join(once, "rep", "left_semi"), "ids")
-    sets = materialise(full_sets(docs, ids, width), "sets")
-
-    def with_own(rows: DataFrame, rare: DataFrame) -> DataFrame:
-        own = rare.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
-        return materialise(rows.drop("own").join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))), "large")
-
-    small = open_rows.where(F.col("members") <= LARGE_BUCKET)
-    large = with_own(open_rows.where(F.col("members") > LARGE_BUCKET), rare_shingles(sets, labels))
-    second = materialise(all_pairs(small, percent).unionByName(star_pairs(large)).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    open_rows = mixed_buckets(by_size(shared, percent), labels)
+    held = classes.select("rep", "registers").join(classes.groupBy("rep").count().where("count = 1").select("rep"), "rep", "left_semi")
+    no_own = F.lit(0).cast("bigint").alias("own")
+    small, large = (open_rows.where(F.col("members") <= LARGE_BUCKET), open_rows.where(F.col("members") > LARGE_BUCKET))
+    meeting = all_pairs(small.select("*", no_own).join(classes.select("rep", "registers").dropDuplicates(["rep"]), "rep"), percent).unionByName(star_pairs(large))
+    second = materialise(meeting.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(confirm(docs, second, classes, width, percent))
     labels = components(links)
-    rare = materialise(rare_shingles(sets, labels), "rare")
-    left = with_own(mixed_buckets(large.drop("label", "main", "members"), labels), rare)
+
+    left = mixed_buckets(large.drop("label", "main", "members"), labels)
+    ids = materialise(left.select("rep").distinct().join(held, "rep", "left_semi"), "ids")
+    rare = materialise(rare_shingles(materialise(full_sets(docs, ids, width), "sets"), labels), "rare")
+    own = rare.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    left = left.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))).join(classes.select("rep", "registers").dropDuplicates(["rep"]), "rep")
     third = all_pairs(left, percent).unionByName(rare_pairs(rare, percent)).distinct()
     third = materialise(third.join(first.unionByName(second), ["a", "b"], "left_anti"), "pairs")
     labels = components(links.unionByName(confirm(docs, third, classes, width, percent)))
