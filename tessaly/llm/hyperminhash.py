@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
 
     left = mixed_buckets(large.drop("label", "main", "members"), labels)
     ids = materialise(left.select("rep").distinct().join(held, "rep", "left_semi"), "ids")
-    rare = materialise(rare_shingles(materialise(full_sets(docs, ids, width), "sets"), labels), "rare")
+    rare = materialise(rare_shingles(materialise(full_sets(docs, ids, width), "sets").repartition("rep"), labels), "rare")
     own = rare.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
     left = left.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))).join(classes.select("rep", "registers").dropDuplicates(["rep"]), "rep")
     third = all_pairs(left, percent).unionByName(rare_pairs(rare, percent)).distinct()
