@@ -155,6 +155,8 @@ LABELLED = (
     '<p>+The second paragraph is just as long as the first one, so that both stand next to a long block and far away from the menu of the page.</p><p>+An end.</p><p><a href="/v">Contact</a></p>',
     '<article><nav><a href="/w">In this article</a></nav><header><h1>+Heading in a header of the article</h1></header><p>+Text of the article that runs over a line or two and says something.</p><div class="advertisement">Advert in the middle of the text, with a number of words to make it look like a paragraph.</div>'
     '<p>+It goes on.</p><form><p>Leave your address for our letter of the week with all the news</p></form><div class="sidebar"><p>Related: a longer text about another thing that happened elsewhere at another time.</p></div><footer>Filed under news</footer></article><p>Share this page with your friends</p>',
+    "<p>+A page that is one plain block of text has no neighbours, and a reader would take it for the text of the page because it is long.</p>",
+    "<div>+Two blocks of plain text make up this page, and neither of them has any link in it or any element around it.</div><div>+The second one is as plain as the first one and goes on for a while.</div>",
     '<div class="content"><h1>+Title</h1><p>+Yes.</p><p>+One more paragraph of middle length follows here.</p></div><div id="sidebar"><p>Weather</p><p>Long text in the side bar which is not part of the article but goes on for quite a while anyway.</p></div><div>Copyright</div>',
 )
 
