@@ -37,6 +37,8 @@ WARC_END = "\r\n\r\n"
 #: Revisits sent to all executors; more are joined by shuffling.
 BROADCAST_ROWS = 300_000
 ROWS_A_BATCH = 500
+#: Archives are written twice and read soon: speed before size.
+GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 
 
 def in_batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -75,7 +77,7 @@ def write_arc(pages: DataFrame, path: str, captured: str = CAPTURED) -> None:
     schema = pa.schema([("record", pa.binary())])
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     lines = rows.mapInArrow(lambda batches: in_batches(records(batches), schema), "record binary")
-    lines.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    lines.select(F.col("record").cast("string").alias("value")).write.options(**GZIP).option("lineSep", "\n").text(path)
 
 
 def parse_arc(content: bytes, part: str) -> Iterator[tuple]:
@@ -187,7 +189,7 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, least: int =
 
     schema = pa.schema([("record", pa.binary())])
     lines = rows.mapInArrow(lambda batches: in_batches(records(batches), schema), "record binary")
-    lines.select(F.col("record").cast("string").alias("value")).write.option("lineSep", WARC_END).option("compression", "gzip").text(warc_path)
+    lines.select(F.col("record").cast("string").alias("value")).write.options(**GZIP).option("lineSep", WARC_END).text(warc_path)
 
 
 def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
