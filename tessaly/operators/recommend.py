@@ -68,7 +68,7 @@ def shaped_requests(requests: DataFrame, kind: str) -> DataFrame:
     star = lambda name, *also: F.when(_free(F.col(name), *also), "*").otherwise(F.col(name))
     first = F.coalesce(F.col("max_distance").cast("string"), F.lit("*")) if kind == "restaurant" else star("meal")
     party = F.coalesce(party_label(F.col("group_size")), F.lit("*")) if kind == "restaurant" else F.lit("*")
-    budget = F.col("budget") if kind == "canteen" else F.coalesce(F.nullif(F.col("budget"), F.lit(0)), F.col("remembered_budget"))
+    budget = F.col("budget") if kind == "canteen" else F.coalesce(F.nullif(F.col("budget"), F.lit(0)), F.col("remembered_budget"), F.col("budget"))
     keyed = (
         requests.withColumn("_f", first).withColumn("_c", star("category")).withColumn("_t", star("taste", NO_SPICE)).withColumn("_p", party)
         .withColumn("limit", F.coalesce((budget * 100).cast("bigint"), F.lit(NO_LIMIT)))
@@ -88,7 +88,9 @@ def shaped_requests(requests: DataFrame, kind: str) -> DataFrame:
 def _indexed(candidates: DataFrame, kind: str, tiers: Column) -> DataFrame:
     """Enabled candidates with the key lists of their attributes; ``*`` matches any request."""
     listed = lambda column: F.array_distinct(F.concat(column, F.array(F.lit("*"))))
-    enabled = candidates.filter(F.coalesce("enabled", F.lit(True))).withColumn("cents", F.round(F.col("price") * 100).cast("bigint"))
+    enabled = candidates.filter(F.coalesce("enabled", F.lit(True))).withColumn(
+        "cents", F.coalesce(F.round(F.col("price") * 100).cast("bigint"), F.lit(NO_LIMIT - 1))  # an unknown price fits no budget, but needs none
+    )
     if kind == "restaurant":
         # Distances are whole minutes, so the distinct limits (a scalar array) are few.
         reach = F.transform(F.filter(F.col("_tiers"), lambda t: F.col("distance") <= t), lambda t: t.cast("string"))

@@ -171,7 +171,7 @@ def nodes(spark, sf_dir):
     return questions.unionByName(maps)
 
 
-@query("r5_reindex_on_edit", f"""{LIB}, edits AS (SELECT id, CASE WHEN id % 10 = 0 THEN '  ' ELSE concat(' edited ', id, chr(10), substr(body, 1, 2500), ' ') END AS body FROM library WHERE id % 2 = 0),
+@query("r5_reindex_on_edit", f"""{LIB}, edits AS (SELECT id, CASE WHEN id % 10 = 0 THEN '  ' ELSE concat(' edited ', id, chr(10), body, ' ') END AS body FROM library WHERE id % 2 = 0),
     done AS (SELECT e.id, l.owner, {strip_sql('e.body')} AS body FROM edits e JOIN library l USING (id) WHERE {strip_sql('e.body')} <> '' AND {EDIT.format(VIEWER, 'true')}),
     bodies AS (SELECT id, owner, body FROM done UNION ALL SELECT id, owner, body FROM library WHERE id NOT IN (SELECT id FROM done))
     SELECT id, owner, chunk_index, content FROM {chunks_sql('bodies', 'id, owner', 'body', V.INDEX_CHUNK, V.INDEX_OVERLAP)}""")
@@ -179,7 +179,7 @@ def reindexed(spark, sf_dir):
     from tessaly.sources.sinks import write_replace
 
     docs = view(spark, sf_dir, "library")
-    body = "CASE WHEN id % 10 = 0 THEN '  ' ELSE concat(' edited ', id, chr(10), substr(body, 1, 2500), ' ') END"
+    body = "CASE WHEN id % 10 = 0 THEN '  ' ELSE concat(' edited ', id, chr(10), body, ' ') END"
     edits = docs.filter("id % 2 = 0").selectExpr("id", f"{body} AS body")
     accepted = L.keep_permitted_edits(docs, edits, VIEWER, True).join(docs.select("id", "owner"), "id")
     cut = lambda rows: split_text(rows.select("id", "owner", "body"), size=V.INDEX_CHUNK, overlap=V.INDEX_OVERLAP)

@@ -73,10 +73,10 @@ OUTLINE = f"""outlines AS (SELECT id, body, CASE WHEN len(hs) = 0 THEN ['正文'
     FROM (SELECT id, body, regexp_extract_all(body, '(?m)^##{WS}+(.+?){WS}*$', 1) AS hs FROM markdown))"""
 
 
-@query("d10_heading_outline", f"{MD}, {OUTLINE} SELECT id, hs[1] AS title, array_to_string(hs[2:10], '|') AS key_terms FROM outlines")
+@query("d10_heading_outline", f"{MD}, {OUTLINE} SELECT id, hs[1] AS title, array_to_string(hs[2:], '|') AS key_terms FROM outlines")
 def outline(spark, sf_dir):
     heads = view(spark, sf_dir, "markdown").select("id", M.heading_outline(F.col("body")).alias("hs"))
-    return heads.select("id", F.col("hs")[0].alias("title"), F.array_join(F.slice("hs", 2, 9), "|").alias("key_terms"))
+    return heads.select("id", F.col("hs")[0].alias("title"), F.array_join(F.slice("hs", F.lit(2), F.size("hs")), "|").alias("key_terms"))
 
 
 PLAN_SQL = "plan AS (SELECT id, hs[1] AS chapter_title FROM outlines UNION ALL SELECT id, concat('Part ', id % 9) FROM outlines)"
@@ -346,9 +346,9 @@ def math(spark, sf_dir):
 ASCII_WORDS = r"regexp_replace(regexp_replace(body, '[^\x00-\x7F\p{L}\p{N}]', ' ', 'g'), '[^\x00-\x7F]', '_', 'g')"
 
 
-@query("c7_protected_tokens", rf"""{MD} SELECT id, array_to_string(regexp_extract_all(body, '(?s)\$\$.*?\$\$|\$.*?\$')[1:40], '|') AS formulas,
-    array_to_string(regexp_extract_all(body, '\[[0-9,\-\s]+\]|\([^)]*\b(?:19|20)\d{{2}}[^)]*\)')[1:40], '|') AS citations,
-    array_to_string(list_sort(list_distinct(regexp_extract_all({ASCII_WORDS}, '\b[A-Z][A-Za-z0-9+\-]{{1,30}}\b')))[1:80], '|') AS terms FROM markdown""")
+@query("c7_protected_tokens", rf"""{MD} SELECT id, array_to_string(regexp_extract_all(body, '(?s)\$\$.*?\$\$|\$.*?\$'), '|') AS formulas,
+    array_to_string(regexp_extract_all(body, '\[[0-9,\-\s]+\]|\([^)]*\b(?:19|20)\d{{2}}[^)]*\)'), '|') AS citations,
+    array_to_string(list_sort(list_distinct(regexp_extract_all({ASCII_WORDS}, '\b[A-Z][A-Za-z0-9+\-]{{1,30}}\b'))), '|') AS terms FROM markdown""")
 def tokens(spark, sf_dir):
     parts = M.protected_tokens(F.col("body"))
     docs = view(spark, sf_dir, "markdown").select("id", *parts)

@@ -62,7 +62,7 @@ def cascade_sql(kind: str) -> str:
     first = "(max_distance IS NULL OR distance <= max_distance)" if kind == "restaurant" else f"({free('meal')} OR list_contains(meal_times, meal))"
     party = ("(group_size IS NULL OR len(suitable_for) = 0 OR list_contains(suitable_for, CASE WHEN group_size = 1 THEN '一人食' WHEN group_size = 2 THEN '两人' ELSE '聚餐' END))"
              if kind == "restaurant" else "true")
-    limit = "budget" if kind == "canteen" else "coalesce(nullif(budget, 0), remembered_budget)"
+    limit = "budget" if kind == "canteen" else "coalesce(nullif(budget, 0), remembered_budget, budget)"
     units = f"""greatest(1, weight * 100 + CASE WHEN taste = '不吃辣' THEN CASE WHEN contains(text, '辣') THEN -90 ELSE 100 END WHEN NOT {free('taste')} AND contains(text, replace(taste, '想吃', '')) THEN 200 ELSE 0 END
         + CASE WHEN NOT {free('r.category')} AND contains(text, lower(r.category)) THEN 200 ELSE 0 END + CASE WHEN len(list_filter(liked, lambda w: contains(text, lower(w)))) > 0 THEN 150 ELSE 0 END)"""
     return f"""pairs AS (SELECT r.request_id, c.id, c.price, {units} AS units, true AS s0, {limit} IS NULL OR price <= {limit} AS s1, {first} AS s2,

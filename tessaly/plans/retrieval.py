@@ -248,9 +248,7 @@ def chunks_in_scope(spark, sf_dir):
 
 
 @query("a7_rebuild_body", f"""WITH {view_sql('docs')}, chunks AS {INDEX_SQL}
-    SELECT id, substr(string_agg(content, chr(10) || chr(10) ORDER BY chunk_index), 1, 60000) AS body FROM chunks GROUP BY id""")
+    SELECT id, string_agg(content, chr(10) || chr(10) ORDER BY chunk_index) AS body FROM chunks GROUP BY id""")
 def rebuild_body(spark, sf_dir):
     chunks = index_chunks(spark, sf_dir)
-    return chunks.groupBy("id").agg(
-        F.substring(ordered_join("\n\n", F.col("chunk_index"), F.col("content")), 1, 60000).alias("body")
-    )
+    return chunks.groupBy("id").agg(ordered_join("\n\n", F.col("chunk_index"), F.col("content")).alias("body"))

@@ -33,6 +33,8 @@ def build_session(app: str = "tessaly", master: str | None = None, **extra: str)
         # Runtime broadcast only for sides measured below this size.
         .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "64m")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Texts grow when they are cut into terms, so tasks start from few bytes.
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16m")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
     )
@@ -41,18 +43,8 @@ def build_session(app: str = "tessaly", master: str | None = None, **extra: str)
     return builder.getOrCreate()
 
 
-# Tables of long texts and their unique keys.
-TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Texts read in fewer splits than there are cores are spread by key; a table
-    of ordinary size has more splits than that and is read as it lies."""
-    rows = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_KEYS and rows.rdd.getNumPartitions() < cores:
-        return rows.repartition(cores, TEXT_KEYS[name])
-    return rows
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def load_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
