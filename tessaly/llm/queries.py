@@ -77,3 +77,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_near_duplicates")
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op6_arc_to_warc"] = """WITH payloads AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+    known AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS latest FROM payloads)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> latest THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN payload_bytes >= 1000 AND page_id <> latest THEN latest END AS refers_to FROM known"""
