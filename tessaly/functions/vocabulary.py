@@ -38,7 +38,7 @@ PLAN_KEYWORDS = ("截止", "优先", "复盘", "上午", "下午", "晚上", "
 TOP_PRIORITY = ("高优先级", "最高优先级")
 WEEKDAYS = (("周一", 0), ("周二", 1), ("周三", 2), ("周四", 3), ("周五", 4), ("周六", 5), ("周日", 6), ("周天", 6))
 TITLE_PREFIX = r"^(我|我们)?(这周|本周|今天|近期)?(要|需要|准备|计划)?"
-TITLE_NOISE = r"[\s，。！？、,:：;；]+"
+TITLE_NOISE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}，。！？、,:：;；]+"
 
 # Preferences.
 DIET_WORD = "饮食"

@@ -72,15 +72,15 @@ def document_status(docs: DataFrame, latest: DataFrame) -> DataFrame:
     return docs.join(jobs, "id", "left").select("id", "job_status", status.alias("status"))
 
 
-def stale_gaps(events: DataFrame, seconds: int = V.STALE_SECONDS) -> DataFrame:
-    """Running items which then stayed silent for longer than the limit.
+def stale_gaps(events: DataFrame, now: Column, seconds: int = V.STALE_SECONDS) -> DataFrame:
+    """Running items which then stayed silent for longer than the limit; after its last event an item is silent until ``now``.
 
     ``events``: job_id, ts, event_id, status, cancel_requested. The next event is found per
     (job, day) with a carry between days, so one busy job is not one task.
     """
     placed = events.withColumn("day", F.to_date("ts"))
     followed = neighbour(placed, ["job_id"], "day", ["ts", "event_id"], "ts", "next_ts", 1)
-    silent = F.unix_micros(F.col("next_ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
+    silent = F.unix_micros(F.coalesce(F.col("next_ts").cast("timestamp"), now)) - F.unix_micros(F.col("ts").cast("timestamp"))
     return followed.filter((F.col("status").isin("running", "cancelling")) & (silent > seconds * 1_000_000)).select(
         "job_id", "event_id", F.when(F.col("cancel_requested"), "cancelled").otherwise("queued").alias("status"),
         (silent / 1_000_000).alias("silent_seconds"),

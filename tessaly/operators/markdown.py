@@ -6,10 +6,8 @@ these operators are narrow column expressions without any shuffle.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessaly.functions import vocabulary as V
 from tessaly.functions.text import (
@@ -207,66 +205,71 @@ def split_units(docs: DataFrame) -> DataFrame:
     return chapter_rows.select(*keep, "chapter_no", "group_title", units.alias("units"), has_units.alias("has_units"))
 
 
-_MERGED = T.StructType([T.StructField("no", T.ArrayType(T.IntegerType())), T.StructField("title", T.ArrayType(T.StringType()))])
-
-
-@F.pandas_udf(_MERGED)
-def _merge_titles(titles: pd.Series) -> pd.DataFrame:
-    """Section number of every unit of one chapter, and the final title of every section."""
-    import re
-
-    exercise, chapter_exercise = re.compile(V.NUMBERED_EXERCISE), re.compile(V.CHAPTER_EXERCISE)
-    major, subsection = re.compile(V.MAJOR_SECTION), re.compile(V.SUBSECTION)
-
-    def merge(names):
-        heads, numbers = [], []  # heads: [title, key, kind]
-
-        def open_section(title, key, kind):
-            heads.append([title, key, kind])
-
-        for name in names:
-            last = heads[-1] if heads else None
-            own_exercise, numbered, deeper = exercise.match(name), major.match(name), subsection.match(name)
-            if own_exercise:
-                key = ".".join(own_exercise.groups())
-                open_section(f"习题 {key}", key, "exercise")
-            elif chapter_exercise.match(name):
-                open_section(name, None, "exercise")
-            elif numbered:
-                key = f"{numbered[1]}.{numbered[2]}"
-                if not (last and last[1] == key and last[2] == "section"):
-                    open_section(name, key, "section")
-            elif deeper:
-                key = f"{deeper[1]}.{deeper[2]}"
-                if last and last[2] == "provisional":
-                    last[:] = [f"{key} {last[0]}", key, "section"]
-                elif last is None or last[1] != key or last[2] == "exercise":
-                    open_section(f"{key} {deeper[3].strip()}".strip(), key, "section")
-            elif last is None:
-                open_section(name, None, "section")
-            elif last[2] == "exercise" and not name.startswith("习题"):
-                open_section(name, None, "provisional")
-            elif last[2] == "section" and last[1] is None:
-                open_section(name, None, "section")
-            numbers.append(len(heads) - 1)
-        return numbers, [h[0] for h in heads]
-
-    merged = [merge(list(names)) for names in titles]
-    return pd.DataFrame({"no": [m[0] for m in merged], "title": [m[1] for m in merged]})
+SECTIONS = "array<struct<title:string,number:string,kind:string,units:array<int>>>"
+
+
+def _headline(title: Column) -> Column:
+    """What a title says of its section: kind, section number and the text to open it with."""
+    says = lambda pattern: title.rlike("(?U)" + pattern)
+    part = lambda pattern, group: F.regexp_extract(title, "(?U)" + pattern, group)
+    number = lambda pattern: F.concat(part(pattern, 1), F.lit("."), part(pattern, 2))
+
+    def line(kind: str, own: Column, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), own.cast("string").alias("number"), text.alias("text"))
+
+    exercise, deeper = number(V.NUMBERED_EXERCISE), number(V.SUBSECTION)
+    return (
+        F.when(says(V.NUMBERED_EXERCISE), line("exercise", exercise, F.concat(F.lit("习题 "), exercise)))
+        .when(says(V.CHAPTER_EXERCISE), line("exercise", F.lit(None), title))
+        .when(says(V.MAJOR_SECTION), line("numbered", number(V.MAJOR_SECTION), title))
+        .when(says(V.SUBSECTION), line("deeper", deeper, strip(F.concat(deeper, F.lit(" "), part(V.SUBSECTION, 3)))))
+        .otherwise(line("plain", F.lit(None), title))
+    )
+
+
+def _placed(sections: Column, unit: Column) -> Column:
+    """Sections after one more unit, which joins the last of them or opens its own."""
+    head = unit["head"]
+
+    def after(last: Column) -> Column:
+        waiting = F.coalesce(last["kind"] == "provisional", F.lit(False))
+        same = F.coalesce(last["number"] == head["number"], F.lit(False))
+        in_exercise = F.coalesce(last["kind"] == "exercise", F.lit(False))
+        loose = (last["kind"] == "section") & last["number"].isNull()
+        joins = (
+            F.when(head["kind"] == "numbered", same & (last["kind"] == "section"))
+            .when(head["kind"] == "deeper", waiting | (same & ~in_exercise))
+            .when(head["kind"] == "plain", last.isNotNull() & ~loose & (~in_exercise | head["text"].startswith("习题")))
+            .otherwise(F.lit(False))
+        )
+        named = waiting & (head["kind"] == "deeper")
+        kind = F.when(head["kind"] == "exercise", "exercise").when(in_exercise & (head["kind"] == "plain"), "provisional").otherwise("section")
+        opened = F.struct(head["text"].alias("title"), head["number"].alias("number"), kind.alias("kind"), F.array(unit["at"]).alias("units"))
+        grown = F.struct(
+            F.when(named, F.concat(head["number"], F.lit(" "), last["title"])).otherwise(last["title"]).alias("title"),
+            F.when(named, head["number"]).otherwise(last["number"]).alias("number"),
+            F.when(named, "section").otherwise(last["kind"]).alias("kind"),
+            F.concat(last["units"], F.array(unit["at"])).alias("units"),
+        )
+        before = F.slice(sections, F.lit(1), F.greatest(F.lit(0), F.size(sections) - 1))
+        return F.when(joins, F.concat(before, F.array(grown))).otherwise(F.concat(sections, F.array(opened))).cast(SECTIONS)
+
+    return let(F.try_element_at(sections, F.lit(-1)), after)
 
 
 def merge_major_sections(units: DataFrame) -> DataFrame:
-    """Units of a chapter joined into complete x.y sections. Only titles go to Python; a
-    chapter is part of one document row."""
-    sections = units.withColumn("_m", F.when(F.col("has_units"), _merge_titles(F.col("units")["title"])))
+    """Units of a chapter joined into complete x.y sections by one fold over their titles. A section holds the places of
+    its units; texts are joined at the end. A chapter is part of one document row."""
+    marked = F.transform("units", lambda u, at: F.struct(at.alias("at"), _headline(u["title"]).alias("head")))
+    sections = F.aggregate(marked, F.array().cast(SECTIONS), _placed)
 
-    def body_of(title: Column, no: Column) -> Column:
-        member = F.filter("units", lambda u, at: F.get(F.col("_m")["no"], at) == no)
-        return F.struct(title.alias("title"), F.array_join(F.transform(member, lambda u: u["text"]), "\n\n").alias("text"))
+    def with_text(section: Column) -> Column:
+        texts = F.transform(section["units"], lambda at: F.get(F.col("units"), at)["text"])
+        return F.struct(section["title"].alias("title"), F.array_join(texts, "\n\n").alias("text"))
 
-    merged = F.when(F.col("has_units"), F.transform(F.col("_m")["title"], body_of)).otherwise(F.col("units"))
+    merged = F.when(F.col("has_units"), F.transform(sections, with_text)).otherwise(F.col("units"))
     keep = [c for c in units.columns if c not in ("units", "has_units")]
-    return sections.select(*keep, F.posexplode(merged).alias("section_no", "_s")).select(
+    return units.select(*keep, F.posexplode(merged).alias("section_no", "_s")).select(
         *keep, "section_no", F.col("_s.title").alias("title"), F.col("_s.text").alias("text")
     )
 
@@ -382,12 +385,12 @@ def paragraph_context(body: Column, selected: Column) -> Column:
             ),
         )
 
-    return let(parts, lambda found_: let(F.substring(strip(single_spaced(selected)), 1, 80), lambda probe: around(found_, probe)))
+    return let(parts, lambda found_: let(strip(single_spaced(selected)), lambda probe: around(found_, probe)))
 
 
 def _position(body: Column, selected: Column) -> Column:
     """1-based place of a selection: verbatim, else with any blanks between its words; 0 if absent."""
-    probe = F.substring(strip(single_spaced(selected)), 1, 100)
+    probe = strip(single_spaced(selected))
     words = F.filter(F.split(probe, rf"{BLANK}+", -1), lambda w: w != "")
     pattern = F.array_join(F.transform(words, lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))), rf"{BLANK}+")
     loose = F.when(pattern == "", 0).otherwise(F.call_function("regexp_instr", body, pattern))
@@ -411,14 +414,14 @@ def section_context(body: Column, selected: Column) -> Column:
     def from_heading(headings: Column, own: Column) -> Column:
         after = F.filter(headings, lambda h: (h["start"] > own["start"]) & (h["level"] <= own["level"]))
         end = F.coalesce(F.get(after, F.lit(0))["start"], F.length(body) + 1)
-        return F.substring(F.substring(body, own["start"], end - own["start"]), 1, 14000)
+        return F.substring(body, own["start"], end - own["start"])
 
     def at_place(at: Column) -> Column:
         cut = let(
             placed,
             lambda headings: let(
                 F.filter(headings, lambda h: h["start"] <= at),
-                lambda before: F.when(F.size(before) == 0, F.substring(body, 1, 7000)).otherwise(
+                lambda before: F.when(F.size(before) == 0, body).otherwise(
                     let(F.get(before, F.size(before) - 1), lambda own: from_heading(headings, own))
                 ),
             ),

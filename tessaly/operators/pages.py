@@ -7,12 +7,12 @@ what is gathered are keys, page numbers and lengths.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessaly.functions import vocabulary as V
-from tessaly.functions.text import bare_key, contains_any, count_present, let, lines, ordered_join, single_spaced, strip
+from tessaly.functions.text import bare_key, contains_any, let, lines, ordered_join, single_spaced, strip
 from tessaly.operators.segmented import latest_at, neighbour, ranked
 
 
@@ -82,21 +82,18 @@ def with_roles(pages: DataFrame) -> DataFrame:
 
 
 def document_profile(pages: DataFrame, types: DataFrame) -> DataFrame:
-    """Kind and processing strategy. Markers are looked for in the first 14000 characters only;
-    every page adds at least one separator, so 14001 pages are enough to see them."""
-    head = (
-        pages.filter(F.col("page_no") <= 14001)
-        .groupBy("doc")
-        .agg(F.lower(F.substring(ordered_join("\n", F.col("page_no"), F.substring("text", 1, 14000)), 1, 14000)).alias("head"))
-    )
+    """Kind and processing strategy. Markers are looked for on all pages of a document; no marker spans
+    pages, so flags of pages are combined on the map side and no text is gathered."""
+    flags = [F.max(F.lower("text").contains(marker)).cast("int") for marker in V.PAPER_MARKERS]
     totals = pages.groupBy("doc").agg(
         F.count(F.lit(1)).alias("page_count"),
         (F.sum(F.length("text")) + F.count(F.lit(1)) - 1).alias("character_count"),
+        sum(flags, F.lit(0)).alias("markers"),
     )
-    paper = (count_present(F.col("head"), V.PAPER_MARKERS) >= 2) | F.lower("doc_type").isin("paper", "论文")
+    paper = (F.col("markers") >= 2) | F.lower("doc_type").isin("paper", "论文")
     compact = ~F.col("paper") & (F.col("page_count") <= 10) & (F.col("character_count") <= 18000)
     return (
-        totals.join(head, "doc").join(types, "doc").withColumn("paper", paper)
+        totals.join(types, "doc").withColumn("paper", paper)
         .select(
             "doc", "page_count", "character_count",
             F.when(F.col("paper"), "paper").when(F.lower("doc_type").isin("course", "课程"), "course").otherwise("other").alias("kind"),
@@ -106,9 +103,9 @@ def document_profile(pages: DataFrame, types: DataFrame) -> DataFrame:
 
 
 def chapter_starts(roled: DataFrame) -> DataFrame:
-    """First chapter line among the first 24 lines of each content page."""
+    """First chapter line of each content page."""
     candidates = F.filter(
-        F.transform(F.slice(lines("text"), 1, 24), lambda line: strip(single_spaced(line))),
+        F.transform(lines("text"), lambda line: strip(single_spaced(line))),
         lambda line: line.rlike(V.CHAPTER_LINE),
     )
     return (
@@ -139,7 +136,7 @@ def dedupe_chapter_starts(starts: DataFrame) -> DataFrame:
         usable.join(by_key, ["doc", "key"])
         .join(by_number, ["doc", "number"], "left")
         .filter((F.col("page_no") == F.col("first_of_key")) & (F.col("page_no") == F.coalesce("first_of_number", "page_no")))
-        .select("doc", "page_no", F.substring("heading", 1, 120).alias("heading"))
+        .select("doc", "page_no", "heading")
     )
 
 
@@ -180,8 +177,7 @@ def normalise_chapters(plan: DataFrame, roled: DataFrame) -> DataFrame:
     """Clamp a chapter plan to content pages, merge equal starts, make ranges contiguous.
 
     ``plan``: doc, item, title, start_page, end_page, key_terms. Content pages in a range are
-    found by two as-of lookups. At most 32 chapters of a document remain before the windows
-    that order them.
+    found by two as-of lookups; chapters are ordered per block of pages.
     """
     counts = roled.groupBy("doc").agg(F.max("page_count").alias("page_count"), F.count_if(F.col("role") == "content").alias("content"))
     content = roled.join(counts.select("doc", F.col("content").alias("_content")), "doc").filter("role = 'content' OR _content = 0")
@@ -203,23 +199,21 @@ def normalise_chapters(plan: DataFrame, roled: DataFrame) -> DataFrame:
     ).filter((F.col("start_page") <= F.col("hi")) & (F.col("end_page") >= F.col("lo")))
 
     title = strip(F.regexp_replace(strip("title"), r"^#+", ""))
-    tidy = both.withColumn("title", F.substring(F.when(title == "", "正文").otherwise(title), 1, 120))
+    terms = F.filter(F.transform(F.coalesce("key_terms", F.array().cast("array<string>")), lambda t: strip(t)), lambda t: t != "")
+    tidy = both.withColumn("title", F.when(title == "", "正文").otherwise(title)).withColumn("key_terms", terms)
     items = F.array_sort(F.collect_list(F.struct("end_page", "item", "title", "key_terms")))
-    later_terms = F.flatten(F.transform(F.slice("items", 2, 100000), lambda x: F.concat(F.array(x["title"]), x["key_terms"])))
+    later_terms = F.flatten(F.transform(F.slice("items", F.lit(2), F.size("items")), lambda x: F.concat(F.array(x["title"]), x["key_terms"])))
     merged = (
         tidy.groupBy("doc", "start_page").agg(F.max("end_page").alias("end_page"), items.alias("items"))
         .withColumn("title", F.col("items")[0]["title"])
-        .withColumn("key_terms", F.slice(F.array_distinct(F.concat(F.col("items")[0]["key_terms"], later_terms)), 1, 10))
+        .withColumn("key_terms", F.array_distinct(F.concat(F.col("items")[0]["key_terms"], later_terms)))
     )
-    place = Window.partitionBy("doc").orderBy("start_page")
-    capped = (
-        merged.withColumn("nth", F.row_number().over(place)).filter("nth <= 32")
-        .join(limits, "doc").join(bounds, "doc")
-        .filter(F.col("nth") <= F.greatest(F.lit(1), F.col("page_count")))
+    opening = merged.groupBy("doc").agg(F.min("start_page").alias("opening"))
+    followed = neighbour(merged.withColumn("block", block("start_page")), ["doc"], "block", ["start_page"], "start_page", "next_start", 1)
+    named = unique_titles(followed.join(bounds, "doc").join(opening, "doc")).withColumn(
+        "start_page", F.when(F.col("start_page") == F.col("opening"), F.col("first_page")).otherwise(F.col("start_page"))
     )
-    named = unique_titles(capped).withColumn("start_page", F.when(F.col("nth") == 1, F.col("first_page")).otherwise(F.col("start_page")))
-    following = F.lead("start_page").over(place)
-    ranged = named.withColumn("next_start", following).withColumn(
+    ranged = named.withColumn(
         "end_page",
         F.when(F.col("next_start").isNull(), F.col("last_page")).otherwise(F.greatest("start_page", F.col("next_start") - 1)),
     )

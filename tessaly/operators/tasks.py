@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessaly.functions import vocabulary as V
-from tessaly.functions.text import BLANK, as_column, count_present, contains_any, strip
+from tessaly.functions.text import as_column, count_present, contains_any, strip
 from tessaly.operators.segmented import ranked
 
 
 def canonical_title(value: Column | str) -> Column:
     """Subject, time and modal prefix removed, then blanks and punctuation, lower-cased."""
     bare = F.regexp_replace(strip(value), V.TITLE_PREFIX, "")
-    return F.lower(F.regexp_replace(bare, BLANK[:-1] + V.TITLE_NOISE[3:], ""))
+    return F.lower(F.regexp_replace(bare, V.TITLE_NOISE, ""))
 
 
 def week_day(today: Column, weekday: int) -> Column:
@@ -93,20 +93,15 @@ def attach_subtasks(tasks: DataFrame, subtasks: DataFrame) -> DataFrame:
     return opened.join(placed, opened["id"] == placed["task_id"], "left").drop("task_id")
 
 
-def admit_new(candidates: DataFrame, existing: DataFrame, per_request: int = 8) -> DataFrame:
+def admit_new(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """Candidates of a request (one per owner) whose canonical title is not open yet.
 
-    A blank title fails its whole request. At most eight candidates of a request are looked
-    at, before duplicates are removed; the row-number limit is applied map-side.
+    A blank title fails its whole request. All candidates and whole titles are looked at.
     """
-    from pyspark.sql import Window
-
     failed = candidates.filter(strip("title") == "").select("owner").distinct()
-    first = Window.partitionBy("owner").orderBy("id")
     looked_at = (
         candidates.join(failed, "owner", "left_anti")
-        .withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_request)
-        .withColumn("canonical", canonical_title(F.substring(strip("title"), 1, 80)))
+        .withColumn("canonical", canonical_title("title"))
         .filter("canonical <> ''")
     )
     earliest = looked_at.groupBy("owner", "canonical").agg(F.min("id").alias("id"))
@@ -115,19 +110,17 @@ def admit_new(candidates: DataFrame, existing: DataFrame, per_request: int = 8)
 
 
 def normalize_task(tasks: DataFrame) -> DataFrame:
-    """Trimmed and bounded fields with defaults; subtasks are an array column."""
-    title = F.substring(strip("title"), 1, 80)
+    """Trimmed fields with defaults; subtasks are an array column."""
+    title = strip("title")
     priority = F.lower(F.coalesce("priority", F.lit("medium")))
-    steps = F.slice(
-        F.filter(F.transform("subtasks", lambda s: F.substring(strip(s), 1, 100)), lambda s: s != ""), 1, 8
-    )
+    steps = F.filter(F.transform("subtasks", lambda s: strip(s)), lambda s: s != "")
     default = F.array(
         F.concat(F.lit("准备完成“"), title, F.lit("”所需材料")), F.concat(F.lit("执行“"), title, F.lit("”并记录进度")), F.lit("检查结果并完成提交或复盘")
     )
     described = F.when(F.coalesce("description", F.lit("")) == "", F.col("title")).otherwise(F.col("description"))
     return tasks.filter(title != "").select(
-        "id", title.alias("title"), F.substring(strip(described), 1, 500).alias("description"),
-        F.substring(strip(F.coalesce("deadline", F.lit(""))), 1, 80).alias("deadline"),
+        "id", title.alias("title"), strip(described).alias("description"),
+        strip(F.coalesce("deadline", F.lit(""))).alias("deadline"),
         F.when(priority.isin("high", "medium", "low"), priority).otherwise("medium").alias("priority"),
         F.when(F.size(steps) > 0, steps).otherwise(default).alias("subtasks"),
     )

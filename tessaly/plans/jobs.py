@@ -124,11 +124,15 @@ def labels(spark, sf_dir):
     return view(spark, sf_dir, "job_events").select("event_id", F.coalesce(F.try_element_at(names, F.col("status")), F.lit("可学习")).alias("label"))
 
 
+# When items are looked at: after the last event.
+CLOCK = "2024-02-01 00:00:00"
+
+
 @query("x1_stale_heartbeats", f"""{EVENTS}, followed AS (SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS next_ts FROM job_events)
-    SELECT job_id, event_id, CASE WHEN cancel_requested THEN 'cancelled' ELSE 'queued' END AS status, (epoch_us(next_ts) - epoch_us(ts)) / 1000000 AS silent_seconds FROM followed
-    WHERE status IN ('running', 'cancelling') AND epoch_us(next_ts) - epoch_us(ts) > 75000000""")
+    SELECT job_id, event_id, CASE WHEN cancel_requested THEN 'cancelled' ELSE 'queued' END AS status, (epoch_us(coalesce(next_ts, TIMESTAMP '{CLOCK}')) - epoch_us(ts)) / 1000000 AS silent_seconds FROM followed
+    WHERE status IN ('running', 'cancelling') AND epoch_us(coalesce(next_ts, TIMESTAMP '{CLOCK}')) - epoch_us(ts) > 75000000""")
 def stale_jobs(spark, sf_dir):
-    return J.stale_gaps(view(spark, sf_dir, "job_events"))
+    return J.stale_gaps(view(spark, sf_dir, "job_events"), F.lit(CLOCK).cast("timestamp"))
 
 
 GAP = 6 * 3600

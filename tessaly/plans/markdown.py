@@ -231,15 +231,15 @@ SELECTED = "CASE id % 3 WHEN 0 THEN substr(body, 40, 60) WHEN 1 THEN 'not in the
 
 @query("d19_reading_context", rf"""{MD},
     picked AS (SELECT id, body, {SELECTED} AS sel FROM markdown),
-    cut AS (SELECT id, body, sel, substr({strip_sql(spaced_sql('sel'))}, 1, 80) AS probe,
+    cut AS (SELECT id, body, sel, {strip_sql(spaced_sql('sel'))} AS probe,
       list_filter(list_transform(string_split_regex(body, '\n{WS}*\n'), lambda b: {strip_sql('b')}), lambda b: b <> '') AS bs FROM picked),
     hit AS (SELECT *, coalesce(list_position(list_transform(bs, lambda b: probe <> '' AND contains({spaced_sql('b')}, probe)), true), 0) AS pos FROM cut)
-    SELECT id, sel AS selection, CASE WHEN pos = 0 THEN sel ELSE array_to_string(bs[greatest(1, pos - 1):pos + 1], {NL2}) END AS paragraph, substr(body, 1, 60000) AS document FROM hit""")
+    SELECT id, sel AS selection, CASE WHEN pos = 0 THEN sel ELSE array_to_string(bs[greatest(1, pos - 1):pos + 1], {NL2}) END AS paragraph, body AS document FROM hit""")
 def reading_context(spark, sf_dir):
     docs = view(spark, sf_dir, "markdown").withColumn("sel", F.expr(SELECTED))
     return docs.select(
         "id", F.col("sel").alias("selection"), M.paragraph_context(F.col("body"), F.col("sel")).alias("paragraph"),
-        F.substring("body", 1, 60000).alias("document"),
+        F.col("body").alias("document"),
     )
 
 
@@ -254,8 +254,8 @@ LEVEL_SQL = r"len(regexp_extract(p, '^(#{1,4})@+.', 1))".replace("@", WS)
     own AS (SELECT id, max(st) AS st FROM heads WHERE lvl > 0 AND st <= loc GROUP BY id),
     levelled AS (SELECT o.id, o.st, h.lvl FROM own o JOIN heads h ON h.id = o.id AND h.st = o.st AND h.lvl > 0),
     ends AS (SELECT o.id, o.st, min(h.st) AS en FROM levelled o LEFT JOIN heads h ON h.id = o.id AND h.lvl > 0 AND h.st > o.st AND h.lvl <= o.lvl GROUP BY ALL)
-    SELECT id, CASE WHEN loc = 0 THEN sel WHEN e.st IS NULL THEN substr(body, 1, 7000)
-      ELSE substr(substr(body, CAST(e.st AS BIGINT), CAST(coalesce(en, len(body) + 1) - e.st AS BIGINT)), 1, 14000) END AS section FROM cut LEFT JOIN ends e USING (id)""")
+    SELECT id, CASE WHEN loc = 0 THEN sel WHEN e.st IS NULL THEN body
+      ELSE substr(body, CAST(e.st AS BIGINT), CAST(coalesce(en, len(body) + 1) - e.st AS BIGINT)) END AS section FROM cut LEFT JOIN ends e USING (id)""")
 def section_context(spark, sf_dir):
     docs = view(spark, sf_dir, "markdown").withColumn("sel", F.expr(SELECTED))
     return docs.select("id", M.section_context(F.col("body"), F.col("sel")).alias("section"))

@@ -71,7 +71,7 @@ PROFILE_PAGES = ("book_pages AS (SELECT conv_id AS doc, CAST(turn + 1 AS INT) AS
 
 @query("d2_document_profile", f"""WITH {PROFILE_PAGES},
     joined AS (SELECT doc, string_agg(text, chr(10) ORDER BY page_no) AS body, count(*) AS page_count FROM book_pages GROUP BY doc),
-    flagged AS (SELECT *, CASE doc % 4 WHEN 0 THEN 'Course' WHEN 1 THEN '论文' ELSE 'note' END AS doc_type, {present_sql('lower(substr(body, 1, 14000))', V.PAPER_MARKERS)} AS hits FROM joined),
+    flagged AS (SELECT *, CASE doc % 4 WHEN 0 THEN 'Course' WHEN 1 THEN '论文' ELSE 'note' END AS doc_type, {present_sql('lower(body)', V.PAPER_MARKERS)} AS hits FROM joined),
     judged AS (SELECT *, hits >= 2 OR lower(doc_type) IN ('paper', '论文') AS paper FROM flagged)
     SELECT doc, page_count, len(body) AS character_count,
       CASE WHEN paper THEN 'paper' WHEN lower(doc_type) IN ('course', '课程') THEN 'course' ELSE 'other' END AS kind,
@@ -88,13 +88,13 @@ def profile(spark, sf_dir):
 
 
 STARTS = f"""{BOOK},
-    each AS (SELECT doc, page_no, unnest(ls[1:24]) AS raw, unnest(range(1, least(len(ls), 24) + 1)) AS line_no FROM (SELECT doc, page_no, {lines_sql('text')} AS ls FROM roled WHERE role = 'content')),
+    each AS (SELECT doc, page_no, unnest(ls) AS raw, unnest(range(1, len(ls) + 1)) AS line_no FROM (SELECT doc, page_no, {lines_sql('text')} AS ls FROM roled WHERE role = 'content')),
     starts AS (SELECT doc, page_no, arg_min(line, line_no) AS heading FROM (SELECT doc, page_no, line_no, {strip_sql(spaced_sql('raw'))} AS line FROM each)
       WHERE regexp_matches(line, '{V.CHAPTER_LINE}') GROUP BY doc, page_no),
     cleaned AS (SELECT doc, page_no, regexp_replace(heading, '^[ \\-_:：]+|[ \\-_:：]+$', '', 'g') AS heading FROM starts),
     usable AS (SELECT doc, page_no, heading, {key_sql('heading')} AS k, regexp_extract(heading, '{V.CHAPTER_NUMBER}', 1) AS num FROM cleaned
       WHERE NOT {any_sql('lower(heading)', V.ANSWER_KEY_MARKERS)}),
-    accepted AS (SELECT doc, page_no, substr(heading, 1, 120) AS heading FROM (
+    accepted AS (SELECT doc, page_no, heading FROM (
       SELECT *, row_number() OVER (PARTITION BY doc, k ORDER BY page_no) AS nk, row_number() OVER (PARTITION BY doc, num ORDER BY page_no) AS nn FROM usable WHERE k <> '')
       WHERE nk = 1 AND (nn = 1 OR num = ''))"""
 
@@ -135,11 +135,10 @@ def titles(spark, sf_dir):
     placed AS (SELECT p.doc, p.item, trim(ltrim(p.title, '#')) AS title, min(l.page_no) AS start_page, max(l.page_no) AS end_page
       FROM clamped p JOIN learning l ON l.doc = p.doc AND l.page_no BETWEEN p.lo AND p.hi GROUP BY ALL),
     numbered AS (SELECT *, row_number() OVER (PARTITION BY doc, start_page ORDER BY end_page, item) AS m, max(end_page) OVER (PARTITION BY doc, start_page) AS top FROM placed),
-    terms AS (SELECT doc, start_page, string_agg(title, '|' ORDER BY m) AS key_terms FROM (
-        SELECT *, row_number() OVER (PARTITION BY doc, start_page ORDER BY m) AS r FROM (SELECT doc, start_page, title, min(m) AS m FROM numbered WHERE m > 1 GROUP BY ALL)) WHERE r <= 10 GROUP BY ALL),
+    terms AS (SELECT doc, start_page, string_agg(title, '|' ORDER BY m) AS key_terms FROM (SELECT doc, start_page, title, min(m) AS m FROM numbered WHERE m > 1 GROUP BY ALL) GROUP BY ALL),
     merged AS (SELECT n1.doc, n1.start_page, n1.title, n1.top AS end_page, coalesce(t.key_terms, '') AS key_terms, row_number() OVER (PARTITION BY n1.doc ORDER BY n1.start_page) AS nth
       FROM numbered n1 LEFT JOIN terms t ON t.doc = n1.doc AND t.start_page = n1.start_page WHERE n1.m = 1),
-    capped AS (SELECT m.*, c.n FROM merged m JOIN counts c USING (doc) WHERE nth <= greatest(1, least(n, 32))),
+    capped AS (SELECT m.*, c.n FROM merged m JOIN counts c USING (doc) WHERE nth <= greatest(1, n)),
     named AS (SELECT doc, nth, key_terms, CASE WHEN nth = 1 THEN (SELECT min(page_no) FROM learning l WHERE l.doc = capped.doc) ELSE start_page END AS start_page,
         CASE WHEN row_number() OVER (PARTITION BY doc, title ORDER BY nth) > 1 THEN concat(title, '（续）') ELSE title END AS title FROM capped)
     SELECT doc, title, start_page, CASE WHEN following IS NULL THEN (SELECT max(page_no) FROM learning l WHERE l.doc = led.doc) ELSE greatest(start_page, following - 1) END AS end_page, key_terms

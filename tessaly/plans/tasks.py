@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessaly.functions import vocabulary as V
 from tessaly.operators import tasks as K
 from tessaly.plans.registry import query
-from tessaly.plans.views import WS, any_sql, present_sql, strip_sql, view, view_sql
+from tessaly.plans.views import any_sql, present_sql, strip_sql, view, view_sql
 from tessaly.session import table
 
 TODAY = "2024-01-17"
@@ -15,8 +15,7 @@ TASKS = f"WITH {view_sql('tasks')}"
 
 
 def canonical_sql(expr: str) -> str:
-    noise = WS[:-1] + V.TITLE_NOISE[3:]
-    return f"lower(regexp_replace(regexp_replace({strip_sql(expr)}, '{V.TITLE_PREFIX}', ''), '{noise}', '', 'g'))"
+    return f"lower(regexp_replace(regexp_replace({strip_sql(expr)}, '{V.TITLE_PREFIX}', ''), '{V.TITLE_NOISE}', '', 'g'))"
 
 
 def _deadline_sql() -> str:
@@ -100,8 +99,7 @@ RAW_TITLE = "CASE WHEN id % 211 = 0 THEN '  ' ELSE title END"
 
 @query("j3_admit_new", f"""{TASKS},
     cand AS (SELECT owner, id, {RAW_TITLE} AS title FROM tasks WHERE id % 2 = 0),
-    looked AS (SELECT *, {canonical_sql(f"substr({strip_sql('title')}, 1, 80)")} AS canonical FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY id) AS n FROM cand
-      WHERE owner NOT IN (SELECT owner FROM cand WHERE {strip_sql('title')} = '')) WHERE n <= 8),
+    looked AS (SELECT *, {canonical_sql('title')} AS canonical FROM cand WHERE owner NOT IN (SELECT owner FROM cand WHERE {strip_sql('title')} = '')),
     known AS (SELECT DISTINCT owner, {canonical_sql('title')} AS canonical FROM tasks WHERE id % 2 = 1 AND status <> 'done')
     SELECT owner, canonical, min(id) AS id FROM looked ANTI JOIN known USING (owner, canonical) WHERE canonical <> '' GROUP BY ALL""")
 def admitted(spark, sf_dir):
@@ -116,8 +114,8 @@ def canonical(spark, sf_dir):
 
 
 @query("c4_normalize_task", f"""{TASKS}, stepped AS (SELECT *, CASE WHEN id % 3 = 0 THEN [' a' || id, '  ', 'b '] WHEN id % 3 = 1 THEN ['1', '2', '3', ' ', '4', '5', '6', '7', '8', '9'] ELSE [' '] END AS raw FROM tasks),
-    tidy AS (SELECT *, substr({strip_sql('title')}, 1, 80) AS ti, list_filter(list_transform(raw, lambda s: substr({strip_sql('s')}, 1, 100)), lambda s: s <> '')[1:8] AS steps FROM stepped)
-    SELECT id, ti AS title, substr({strip_sql("CASE WHEN id % 2 = 0 THEN 'about ' || id ELSE title END")}, 1, 500) AS description, substr({strip_sql("coalesce(deadline, '')")}, 1, 80) AS deadline,
+    tidy AS (SELECT *, {strip_sql('title')} AS ti, list_filter(list_transform(raw, lambda s: {strip_sql('s')}), lambda s: s <> '') AS steps FROM stepped)
+    SELECT id, ti AS title, {strip_sql("CASE WHEN id % 2 = 0 THEN 'about ' || id ELSE title END")} AS description, {strip_sql("coalesce(deadline, '')")} AS deadline,
       CASE WHEN lower(priority) IN ('high', 'medium', 'low') THEN lower(priority) ELSE 'medium' END AS priority,
       array_to_string(CASE WHEN len(steps) > 0 THEN steps ELSE ['准备完成“' || ti || '”所需材料', '执行“' || ti || '”并记录进度', '检查结果并完成提交或复盘'] END, '|') AS subtasks FROM tidy WHERE ti <> ''""")
 def normalized(spark, sf_dir):
