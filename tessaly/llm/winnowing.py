@@ -2,8 +2,9 @@
 
 Every ``k`` words that follow each other are hashed; of each ``window - k + 1`` neighbouring hashes the least is kept with
 its place. Two texts that share ``window`` words in a row keep the same hash there, so a join on kept hashes meets every
-shared window. Each meeting is extended: the item is laid over the document at that place and all its windows are
-compared word by word, so chance meetings go and exact occurrences stay. Items shorter than ``window`` words are one
+shared window. Each meeting is extended: the item's words around the hash, as far as windows with it reach, are laid over
+the document at that place and compared word by word, so chance meetings go and exact occurrences stay. A fingerprint
+carries those ``2 * window - k`` words at most, never its whole item. Items shorter than ``window`` words are one
 window of their own length, and for the lengths that occur all runs of that many words of a document are hashed.
 
 Null or wordless texts of documents have no words and no hits; null or wordless items are no windows. Rows alike in id
@@ -22,8 +23,9 @@ from tessaly.llm.storage import materialise
 
 #: Every ASCII sign but letters and digits parts words.
 PARTING = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
-#: Fingerprints of items that are sent to all executors; more are joined by shuffling.
+#: Fingerprints of items that are sent to all executors, and bytes of their words; more are joined by shuffling.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 #: Low bits of a packed fingerprint hold the place.
 PLACE_BITS = 24
 PLACE_MASK = (1 << PLACE_BITS) - 1
@@ -87,21 +89,21 @@ def fingerprints(worded: Column, k: int, window: int, short: list[int], whole: b
 
 
 def item_fingerprints(items: DataFrame, k: int, window: int) -> DataFrame:
-    """``key, item_id, item_place, item_words``: rows of the items that have words."""
+    """``key, item_id, item_place, near``: fingerprints of the items that have words, each with the item's words that windows
+    around it can hold (short items: all) and its place among them."""
     worded = items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text").cast("string")).alias("item_words")).where(F.size("item_words") > 0).distinct()
     size = F.size("item_words")
     long = worded.where(size >= window).select("*", F.explode(fingerprints(F.col("item_words"), k, window, [], False)).alias("f"))
-    parts = [long.select(F.col("f.key").alias("key"), "item_id", F.col("f.place").alias("item_place"), "item_words")]
+    first = F.greatest(F.lit(0), F.col("f.place") - (window - k))
+    near = F.slice("item_words", first + 1, F.least(size, F.col("f.place") + window) - first)
+    out = long.select(F.col("f.key").alias("key"), "item_id", (F.col("f.place") - first).alias("item_place"), near.alias("near"))
     for n in range(1, window):
-        parts.append(worded.where(size == n).select(whole_hash(F.col("item_words"), n).alias("key"), "item_id", F.lit(0).alias("item_place"), "item_words"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        out = out.unionByName(worded.where(size == n).select(whole_hash(F.col("item_words"), n).alias("key"), "item_id", F.lit(0).alias("item_place"), F.col("item_words").alias("near")))
+    return out.distinct()
 
 
 def covered(document: Column, item: Column, at: Column, window: int) -> Column:
-    """Places of the document inside a window of the item, when the item's first word lies at ``at`` (may be negative)."""
+    """Places of the document inside a window of the item's words, when the first of them lies at ``at`` (may be negative)."""
     span = F.least(F.lit(window), F.size(item))
     starts = F.filter(
         F.sequence(F.lit(0), F.size(item) - span),
@@ -110,31 +112,31 @@ def covered(document: Column, item: Column, at: Column, window: int) -> Column:
     return F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(at + s, at + s + span - 1))))
 
 
-def find_hits(docs: DataFrame, items: DataFrame, k: int = 5, window: int = 13, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def find_hits(docs: DataFrame, items: DataFrame, k: int = 5, window: int = 13, broadcast_rows: int = BROADCAST_ROWS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per document: ``doc_id, text_key, n_words, places`` (its words inside windows) and ``item_ids`` (sorted strings)."""
     known = materialise(item_fingerprints(items, k, window), "items")
-    sizes = known.groupBy(F.least(F.size("item_words"), F.lit(window)).alias("n")).count().collect()
+    # At most ``window`` rows.
+    sizes = known.groupBy(F.least(F.size("near"), F.lit(window)).alias("n")).agg(F.count(F.lit(1)).alias("count"), F.sum(F.octet_length(F.array_join("near", " "))).alias("bytes")).collect()
     short = sorted(r["n"] for r in sizes if r["n"] < window)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), words(F.col("text").cast("string")).alias("words"))
     # The array is a column of its own, so that exploding and joining compile into one stage and copy words only for rows that meet.
     marked = rows.withColumn("marks", fingerprints(F.col("words"), k, window, short, True))
     marks = marked.select("doc_id", "text_key", "words", F.explode("marks").alias("f")).select("doc_id", "text_key", "words", F.col("f.key").alias("key"), F.col("f.place").alias("place"))
     none = known.sparkSession.createDataFrame([(WHOLE, None, None, None)], known.schema)
-    if sum(r["count"] for r in sizes) <= broadcast_rows:
+    if sum(r["count"] for r in sizes) <= broadcast_rows and sum(r["bytes"] for r in sizes) <= broadcast_bytes:
         met = marks.join(F.broadcast(known.unionByName(none)), "key")
     else:
         # Places alone are shuffled; the words of the documents that met an item are joined afterwards.
         placed = marked.select("doc_id", "text_key", F.size("words").alias("n"), F.explode("marks").alias("f"))
         flat = placed.select("doc_id", "text_key", "n", F.col("f.key").alias("key"), F.col("f.place").alias("place"))
-        hits = flat.where("place >= 0").join(known.select("key", "item_id", "item_place"), "key").select("doc_id", "text_key", (F.col("place") - F.col("item_place")).alias("at"), "item_id").distinct()
-        texts = known.select("item_id", "item_words").distinct()
-        found = hits.join(texts, "item_id").join(rows.dropDuplicates(["doc_id", "text_key"]).withColumnRenamed("doc_id", "d").withColumnRenamed("text_key", "t"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")))
-        met = found.select("doc_id", "text_key", "words", F.lit(0).cast("bigint").alias("key"), F.col("at").alias("place"), "item_id", F.lit(0).alias("item_place"), "item_words").unionByName(
-            flat.where("place < 0").select("doc_id", "text_key", F.lit(None).cast("array<string>").alias("words"), F.lit(WHOLE).cast("bigint").alias("key"), "place", F.lit(None).cast("string").alias("item_id"), F.lit(None).cast("int").alias("item_place"), F.lit(None).cast("array<string>").alias("item_words"), "n"), allowMissingColumns=True)
+        hits = flat.where("place >= 0").join(known, "key").select("doc_id", "text_key", (F.col("place") - F.col("item_place")).alias("place"), "item_id", "near").distinct()
+        texts = rows.dropDuplicates(["doc_id", "text_key"]).toDF("d", "t", "words")
+        found = hits.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")))
+        met = found.select("doc_id", "text_key", "words", "place", F.lit(0).alias("item_place"), "item_id", "near").unionByName(flat.where("place < 0").select("doc_id", "text_key", "place", "n"), allowMissingColumns=True)
     counted = "n" in met.columns
     laid = met.where((F.col("place") < 0) | F.col("item_id").isNotNull()).select(
         "doc_id", "text_key", "item_id", F.when(F.col("place") < 0, F.col("n") if counted else F.size("words")).alias("n_words"),
-        F.when(F.col("item_id").isNotNull(), covered(F.col("words"), F.col("item_words"), F.col("place") - F.col("item_place"), window)).alias("places"),
+        F.when(F.col("item_id").isNotNull(), covered(F.col("words"), F.col("near"), F.col("place") - F.col("item_place"), window)).alias("places"),
     ).withColumn("item_id", F.when(F.size("places") > 0, F.col("item_id")))
     grouped = laid.groupBy("doc_id", "text_key").agg(
         F.max("n_words").cast("bigint").alias("n_words"), F.count("n_words").alias("copies"), F.array_sort(F.collect_set("item_id")).alias("item_ids"),
