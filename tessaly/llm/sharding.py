@@ -2,8 +2,8 @@
 
 Equal texts form a group that stays together. A partial partition holds one sum per shard. The two partial partitions with
 the largest spread are merged again and again, the largest sum of one with the smallest of the other. Groups are dealt
-by hash into cells of bounded size; each cell is differenced in a task of its own and leaves one partial partition,
-and those are differenced in the same way (partial partitions only: one row per cell).
+by hash into cells of bounded size; each cell is differenced in a task of its own and leaves one partial partition.
+Those are differenced in the same way, ``FAN_IN`` of them by one task, level by level until one is left.
 
 Null texts count as empty. Null ids, ties and repeated rows are kept and get slots of their own (rows alike in id and
 text in any order). Other columns are ignored. An empty table gives no rows.
@@ -22,6 +22,8 @@ from tessaly.llm.storage import materialise
 
 #: Groups differenced by one task, and rows numbered by one task, on average.
 CELL_ROWS = 50_000
+#: Partial partitions merged by one task.
+FAN_IN = 1000
 
 
 def difference_sums(partials: list[list[int]], shards: int) -> list[list[int]]:
@@ -98,7 +100,7 @@ def difference_items(sizes: list[int], shards: int) -> tuple[list[int], list[int
     return place, sums
 
 
-def assign_groups(groups: DataFrame, shards: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+def assign_groups(groups: DataFrame, shards: int, cell_rows: int = CELL_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """``key, shard`` for rows ``key, bytes`` with unique keys."""
     cells = max(1, math.ceil(groups.count() / cell_rows))
 
@@ -107,27 +109,41 @@ def assign_groups(groups: DataFrame, shards: int, cell_rows: int = CELL_ROWS) ->
         place, sums = difference_items(rows["bytes"].tolist(), shards)
         return pd.DataFrame({"key": rows["key"], "cell": cell[0], "role": place, "total": [sums[p] for p in place]})
 
-    def across(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("cell")
+    def across(cell: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("child")
         placed = difference_sums([list(s) for s in rows["sums"]], shards)
-        return pd.DataFrame({"cell": [c for c in rows["cell"] for _ in range(shards)], "role": list(range(shards)) * len(rows), "shard": [s for p in placed for s in p]})
+        totals = [0] * shards
+        for sums, places in zip(rows["sums"], placed, strict=True):
+            for size, place in zip(sums, places, strict=True):
+                totals[place] += int(size)
+        return pd.DataFrame({
+            "child": [c for c in rows["child"] for _ in range(shards)], "role": list(range(shards)) * len(rows),
+            "cell": cell[0], "up": [p for places in placed for p in places], "total": [totals[p] for places in placed for p in places],
+        })
 
     dealt = groups.withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells)).cast("int"))
-    roles = materialise(dealt.groupBy("cell").applyInPandas(within, "key binary, cell int, role int, total bigint"), "roles")
-    totals = [F.coalesce(F.max(F.when(F.col("role") == k, F.col("total"))), F.lit(0)) for k in range(shards)]
-    sums = roles.groupBy("cell").agg(F.array(*totals).alias("sums"))
-    shard = sums.groupBy(F.lit(1).alias("all")).applyInPandas(across, "cell int, role int, shard int")
-    return roles.join(shard, ["cell", "role"]).select("key", "shard")
-
-
-def shard_by_bytes(docs: DataFrame, shards: int = 16, cell_rows: int = CELL_ROWS) -> DataFrame:
+    placed = materialise(dealt.groupBy("cell").applyInPandas(within, "key binary, cell int, role int, total bigint"), "roles")
+    level = placed
+    while True:
+        totals = [F.coalesce(F.max(F.when(F.col("role") == k, F.col("total"))), F.lit(0)) for k in range(shards)]
+        sums = level.groupBy(F.col("cell").alias("child")).agg(F.array(*totals).alias("sums"))
+        cells = math.ceil(cells / fan_in)
+        merged = sums.groupBy((F.pmod(F.col("child"), F.lit(cells))).alias("cell")).applyInPandas(across, "child int, role int, cell int, up int, total bigint")
+        merged = materialise(merged, "merged")
+        placed = placed.select("key", F.col("cell").alias("child"), "role").join(merged, ["child", "role"]).select("key", "cell", F.col("up").alias("role"))
+        if cells == 1:
+            return placed.select("key", F.col("role").alias("shard"))
+        level = merged.select("cell", F.col("up").alias("role"), "total").distinct()
+
+
+def shard_by_bytes(docs: DataFrame, shards: int = 16, cell_rows: int = CELL_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot``: groups of equal texts whole, byte sums near equal, slots gapless."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = materialise(docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.md5(text)).alias("key"), (F.octet_length(text).cast("bigint") + 1).alias("size"), F.crc32(text).alias("text_crc32"),
     ), "sizes")
     groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
-    placed = materialise(rows.join(assign_groups(groups, shards, cell_rows), "key").drop("key"), "placed")
+    placed = materialise(rows.join(assign_groups(groups, shards, cell_rows, fan_in), "key").drop("key"), "placed")
     return number_slots(placed, cell_rows)
 
 
