@@ -194,10 +194,15 @@ def mixed_buckets(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def rare_shingles(sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """``rep, label, n_shingles, shingle, alone``: the rare shingles of each class among the given sets."""
-    named = sets.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"), F.size("shingles").alias("n_shingles"), F.explode("shingles").alias("shingle"))
-    counted = named.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
-    return named.join(counted.where((F.col("low") == F.col("high")) | (F.col("n") <= RARE)).select("shingle", (F.col("low") == F.col("high")).alias("alone")), "shingle")
+    """``rep, label, n_shingles, shingle, alone``: the rare shingles of each class among the given sets.
+
+    A shingle of one or two classes names them by its least and largest class; only shingles of more are joined back."""
+    named = sets.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select(F.struct("rep", F.coalesce("label", "rep").alias("label"), F.size("shingles").alias("n_shingles")).alias("of"), F.explode("shingles").alias("shingle"))
+    counted = named.groupBy("shingle").agg(F.min("of").alias("first"), F.max("of").alias("last"), F.min("of.label").alias("low"), F.max("of.label").alias("high"), F.count(F.lit(1)).alias("n"))
+    counted = materialise(counted.withColumn("alone", F.col("low") == F.col("high")).where(F.col("alone") | (F.col("n") <= RARE)).select("shingle", "first", "last", "n", "alone"), "rare-counts")
+    few = counted.where("n <= 2").select(F.explode(F.array_distinct(F.array("first", "last"))).alias("of"), "shingle", "alone")
+    more = named.join(counted.where("n > 2").select("shingle", "alone"), "shingle").select("of", "shingle", "alone")
+    return few.unionByName(more).select("of.*", "shingle", "alone")
 
 
 def rare_pairs(rare: DataFrame, percent: int) -> DataFrame:
