@@ -158,6 +158,19 @@ def test_decontamination(spark, texts, odd, none, broadcast_rows):
     assert winnowing.decontaminate(none, table).count() == 0 and not winnowing.decontaminate(odd, table.where("item_id = -1")).where("n_hit > 0").count()
 
 
+def test_long_items_keep_small_fingerprints(spark):
+    """An item of 3000 words, one that repeats a word, and documents that hold stretches of 12 and 13 of their words."""
+    item = [f"w{i % 700}x{i % 11}" for i in range(3000)]
+    items = [(1, " ".join(item)), (2, "again " * 500)]
+    docs = [(1, " ".join(item[1000:1013])), (2, " ".join(item[1000:1012])), (3, "a b " + " ".join(item[2980:]) + " c"), (4, "again " * 40), (5, " ".join(["z", *item[:14]]))]
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    known = winnowing.item_fingerprints(table, 5, 13)
+    assert known.selectExpr("max(size(near)) AS n").first()["n"] == 21
+    for limit in (winnowing.BROADCAST_BYTES, 0):
+        rows = winnowing.judged(winnowing.find_hits(spark.createDataFrame(docs, "doc_id bigint, text string"), table, broadcast_bytes=limit), 20).collect()
+        assert {r["doc_id"]: (r["n_words"], r["n_hit"], len(r["item_ids"])) for r in rows} == {k: plain_hits(t, items)[:3] for k, t in docs}
+
+
 def test_sharding(spark, texts, odd, none):
     rows = QUERIES["op9_sharding"](spark, SF_DIR).collect()
     sums, slots, place = Counter(), defaultdict(list), {}
@@ -169,8 +182,12 @@ def test_sharding(spark, texts, odd, none):
         slots[r["shard"]].append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(sums) == 16
     assert max(sums.values()) - min(sums.values()) < 0.02 * max(sums.values())
-    for cell_rows in (2, 1000):
-        small = sharding.shard_by_bytes(odd, 3, cell_rows).collect()
+    for cell_rows, fan_in in ((2, 2), (2, 1000), (1000, 1000)):
+        small = sharding.shard_by_bytes(odd, 3, cell_rows, fan_in).collect()
+        equal = defaultdict(set)
+        for r in small:
+            equal[r["text_crc32"]].add(r["shard"])
+        assert all(len(found) == 1 for found in equal.values())
         assert Counter(r["doc_id"] for r in small) == Counter(k for k, _, _ in ODD)
         for shard in range(3):
             assert sorted(r["slot"] for r in small if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in small)))
