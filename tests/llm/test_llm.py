@@ -306,11 +306,33 @@ def test_pipeline_stages(spark):
     import corpus_pipeline
 
     docs = read_table(spark, SF_DIR, "documents")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    items = [(r["item_id"], r["text"]) for r in read_table(spark, SF_DIR, "benchmark").collect()]
+
+    def compressible(text):
+        judged = quality_rules.count_text(text, quality_rules.zstandard.ZstdCompressor(level=quality_rules.LEVEL))
+        low, high = next((low, high) for below, low, high in quality_rules.BANDS if below is None or judged[5] < below)
+        return low <= judged[6] <= high and judged[7] <= quality_rules.ODD_CHUNKS * judged[8]
+
+    def good(text):
+        words, _, _, _, repeated = plain_counts(text)
+        return words >= 50 and 2 * repeated <= words and compressible(text)
+
+    expected = {
+        "quality rules": lambda rows: {k for k, t in rows.items() if good(t)},
+        "near duplicates": lambda rows: {k for k, (_, root) in plain_components(rows.items()).items() if k == root},
+        "decontamination": lambda rows: {k for k, t in rows.items() if not plain_hits(t, items)[4]},
+    }
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
         kept = stage(spark, docs, SF_DIR)
         assert kept.columns == docs.columns
-        assert kept.select("doc_id").exceptAll(docs.select("doc_id")).count() == 0
         docs = corpus_pipeline.materialise(kept, "stage")
+        after = {r["doc_id"] for r in docs.select("doc_id").collect()}
+        if name in expected:
+            assert after == expected[name](before), name
+        else:
+            scores = {r["doc_id"]: r["predicted"] for r in QUERIES["op2_toxicity"](spark, SF_DIR).collect()}
+            assert after == {k for k in before if not scores[k]}
     pieces = corpus_pipeline.run(spark, SF_DIR)
     assert {r["doc_id"] for r in pieces.select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
     assert set(ORACLES) <= set(QUERIES)
