@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,21 +27,47 @@ SEPARATOR = "\x00\x00"
 #: Documents in one file at most, so that a file fits in a task.
 DOCS_A_FILE = 10_000
 BLOCK = 1 << 20
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, path: str, docs_a_file: int = DOCS_A_FILE) -> None:
-    """Write the identifiers of every text, in the order of the rows of each task."""
+    """Write the identifiers of every text below ``kind=tokens``, in the order of the rows of each task, and below
+    ``kind=ids`` the ids of the same rows: task, place of the first, and one id (or "-") for each, in one line per call.
+
+    Both are written by the same attempt of the same task, so they belong together however the table is read."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(vocabulary)
+        part, place, coder = TaskContext.get().partitionId(), 0, encoder(vocabulary)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_A_CALL):
-                texts = [t or "" for t in whole.column("text").slice(at, ROWS_A_CALL).to_pylist()]
+                batch = whole.slice(at, ROWS_A_CALL)
+                texts = [t or "" for t in batch.column("text").to_pylist()]
                 stored = [(np.frombuffer(ids, "<u4") + 1).astype("<u2").tobytes() for ids in coder.encode(texts)]
-                yield pa.RecordBatch.from_arrays([pa.array(stored, pa.binary())], ["stored"])
+                line = " ".join(["-" if i is None else str(i) for i in (part, place, *batch.column("doc_id").to_pylist())])
+                place += len(stored)
+                yield pa.RecordBatch.from_arrays([pa.array([*stored, line.encode()], pa.binary()), pa.array(["tokens"] * len(stored) + ["ids"])], ["stored", "kind"])
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "stored binary")
-    # Spark's text writer puts bytes as they are, with the separator behind each row.
-    rows.select(F.col("stored").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", docs_a_file).text(path)
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "stored binary, kind string")
+    before = spark.conf.get(WRITERS, None)
+    # Both files of a task are open at once; else Spark would sort the rows by kind.
+    spark.conf.set(WRITERS, "4")
+    try:
+        # Spark's text writer puts bytes as they are, with the separator behind each row.
+        rows.select(F.col("stored").cast("string").alias("value"), "kind").write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", docs_a_file).partitionBy("kind").text(path)
+    finally:
+        spark.conf.unset(WRITERS) if before is None else spark.conf.set(WRITERS, before)
+    # An empty table leaves no folders.
+    for kind in ("tokens", "ids"):
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/kind={kind}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id, part, ordinal`` as the writing tasks have put them down."""
+    line = F.split("value", " ")
+    lines = spark.read.option("lineSep", SEPARATOR).text(path).select(line[0].cast("bigint").alias("part"), line[1].cast("bigint").alias("first"), F.slice(line, 3, F.size(line)).alias("ids"))
+    listed = lines.select("part", "first", F.posexplode("ids").alias("at", "id"))
+    return listed.select(F.nullif("id", F.lit("-")).cast("bigint").alias("doc_id"), "part", (F.col("first") + F.col("at")).alias("ordinal"))
 
 
 def scan_blocks(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
@@ -79,15 +106,20 @@ def stitch_blocks(blocks: DataFrame) -> DataFrame:
 def count_tokens(docs: DataFrame, vocabulary: str, docs_a_file: int = DOCS_A_FILE, block: int = BLOCK) -> DataFrame:
     """``doc_id, part, ordinal, n_tokens``: token files of a table are written, scanned, and led back to its ids.
 
-    ``docs`` must be a stored table (or a projection of one): the files name neither documents nor places, so the order
-    of rows in a task is what leads back, and only a stored table is read in the same splits again.
+    The files name no documents; what leads back is the list of ids that the writing tasks put beside them. ``docs`` is
+    read once. A document without a length, or a length without a document, is an error.
     """
     spark = docs.sparkSession
     path = new_folder(spark, "token-files")
     write_token_files(docs, vocabulary, path, docs_a_file)
-    name = F.regexp_extract("file", r"^part-(\d+)-.*?-c(\d+)", 1).cast("bigint"), F.regexp_extract("file", r"-c(\d+)\.", 1).cast("bigint")
-    found = stitch_blocks(scan_blocks(spark, path, block)).select(name[0].alias("part"), (name[1] * docs_a_file + F.col("ordinal")).alias("ordinal"), "n_tokens")
-    # The upper bits of the id number the task, the lower 33 its rows.
-    place = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row"))
-    order = place.select("doc_id", F.shiftright("row", 33).alias("part"), F.col("row").bitwiseAND((1 << 33) - 1).alias("ordinal"))
-    return order.join(found, ["part", "ordinal"]).select("doc_id", "part", "ordinal", "n_tokens")
+    name = F.regexp_extract("file", r"^part-(\d+)-", 1).cast("bigint"), F.regexp_extract("file", r"\.c(\d+)\.", 1).cast("bigint")
+    found = stitch_blocks(scan_blocks(spark, f"{path}/kind=tokens", block)).select(name[0].alias("part"), (name[1] * docs_a_file + F.col("ordinal")).alias("ordinal"), "n_tokens")
+    return lead_back(read_ids(spark, f"{path}/kind=ids"), found)
+
+
+def lead_back(ids: DataFrame, found: DataFrame) -> DataFrame:
+    """Every document with its length; fails where one has no partner."""
+    met = ids.withColumn("listed", F.lit(True)).join(found, ["part", "ordinal"], "full")
+    alone = F.col("listed").isNull() | F.col("n_tokens").isNull()
+    length = F.when(alone, F.raise_error(F.concat_ws(" ", F.lit("token files and ids differ at part"), "part", F.lit("ordinal"), "ordinal")).cast("bigint")).otherwise(F.col("n_tokens"))
+    return met.select("doc_id", "part", "ordinal", length.alias("n_tokens"))

@@ -91,6 +91,31 @@ def test_token_counts(spark, texts, ids_of, odd, none, tmp_path):
     assert token_counts.count_tokens(none, vocabulary()).count() == 0
 
 
+def test_token_counts_when_the_table_is_split_otherwise_later(spark, tmp_path):
+    docs = [(i if i % 7 else None, "a " * i) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").repartition(8).write.parquet(str(tmp_path / "docs"))
+    splits, cost = "spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes"
+    try:
+        spark.conf.set(splits, "1")
+        counted = token_counts.count_tokens(spark.read.parquet(str(tmp_path / "docs")), vocabulary(), docs_a_file=3)
+        spark.conf.set(splits, "8")
+        spark.conf.set(cost, "0")
+        found = Counter((r["doc_id"], r["n_tokens"]) for r in counted.collect())
+    finally:
+        spark.conf.unset(splits)
+        spark.conf.unset(cost)
+    assert found == Counter((i, len(text) // 2) for i, text in docs)
+
+
+def test_lengths_and_ids_without_partner_fail(spark):
+    ids = spark.createDataFrame([(1, 0, 0), (2, 0, 1)], "doc_id bigint, part bigint, ordinal bigint")
+    found = spark.createDataFrame([(0, 0, 5), (0, 1, 6)], "part bigint, ordinal bigint, n_tokens bigint")
+    assert token_counts.lead_back(ids, found).count() == 2
+    for left, right in ((ids.where("doc_id = 1"), found), (ids, found.where("n_tokens = 6"))):
+        with pytest.raises(Exception, match="token files and ids differ"):
+            token_counts.lead_back(left, right).collect()
+
+
 def test_open_document_at_the_end_of_a_file(spark, tmp_path):
     (tmp_path / "part-00000-a-c000.txt").write_bytes(np.array([5, 6, 0, 0, 7, 8, 9], "<u2").tobytes())
     for block in (1, 2, 3, 100):
