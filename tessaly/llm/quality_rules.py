@@ -1,6 +1,7 @@
 """Quality rules by compression bands.
 
-zstandard is run over the whole document and over fixed chunks of it. A ratio (compressed by plain bytes) below a band
+zstandard is run over the whole document and over fixed chunks of it; the last chunk ends with the text and overlaps the
+one before, and a text below the size of a chunk is one chunk with the limits of its own length. A ratio (compressed by plain bytes) below a band
 means repetition, above it noise such as keys or encoded data. What is usual depends on the length, so each length
 has limits of its own. Counts of words, signs and repeats come first (the base); a text that fails the base is not kept.
 
@@ -69,11 +70,19 @@ def count_text(text: str | None, packer: zstandard.ZstdCompressor) -> tuple:
     text = text or ""
     raw = text.encode()
     words = raw.split()
-    chunks = [raw[i : i + CHUNK] for i in range(0, len(raw) - CHUNK + 1, CHUNK)]
-    ratios = [len(packer.compress(c)) / CHUNK for c in chunks]
+    ratio = len(packer.compress(raw)) / len(raw) if raw else 0.0
+    if len(raw) < CHUNK:
+        # The whole text is its only chunk, with the limits of its own length.
+        low, high = next((low, high) for below, low, high in BANDS if below is None or len(raw) < below)
+        odd, n_chunks = int(bool(raw) and not low <= ratio <= high), int(bool(raw))
+    else:
+        starts = list(range(0, len(raw) - CHUNK + 1, CHUNK))
+        if len(raw) % CHUNK:
+            starts.append(len(raw) - CHUNK)
+        odd, n_chunks = sum(not CHUNK_LOW <= len(packer.compress(raw[i : i + CHUNK])) / CHUNK <= CHUNK_HIGH for i in starts), len(starts)
     return (
         len(words), len(text) - (len(raw) - len(raw.translate(None, BLANKS))), len(raw) - len(raw.translate(None, SIGNS)), duplicate_lines(raw),
-        repeat_words(words), len(raw), len(packer.compress(raw)) / len(raw) if raw else 0.0, sum(not CHUNK_LOW <= r <= CHUNK_HIGH for r in ratios), len(ratios),
+        repeat_words(words), len(raw), ratio, odd, n_chunks,
     )
 
 

@@ -152,6 +152,20 @@ def test_quality_rules(spark, texts, odd, none):
     assert kept == {1: False, 2: True, 3: False}
 
 
+def test_the_end_of_a_text_is_judged(spark, texts):
+    random = np.random.default_rng(2)
+    words = list(dict.fromkeys(" ".join(t for t in texts.values() if t.count(" the ") > 9).split()))
+    prose = " ".join(random.choice(words, 900)).encode("ascii", "ignore").decode()[:2048]
+    noise = "".join(random.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 1989))
+    phrase = ("more of the same again and " * 99)[:1989]
+    packer = quality_rules.zstandard.ZstdCompressor(level=quality_rules.LEVEL)
+    assert [quality_rules.count_text(t, packer)[7:] for t in (prose, f"{prose} {noise}", f"{prose} {phrase}", prose[:900], phrase[:900], "")] == [(0, 1), (1, 2), (1, 2), (0, 1), (1, 1), (0, 0)]
+    rows = quality_rules.judge_documents(spark.createDataFrame([(1, prose), (2, f"{prose} {noise}")], "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: (r["kept"], r["n_chunks"]) for r in rows} == {1: (True, 1), 2: (False, 2)}
+    low, high = next((low, high) for below, low, high in quality_rules.BANDS if below and rows[1]["n_bytes"] < below)
+    assert low <= rows[1]["ratio"] <= high
+
+
 def plain_hits(text, items):
     windows = defaultdict(set)
     for item_id, item in items:
