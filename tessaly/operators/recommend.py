@@ -197,11 +197,11 @@ def first_blocker(counted: DataFrame, kind: str) -> Column:
 def weighted_pick(shaped: DataFrame, steps: DataFrame, counted: DataFrame, seed: str) -> DataFrame:
     """One draw per request, probability proportional to the soft score, repeatable by seed.
 
-    A 32-bit number from a hash of seed and request is scaled to the remaining weight; the
+    A 60-bit number from a hash of seed and request is scaled to the remaining weight; the
     place then jumps over excluded intervals and is looked up on the cumulative weight.
     """
-    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("request_id").cast("string"))), 1, 8), 16, 10)
-    place = F.expr("(CAST(_number AS DECIMAL(20,0)) * CAST(total_units AS DECIMAL(18,0))) div 4294967296")
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("request_id").cast("string"))), 1, 15), 16, 10)
+    place = F.expr("(CAST(_number AS DECIMAL(19,0)) * CAST(total_units AS DECIMAL(18,0))) div 1152921504606846976")
     drawn = (
         counted.filter("total_units > 0").join(shaped.select("request_id", F.col("keys")[7].alias("key")), "request_id")
         .withColumn("_number", number).withColumn("_place", place)

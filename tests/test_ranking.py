@@ -1,5 +1,6 @@
 """Retrieval, memory, recommendation, segmented windows and streams on small inputs."""
 
+import hashlib
 import math
 import random
 from collections import Counter
@@ -148,6 +149,17 @@ def test_draws_follow_the_weights(spark):
     assert sum((seen[i] - e) ** 2 / e for i, e in expected.items()) < 13.8  # 0.1 % point, 2 degrees
 
 
+def test_every_place_of_a_large_weight_can_be_drawn(spark):
+    total = 1 << 50
+    number = int(hashlib.md5(b"s|1").hexdigest()[:15], 16)
+    place = number * total >> 60
+    assert place != (number >> 28) * total >> 32
+    shaped = spark.createDataFrame([(1, ["", "", "", "", "", "", "", "7a"])], "request_id bigint, keys array<string>")
+    steps = spark.createDataFrame([("7a", 1, place, place), ("7a", 2, 1, place + 1), ("7a", 3, total - place - 1, total)], "key string, id bigint, units bigint, units_to bigint")
+    counted = spark.createDataFrame([(1, total, None)], "request_id bigint, total_units bigint, intervals array<struct<start:bigint,units:bigint>>")
+    assert [r["id"] for r in R.weighted_pick(shaped, steps, counted, "s").collect()] == [2]
+
+
 def test_restaurant_budget(spark):
     places = catalogue(spark, [dict(id=1, price=25.0, weight=1.0), dict(id=2, price=60.0, weight=1.0, suitable_for=["聚餐"], distance=30)])
     asked = requested(spark, [dict(request_id=1, budget=30.0), dict(request_id=2, max_distance=10), dict(request_id=3, group_size=1), dict(request_id=4, remembered_budget=5.0)])
