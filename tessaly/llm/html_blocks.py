@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+[^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 #: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template svg title textarea iframe object math".split())
+RAW = frozenset("script style noscript template svg title textarea iframe".split())
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav "
     "ol optgroup option p pre section select summary table tbody tfoot thead tr ul".split()
@@ -39,31 +39,85 @@ ASIDE_WORDS = frozenset(
 )
 ARTICLE_WORDS = frozenset("article post entry story content main body maincontent articlebody".split())
 WHOLE_PAGE = frozenset("html body main article".split())
+#: What a header may belong to other than the page.
+POST_WORDS = frozenset("article post entry story content".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose ids are made from their own words or are targets of links.
+NAMED_BY_TEXT = HEADINGS | frozenset("p li span dt dd".split())
+#: First words of ids that name a place in the page also inside an article; the other aside words may be its subject.
+PLACE_WORDS = frozenset(
+    "ad ads adbox advert adverts cookie cookies gdpr popup overlay modal sidebar sidebars rail widget widgets breadcrumb breadcrumbs nav navbar menu toolbar pagination pager masthead footer colophon comment comments disqus paywall".split()
+)
+ASIDE_HEADING = re.compile(
+    r"[\W\d]*(?:comments?|(?:leave|post|write|add) (?:an? |your )?(?:reply|comment|response)|replies|responses|related(?: (?:articles|posts|stories|links|news|content|pages))?|you (?:may|might) also .*|recommended(?: .*)?|"
+    r"most read|read (?:more|next)|share(?: (?:this|on) .*)?|(?:subscribe|sign up)(?: .*)?|newsletter|log ?in|register|advertisements?|sponsored(?: .*)?|navigation|menu)\W*", re.I
+)
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "in_aside", "heading", "page_has_article")
 
 
-def marks(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element opens an aside, and whether it opens an article."""
-    aside, article = tag in ASIDES, tag in ("article", "main")
+def says_aside(name: str) -> bool:
+    """Whether one class or id names an aside; the header of a post is none."""
+    words = re.split(r"[^a-z0-9]+", name)
+    return any(word in ASIDE_WORDS and not (word == "header" and not POST_WORDS.isdisjoint(words[:k])) for k, word in enumerate(words))
+
+
+def marks(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool]:
+    """Whether an element opens an aside, whether it opens an article, and whether its own text must say if it is an aside."""
+    aside, article, ask, post_header = tag in ASIDES, tag in ("article", "main"), False, False
     if attributes and tag not in WHOLE_PAGE:
         for name, value in ATTRIBUTE.findall(attributes):
-            value = value.strip("\"'").lower()
-            if name.lower() in ("class", "id", "role"):
+            name, value = name.lower(), value.strip("\"'").lower()
+            if name == "id":
+                # Ids are often made from the words of a heading; only ids of other elements say where these lie.
+                if tag not in NAMED_BY_TEXT and says_aside(value):
+                    if tag == "section" or in_article and re.split(r"[^a-z0-9]+", value)[0] not in PLACE_WORDS:
+                        ask = True
+                    else:
+                        aside = True
+            elif name in ("class", "role"):
                 said = set(re.split(r"[^a-z0-9]+", value))
-                aside |= not said.isdisjoint(ASIDE_WORDS)
-                article |= name.lower() != "id" and not said.isdisjoint(ARTICLE_WORDS)
-            elif name.lower() == "style":
+                aside |= tag not in HEADINGS and any(map(says_aside, value.split()))
+                post_header |= "header" in said
+                article |= not said.isdisjoint(ARTICLE_WORDS)
+            elif name == "style":
                 aside |= "display:none" in value.replace(" ", "")
             else:
                 aside |= value != "false"
-    return aside, article and not aside
+    if tag == "header" and not in_article and not (post_header and article):
+        aside = True
+    return aside, article and not aside and not post_header, ask and not aside
+
+
+def settle_asked(blocks: list[dict], parents: list[int]) -> None:
+    """Elements whose id alone may be a subject as well as a place are asides where most of their text is linked or
+    their heading says so."""
+    chars, linked, first = [0] * len(parents), [0.0] * len(parents), [None] * len(parents)
+    for k, block in enumerate(blocks):
+        if (at := block["asked"]) >= 0:
+            chars[at] += len(block["text"])
+            linked[at] += block["links"] * len(block["text"])
+            first[at] = k if first[at] is None else first[at]
+    for k in range(len(parents) - 1, -1, -1):
+        if (above := parents[k]) >= 0:
+            chars[above] += chars[k]
+            linked[above] += linked[k]
+            first[above] = min((x for x in (first[above], first[k]) if x is not None), default=None)
+    aside: list[bool] = []
+    for k, above in enumerate(parents):
+        start = blocks[first[k]] if first[k] is not None else None
+        named = start is not None and start["heading"] > 0 and ASIDE_HEADING.fullmatch(start["text"]) is not None
+        aside.append(above >= 0 and aside[above] or named or linked[k] * 2 > chars[k])
+    for block in blocks:
+        if (at := block.pop("asked")) >= 0 and aside[at]:
+            block["in_aside"] = 1.0
 
 
 def page_blocks(page: str | None) -> list[dict]:
     """Text blocks in page order with their features."""
     page = page or ""
     blocks: list[dict] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, inside an aside, inside an article
+    stack: list[tuple[str, bool, bool, int]] = []  # element, inside an aside, inside an article, innermost asked element
+    parents: list[int] = []  # of asked elements
     pieces: list[str] = []
     linked: list[str] = []
     link, heading, has_article, at = False, False, False, 0
@@ -74,8 +128,8 @@ def page_blocks(page: str | None) -> list[dict]:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
                 in_link = " ".join(html.unescape("".join(linked)).split())
-                _, aside, article = stack[-1] if stack else ("", False, False)
-                blocks.append({"text": text, "words": len(text.split(" ")), "links": min(1.0, len(in_link) / len(text)), "in_article": float(article), "in_aside": float(aside), "heading": float(heading)})
+                _, aside, article, asked = stack[-1] if stack else ("", False, False, -1)
+                blocks.append({"text": text, "words": len(text.split(" ")), "links": min(1.0, len(in_link) / len(text)), "in_article": float(article), "in_aside": float(aside), "heading": float(heading), "asked": asked})
             pieces.clear()
             linked.clear()
         link = False
@@ -119,17 +173,19 @@ def page_blocks(page: str | None) -> list[dict]:
             # A block element ends an open paragraph.
             while stack and stack[-1][0] in ("p", "span") and tag in BLOCKS:
                 stack.pop()
-        aside, article = marks(tag, token[3])
-        _, was_aside, was_article = stack[-1] if stack else ("", False, False)
-        if tag == "header" and not was_article:
-            aside = True
+        _, was_aside, was_article, asked = stack[-1] if stack else ("", False, False, -1)
+        aside, article, ask = marks(tag, token[3], was_article)
+        if ask:
+            parents.append(asked)
+            asked = len(parents) - 1
         has_article |= article
         if tag == "span" and aside and not was_aside:
             flush()
         if tag != "span" or aside:
-            stack.append((tag, was_aside or aside, was_article or article))
+            stack.append((tag, was_aside or aside, was_article or article, asked))
     put(page[at:])
     flush()
+    settle_asked(blocks, parents)
     for k, block in enumerate(blocks):
         before, after = (blocks[k - 1] if k else None), (blocks[k + 1] if k + 1 < len(blocks) else None)
         block |= {
@@ -158,6 +214,10 @@ LABELLED = (
     "<p>+A page that is one plain block of text has no neighbours, and a reader would take it for the text of the page because it is long.</p>",
     "<div>+Two blocks of plain text make up this page, and neither of them has any link in it or any element around it.</div><div>+The second one is as plain as the first one and goes on for a while.</div>",
     '<div class="content"><h1>+Title</h1><p>+Yes.</p><p>+One more paragraph of middle length follows here.</p></div><div id="sidebar"><p>Weather</p><p>Long text in the side bar which is not part of the article but goes on for quite a while anyway.</p></div><div>Copyright</div>',
+    '<article><div class="post-header"><h1>+A title in a header of the post</h1></div><h2 id="how-to-register">+How to register</h2><p>+Everybody who lives in the town can register at the hall on any day but the first one of the month.</p>'
+    '<section id="related-work"><h2>+Related work</h2><p>+Others have written about the hall and the town before, and their pages are worth a visit.</p></section><section id="discussion"><h2>+Discussion</h2><ul><li id="reply-to-smith">+Short point</li></ul></section>'
+    '<section id="related"><h2>Related articles</h2><p>The town in winter, a long walk through streets that nobody else takes at this time</p></section><p>+End.</p></article>',
+    '<nav><a href="/n">News</a></nav><article><h1>+Short notes</h1><p>+Two words</p><ul><li id="skip-this">+Last point</li></ul></article>',
 )
 
 

@@ -315,6 +315,21 @@ def test_main_text(spark):
     assert found[1] == found[2] == found[3] == "" and found[5] == "T & U\n\na b c d\n\ne" and found[4].startswith("just text")
 
 
+def test_words_of_headings_and_sections_are_no_asides(spark):
+    pages = [
+        (1, '<article><div class="post-header"><h1>The title</h1></div><h2 id="how-to-register">How to register</h2><p>Go there.</p><h2 id="search-results" class="section-header">Search results</h2><ul><li id="reply-to-smith">Point</li></ul></article>'),
+        (2, '<article><h1>A</h1><section id="related-work"><h2>Related work</h2><p>Others did it.</p></section><section id="discussion"><p>We see it so.</p></section><section id="comments"><h3>2 Comments</h3><p>I read it with joy.</p></section>'
+            '<section id="related"><p><a href="/a">Another page about it</a></p></section><div id="sidebar"><p>Side text.</p></div><p>End.</p></article>'),
+        (3, '<article><p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds, and <object data="a.svg">a drawing</object> follows.</p></article>'),
+        (4, '<article><p>Text of the page that is long enough.</p></article><div id="site-header"><p>The daily page</p></div><div id="main-nav"><p>News of today</p></div>'),
+    ]
+    found = {r["page_id"]: r["text"].split("\n\n") for r in html_blocks.main_text(spark.createDataFrame(pages, "page_id bigint, html string").selectExpr("page_id", "'u' as url", "html")).collect()}
+    assert found == {
+        1: ["The title", "How to register", "Go there.", "Search results", "Point"], 2: ["A", "Related work", "Others did it.", "We see it so.", "End."],
+        3: ["Where x=2 holds, and a drawing follows."], 4: ["Text of the page that is long enough."],
+    }
+
+
 @pytest.mark.parametrize(("module", "label", "query"), [(toxicity, "toxic", "op2_toxicity"), (rule_ensemble, "quality", "op7_quality_classifier")])
 def test_classifiers(spark, odd, none, module, label, query):
     rows = QUERIES[query](spark, "/root/testdata/sf0.01").join(read_table(spark, "/root/testdata/sf0.01", "labels"), "doc_id").collect()
