@@ -10,9 +10,16 @@ COLLECTIONS = {"canteen_dishes": "canteen", "restaurants": "restaurant", "takeaw
 RECORD = (
     "array<struct<id:string,name:string,food_name:string,restaurant:string,venue:string,source_url:string,category:string,"
     "categories:array<string>,tastes:array<string>,meal_times:array<string>,price:double,avg_price:double,weight:double,"
-    "enabled:boolean,origin:string,locked:boolean,notes:string>>"
+    "enabled:boolean,origin:string,locked:boolean,notes:string,"
+    "distance_minutes:string,delivery_minutes:string,suitable_for:string,platforms:string,window:string,floor:string,area:string,recommended_food:string,"
+    "record_type:string,source_title:string,source_snippet:string,discovered_at:string,status:string>>"
 )
-CATALOGUE_SCHEMA = "schema_version int, updated_at string, " + ", ".join(f"{c} {RECORD}" for c in COLLECTIONS)
+#: Fields read from their JSON text, so that another type in one of them does not make a catalogue corrupt.
+NUMBERS, LISTS = ("distance_minutes", "delivery_minutes"), ("suitable_for", "platforms")
+#: Collections of evidence beside the formal ones, read element by element for the same reason.
+EVIDENCE = ("pending_review", "sources")
+SOURCE = "query string, title string, url string, snippet string"
+CATALOGUE_SCHEMA = "schema_version int, updated_at string, " + ", ".join([*(f"{c} {RECORD}" for c in COLLECTIONS), *(f"{c} string" for c in EVIDENCE)])
 
 
 def suffix_of(path: Column) -> Column:
@@ -41,10 +48,16 @@ def read_text_corpus(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataF
     return decode_files(files.select("path", "content"))
 
 
+def listed(value: Column) -> Column:
+    """The list in a JSON text; one plain value is a list of its own."""
+    return F.when(value.startswith("["), F.from_json(value, "array<string>")).when(value != "", F.array(value))
+
+
 def parse_catalogue(documents: DataFrame, text: str = "value") -> tuple[DataFrame, DataFrame]:
     """(records, errors) of catalogue JSON texts, one catalogue per row.
 
-    A corrupt catalogue gives no records and one error row.
+    A corrupt catalogue gives no records and one error row. Sources give their title as ``name``, their address as
+    ``source_url``, their snippet as ``source_snippet`` and the ``query`` that found them.
     """
     parsed = documents.withColumn(
         "_c", F.from_json(text, CATALOGUE_SCHEMA + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
@@ -56,7 +69,15 @@ def parse_catalogue(documents: DataFrame, text: str = "value") -> tuple[DataFram
     for collection in COLLECTIONS:
         part = good.select(*keep, F.lit(collection).alias("collection"), F.explode(f"_c.{collection}").alias("r")).select(*keep, "collection", "r.*")
         records = part if records is None else records.unionByName(part)
-    return records, errors
+    one = RECORD.removeprefix("array<").removesuffix(">")
+    element = {c: good.select(*keep, F.lit(c).alias("collection"), F.explode(F.from_json(f"_c.{c}", "array<string>")).alias("e")) for c in EVIDENCE}
+    pending = element["pending_review"].select(*keep, "collection", F.from_json("e", one).alias("r")).select(*keep, "collection", "r.*")
+    found = element["sources"].select(*keep, "collection", "e", F.from_json("e", SOURCE).alias("r"))
+    # A source may be a plain address.
+    address = F.when(F.col("e").startswith("{"), F.col("r.url")).otherwise(F.col("e"))
+    found = found.select(*keep, "collection", F.col("r.title").alias("name"), address.alias("source_url"), F.col("r.snippet").alias("source_snippet"), F.col("r.query").alias("query"))
+    records = records.unionByName(pending).unionByName(found, allowMissingColumns=True)
+    return records.withColumns({c: F.col(c).try_cast("double") for c in NUMBERS} | {c: listed(F.col(c)) for c in LISTS}), errors
 
 
 def read_catalogue(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,7 @@
 """Retrieval, memory, recommendation, segmented windows and streams on small inputs."""
 
 import hashlib
+import json
 import math
 import random
 from collections import Counter
@@ -206,6 +207,24 @@ def test_text_corpus_and_catalogue(spark, tmp_path):
     assert records.count() == 1 and errors.first().path.endswith("d.json")
 
 
+def test_catalogue_keeps_every_field_and_collection(spark):
+    text = json.dumps({
+        "canteen_dishes": [{"id": "c", "window": "3", "floor": "2"}],
+        "restaurants": [{"id": "r", "area": "near", "recommended_food": "noodles", "distance_minutes": 8, "suitable_for": ["one", "two"]}, {"id": "r2", "distance_minutes": "9", "suitable_for": "one"}],
+        "takeaways": [{"id": "t", "platforms": ["p"], "delivery_minutes": 30}],
+        "pending_review": [{"id": "p", "name": "n", "record_type": "restaurant", "source_snippet": "s", "status": "pending"}], "sources": [{"title": "w", "url": "u", "snippet": "x", "query": "q"}, "http://a"],
+    })
+    records, errors = corpus.parse_catalogue(spark.createDataFrame([(text,)], "value string"))
+    rows = [{k: v for k, v in r.asDict().items() if v is not None} for r in records.collect()]
+    assert errors.count() == 0 and sorted(rows, key=str) == sorted([
+        {"collection": "canteen_dishes", "id": "c", "window": "3", "floor": "2"},
+        {"collection": "restaurants", "id": "r", "area": "near", "recommended_food": "noodles", "distance_minutes": 8.0, "suitable_for": ["one", "two"]},
+        {"collection": "restaurants", "id": "r2", "distance_minutes": 9.0, "suitable_for": ["one"]}, {"collection": "takeaways", "id": "t", "platforms": ["p"], "delivery_minutes": 30.0},
+        {"collection": "pending_review", "id": "p", "name": "n", "record_type": "restaurant", "source_snippet": "s", "status": "pending"},
+        {"collection": "sources", "name": "w", "source_url": "u", "source_snippet": "x", "query": "q"}, {"collection": "sources", "source_url": "http://a"},
+    ], key=str)
+
+
 def test_replacing_rewrites_only_touched_buckets(spark, tmp_path):
     path = str(tmp_path / "store")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
