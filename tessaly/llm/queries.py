@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaly.llm import arc_warc, html_blocks, hyperminhash, packing, quality_rules, rule_ensemble, sharding, token_counts, toxicity, winnowing
-from tessaly.llm.storage import read_table
+from tessaly.llm import (
+    arc_warc, html_blocks, hyperminhash, packing, periodic_runs, quality_rules, rule_ensemble, sharding, spelling_trees, token_counts, toxicity, turn_rendering, winnowing,
+)
+from tessaly.llm.storage import materialise, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,6 +81,23 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+@query("op11_chat_formatting")
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formatted = materialise(turn_rendering.format_conversations(turn_rendering.planted(read_table(spark, sf_dir, "conversations"))), "formatted")
+    return turn_rendering.digest(formatted)
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling_trees.count_words(read_table(spark, sf_dir, "documents"), spell=spelling_trees.variants)
+    return spelling_trees.group_spellings(words)
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find_runs(periodic_runs.with_tails(read_table(spark, sf_dir, "documents"))))
+
+
 ORACLES["op6_arc_to_warc"] = """WITH payloads AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
     known AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS latest FROM payloads)
     SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> latest THEN 'revisit' ELSE 'response' END AS record_type,
