@@ -1,9 +1,12 @@
 """Main text of web pages from flat text blocks.
 
 A page becomes a flat list of text blocks. Each block has its word count, its link density and those of the blocks
-before and after it, and how it lies in the page (inside an article, inside menus or the like, a heading). A decision tree
-fitted on a small table of labelled blocks says which blocks are main text; the tree is compiled into a Spark column
-expression that filters the block list.
+before and after it, and how it lies in the page: in an article, or in an element that its name calls a menu, a side bar and the like, how
+sure that name is, and which share of the page's words and links that element holds. A decision tree fitted on a small table of
+labelled pages says which blocks are main text; the tree is compiled into a Spark column expression that filters the block list.
+
+No name decides by itself, and none counts if its element holds the main or the longest article. Attributes are read one by one; a quotation mark counts only
+where a value begins. Text in a link is linked text also if the link holds whole blocks. Elements that are not shown (scripts, styles, hidden ones) give no text.
 
 Null html is an empty page with an empty text. Null urls and ids and repeated rows are kept; other columns are ignored;
 an empty table gives no rows. Pages that end inside a tag or leave elements open are read as far as they go.
@@ -21,123 +24,140 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+[^>]*)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+from tessaly.llm.html_labelled import labelled_pages
+
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style noscript template svg title textarea iframe".split())
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav "
     "ol optgroup option p pre section select summary table tbody tfoot thead tr ul".split()
 )
-CONTAINERS = frozenset("article aside blockquote button center details dialog div dl fieldset figure footer form header main menu nav ol section select table ul p li h1 h2 h3 h4 h5 h6 span dd dt tr td".split())
-ASIDES = frozenset("aside button dialog fieldset footer form menu nav select".split())
-#: Words in classes, ids and roles of menus, headers, footers, side bars, notices, adverts, forms and reader comments.
-ASIDE_WORDS = frozenset(
-    "ad ads adbox advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup popup overlay "
-    "modal sidebar sidebars rail widget widgets related recommended share sharing social breadcrumb breadcrumbs menu menus nav navbar navigation toolbar pagination pager header masthead footer colophon comment comments "
-    "reply replies respond response responses discussion disqus login register search skip complementary contentinfo form paywall disclaimer".split()
-)
-ARTICLE_WORDS = frozenset("article post entry story content main body maincontent articlebody".split())
+CONTAINERS = frozenset("article aside blockquote button center details dialog div dl fieldset figure footer form header main menu nav ol section select table ul p li h1 h2 h3 h4 h5 h6 dd dt tr td".split())
 WHOLE_PAGE = frozenset("html body main article".split())
-#: What a header may belong to other than the page.
-POST_WORDS = frozenset("article post entry story content".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements whose ids are made from their own words or are targets of links.
-NAMED_BY_TEXT = HEADINGS | frozenset("p li span dt dd".split())
-#: First words of ids that name a place in the page also inside an article; the other aside words may be its subject.
-PLACE_WORDS = frozenset(
-    "ad ads adbox advert adverts cookie cookies gdpr popup overlay modal sidebar sidebars rail widget widgets breadcrumb breadcrumbs nav navbar menu toolbar pagination pager masthead footer colophon comment comments disqus paywall".split()
+#: Elements that end an open paragraph are block elements; these end one another as well.
+SIBLINGS = {"li": frozenset(("li",)), "dd": frozenset(("dd", "dt")), "dt": frozenset(("dd", "dt")), "td": frozenset(("td",)), "tr": frozenset(("tr", "td"))}
+
+# Elements and names of menus, headers, footers, side bars, notices, adverts, forms and reader comments.
+ASIDES = frozenset("aside button dialog fieldset footer menu nav select".split())
+#: Names that hardly mean anything else; a name of several words counts by its first and last one.
+SURE_WORDS = frozenset(
+    "ad ads adbox advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent gdpr newsletter subscribe popup overlay modal sidebar sidebars rail widget widgets breadcrumb breadcrumbs "
+    "menu menus nav navbar navigation toolbar pagination pager masthead footer colophon comment comments disqus complementary contentinfo paywall".split()
 )
+#: Names that may be the subject of a text as well.
+OTHER_WORDS = frozenset("promotion notice notices notification alert subscription signup related recommended share sharing social header reply replies respond response responses discussion login register search skip form disclaimer posts".split())
+#: Elements whose ids are made from their own words or are targets of links.
+NAMED_BY_TEXT = HEADINGS | frozenset("p li dt dd".split())
 ASIDE_HEADING = re.compile(
     r"[\W\d]*(?:comments?|(?:leave|post|write|add) (?:an? |your )?(?:reply|comment|response)|replies|responses|related(?: (?:articles|posts|stories|links|news|content|pages))?|you (?:may|might) also .*|recommended(?: .*)?|"
     r"most read|read (?:more|next)|share(?: (?:this|on) .*)?|(?:subscribe|sign up)(?: .*)?|newsletter|log ?in|register|advertisements?|sponsored(?: .*)?|navigation|menu)\W*", re.I
 )
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "in_aside", "heading", "page_has_article")
+#: How sure the name of an element is: none, may be a subject, a name of several words or a form, an aside.
+NO_NAME, SUBJECT, COMPOUND, SURE = range(4)
+
+FEATURES = (
+    "words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "in_article", "page_has_article", "name", "name_share", "name_links", "name_says",
+)
+
 
+def attributes_at(page: str, at: int) -> tuple[dict[str, str], int]:
+    """The attributes of a tag from behind its name on (the first of each name counts), and where the tag ends."""
+    found: dict[str, str] = {}
+    end = len(page)
+    while at < end:
+        if page[at] == ">":
+            return found, at + 1
+        if not (attribute := ATTRIBUTE.match(page, at)):
+            # Only blanks and slashes are left before the end of the tag.
+            close = page.find(">", at)
+            return found, close + 1 if close >= 0 else end
+        value = attribute[2] or ""
+        quoted = len(value) > 1 and value[0] == value[-1] and value[0] in "\"'"
+        found.setdefault(attribute[1].lower(), html.unescape(value[1:-1] if quoted else value))
+        at = attribute.end()
+    return found, end
 
-def says_aside(name: str) -> bool:
-    """Whether one class or id names an aside; the header of a post is none."""
+
+def name_level(name: str) -> int:
+    """How surely one class, role or id names an aside."""
+    if name in SURE_WORDS:
+        return SURE
     words = re.split(r"[^a-z0-9]+", name)
-    return any(word in ASIDE_WORDS and not (word == "header" and not POST_WORDS.isdisjoint(words[:k])) for k, word in enumerate(words))
-
-
-def marks(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool]:
-    """Whether an element opens an aside, whether it opens an article, and whether its own text must say if it is an aside."""
-    aside, article, ask, post_header = tag in ASIDES, tag in ("article", "main"), False, False
-    if attributes and tag not in WHOLE_PAGE:
-        for name, value in ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), value.strip("\"'").lower()
-            if name == "id":
-                # Ids are often made from the words of a heading; only ids of other elements say where these lie.
-                if tag not in NAMED_BY_TEXT and says_aside(value):
-                    if tag == "section" or in_article and re.split(r"[^a-z0-9]+", value)[0] not in PLACE_WORDS:
-                        ask = True
-                    else:
-                        aside = True
-            elif name in ("class", "role"):
-                said = set(re.split(r"[^a-z0-9]+", value))
-                aside |= tag not in HEADINGS and any(map(says_aside, value.split()))
-                post_header |= "header" in said
-                article |= not said.isdisjoint(ARTICLE_WORDS)
-            elif name == "style":
-                aside |= "display:none" in value.replace(" ", "")
-            else:
-                aside |= value != "false"
-    if tag == "header" and not in_article and not (post_header and article):
-        aside = True
-    return aside, article and not aside and not post_header, ask and not aside
-
-
-def settle_asked(blocks: list[dict], parents: list[int]) -> None:
-    """Elements whose id alone may be a subject as well as a place are asides where most of their text is linked or
-    their heading says so."""
-    chars, linked, first = [0] * len(parents), [0.0] * len(parents), [None] * len(parents)
-    for k, block in enumerate(blocks):
-        if (at := block["asked"]) >= 0:
-            chars[at] += len(block["text"])
-            linked[at] += block["links"] * len(block["text"])
-            first[at] = k if first[at] is None else first[at]
-    for k in range(len(parents) - 1, -1, -1):
-        if (above := parents[k]) >= 0:
-            chars[above] += chars[k]
-            linked[above] += linked[k]
-            first[above] = min((x for x in (first[above], first[k]) if x is not None), default=None)
-    aside: list[bool] = []
-    for k, above in enumerate(parents):
-        start = blocks[first[k]] if first[k] is not None else None
-        named = start is not None and start["heading"] > 0 and ASIDE_HEADING.fullmatch(start["text"]) is not None
-        aside.append(above >= 0 and aside[above] or named or linked[k] * 2 > chars[k])
-    for block in blocks:
-        if (at := block.pop("asked")) >= 0 and aside[at]:
-            block["in_aside"] = 1.0
+    if words[0] in SURE_WORDS or words[-1] in SURE_WORDS:
+        return COMPOUND
+    return SUBJECT if any(word in SURE_WORDS or word in OTHER_WORDS for word in words) else NO_NAME
+
+
+def element_level(tag: str, attributes: dict[str, str], in_article: bool) -> int:
+    """How surely an element is an aside by its kind and its names."""
+    if tag in WHOLE_PAGE and not (tag == "article" and "class" in attributes):
+        return NO_NAME
+    level = SURE if tag in ASIDES else COMPOUND if tag == "form" else NO_NAME
+    names = [*attributes.get("class", "").lower().split(), *attributes.get("role", "").lower().split()] if tag not in HEADINGS else []
+    header = tag == "header" or any(name == "header" or name.endswith("-header") for name in names) or attributes.get("id", "").lower().endswith("header") and tag not in NAMED_BY_TEXT
+    if header and not in_article:
+        level = max(level, SURE if tag == "header" else COMPOUND)
+    for name in names:
+        if not (name == "header" or name.endswith("-header")):
+            level = max(level, name_level(name))
+    if tag not in NAMED_BY_TEXT and (name := attributes.get("id", "").lower()) and not name.endswith("header"):
+        by_id = name_level(name)
+        # Sections are often called after their heading.
+        level = max(level, min(by_id, SUBJECT) if tag == "section" and name not in ("comments", "comment") else by_id)
+    if tag == "article":
+        # An article is one unless it is called a comment and the like.
+        return level if level == SURE else NO_NAME
+    return level
+
+
+def is_hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").lower().replace(" ", "")
+
+
+class Element:
+    """An element that blocks may lie in: its place among the named elements around it, and what it holds."""
+
+    __slots__ = ("above", "level", "words", "linked", "first", "is_article", "held")
+
+    def __init__(self, above: Element | None, level: int, is_article: bool):
+        self.above, self.level, self.is_article = above, level, is_article
+        self.words, self.linked, self.first, self.held = 0, 0.0, None, False
 
 
 def page_blocks(page: str | None) -> list[dict]:
     """Text blocks in page order with their features."""
     page = page or ""
     blocks: list[dict] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # element, inside an aside, inside an article, innermost asked element
-    parents: list[int] = []  # of asked elements
+    # Tag, innermost element that matters, hidden or not.
+    stack: list[tuple[str, Element | None, bool]] = []
+    elements: list[Element] = []
     pieces: list[str] = []
     linked: list[str] = []
-    link, heading, has_article, at = False, False, False, 0
+    link_depth, heading, at = -1, False, 0
 
     def flush() -> None:
-        nonlocal link
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
                 in_link = " ".join(html.unescape("".join(linked)).split())
-                _, aside, article, asked = stack[-1] if stack else ("", False, False, -1)
-                blocks.append({"text": text, "words": len(text.split(" ")), "links": min(1.0, len(in_link) / len(text)), "in_article": float(article), "in_aside": float(aside), "heading": float(heading), "asked": asked})
+                blocks.append({"text": text, "words": len(text.split(" ")), "links": min(1.0, len(in_link) / len(text)), "heading": float(heading), "at": stack[-1][1] if stack else None})
             pieces.clear()
             linked.clear()
-        link = False
 
     def put(text: str) -> None:
-        pieces.append(text)
-        if link:
-            linked.append(text)
+        if not (stack and stack[-1][2]):
+            pieces.append(text)
+            if link_depth >= 0:
+                linked.append(text)
+
+    def close(depth: int) -> None:
+        nonlocal link_depth
+        del stack[depth:]
+        if link_depth > depth:
+            link_depth = -1
 
     while token := TOKEN.search(page, at):
         if token.start() > at:
@@ -146,8 +166,9 @@ def page_blocks(page: str | None) -> list[dict]:
         closing, tag = token[1], (token[2] or "").lower()
         if not tag:
             continue
+        attributes, at = attributes_at(page, at)
         if tag in RAW:
-            if not closing and not token[3].rstrip().endswith("/"):
+            if not closing and page[at - 2 : at] != "/>":
                 stop = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
                 at = stop.end() if stop else len(page)
             continue
@@ -156,71 +177,67 @@ def page_blocks(page: str | None) -> list[dict]:
         elif tag in ("br", "td", "th"):
             put(" ")
         if tag == "a":
-            link = not closing
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            link_depth = len(stack) if not closing and "href" in attributes else -1
+        if tag in HEADINGS:
             heading = not closing
-        if tag not in CONTAINERS:
+        hidden = not closing and is_hidden(attributes)
+        if tag not in CONTAINERS and not (tag == "span" and (closing or hidden)):
             continue
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    if tag == "span" and pieces and stack[k][1] and not (k and stack[k - 1][1]):
-                        flush()
-                    del stack[k:]
+                    close(k)
                     break
             continue
-        if tag != "span":
-            # A block element ends an open paragraph.
-            while stack and stack[-1][0] in ("p", "span") and tag in BLOCKS:
-                stack.pop()
-        _, was_aside, was_article, asked = stack[-1] if stack else ("", False, False, -1)
-        aside, article, ask = marks(tag, token[3], was_article)
-        if ask:
-            parents.append(asked)
-            asked = len(parents) - 1
-        has_article |= article
-        if tag == "span" and aside and not was_aside:
-            flush()
-        if tag != "span" or aside:
-            stack.append((tag, was_aside or aside, was_article or article, asked))
+        if tag in BLOCKS or tag == "td":
+            # A block element ends an open paragraph, an item ends the one before.
+            while stack and (stack[-1][0] in ("p", "span") and tag in BLOCKS or stack[-1][0] in SIBLINGS.get(tag, ())):
+                close(len(stack) - 1)
+        _, above, was_hidden = stack[-1] if stack else ("", None, False)
+        in_article = above is not None and above.held
+        level = element_level(tag, attributes, in_article)
+        is_article = tag in ("article", "main")
+        if level or is_article:
+            above = Element(above, level, is_article)
+            above.held = is_article or in_article
+            elements.append(above)
+        stack.append((tag, above, was_hidden or hidden))
     put(page[at:])
     flush()
-    settle_asked(blocks, parents)
+    return with_features(blocks, elements)
+
+
+def with_features(blocks: list[dict], elements: list[Element]) -> list[dict]:
+    total = sum(block["words"] for block in blocks)
+    for block in blocks:
+        around = block["at"]
+        while around is not None:
+            around.words += block["words"]
+            around.linked += block["links"] * block["words"]
+            around.first = around.first or block
+            around = around.above
+    # The longest article or main; names of elements around it mean the page.
+    around = max((e for e in elements if e.is_article), key=lambda e: e.words, default=None)
+    while around is not None:
+        around.level = NO_NAME
+        around = around.above
     for k, block in enumerate(blocks):
         before, after = (blocks[k - 1] if k else None), (blocks[k + 1] if k + 1 < len(blocks) else None)
+        around, named = block.pop("at"), None
+        block["in_article"] = float(around is not None and around.held)
+        while around is not None:
+            if around.level and (named is None or around.level >= named.level):
+                named = around
+            around = around.above
+        says = named is not None and named.first is not None and ASIDE_HEADING.fullmatch(named.first["text"]) is not None
         block |= {
             "words_before": before["words"] if before else 0, "links_before": before["links"] if before else 0.0, "words_after": after["words"] if after else 0, "links_after": after["links"] if after else 0.0,
-            "page_has_article": float(has_article),
+            "page_has_article": float(any(e.is_article for e in elements)), "name": float(named.level if named else NO_NAME), "name_share": named.words / total if named else 0.0,
+            "name_links": named.linked / named.words if named and named.words else 0.0, "name_says": float(says),
         }
     return blocks
 
 
-#: The labelled table: blocks of these pages that start with "+" are main text.
-LABELLED = (
-    '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li><li><a href="/c">About us</a></li></ul></nav><div class="ad">Buy two shoes and get a third one free of charge today</div>'
-    "<article><h1>+A title of a few words</h1><p>+The first paragraph tells at some length what has happened in the town on the river last week and who was there to see it.<p>+Short.</p>"
-    '<p>+He said so, and <a href="/d">a report</a> confirms it in most of its many pages.</p><p>+No.</p></article><footer>&copy; example &middot; all rights are reserved by the owner</footer>',
-    '<header><h1>Site name</h1><p>The daily page for everybody</p></header><aside><h2>Most read</h2><p>This is a long teaser for another article that stands in the side bar of the page and has many words in it.</p></aside>'
-    "<main><h2>+Rain</h2><p>+It rains.</p><p>+Then the sun comes out over the hills and everybody goes for a long walk along the old wall.</p><blockquote>+A quoted line</blockquote><ul><li>+First point</li><li>+Second point</li></ul>"
-    '<section id="comments"><h3>Comments</h3><p>I read this with joy and I think that the writer is right about the rain in our hills, which is rare.</p><p>Me too</p></section></main><footer><a href="/x">Imprint</a></footer>',
-    '<div class="menu"><a href="/1">One</a> <a href="/2">Two</a> <a href="/3">Three</a></div><div class="cookie-notice">We use cookies to make this site better for you and for us and for all our many partners. <a href="/y">More</a></div>'
-    "<h1>+Old pages have no article element</h1><div>+But they have long paragraphs of plain text with hardly any link in them, and those are what a reader came for in the first place.</div>"
-    "<div>+Another paragraph follows the first one and goes on about the matter for a good number of words, as paragraphs do.</div><div>+A short last word here.</div>"
-    '<p><a href="/p">Previous page</a> <a href="/n">Next page</a></p><form><p>Search this site by typing a word</p></form><div><a href="/q">Legal</a></div>',
-    '<p><a href="/h">Home</a></p><p><a href="/t">Topics</a> | <a href="/u">Tags</a></p><p>+This page has nothing but paragraphs, yet the ones with text are long and the ones with links are not, so they can be told apart by counting.</p>'
-    '<p>+The second paragraph is just as long as the first one, so that both stand next to a long block and far away from the menu of the page.</p><p>+An end.</p><p><a href="/v">Contact</a></p>',
-    '<article><nav><a href="/w">In this article</a></nav><header><h1>+Heading in a header of the article</h1></header><p>+Text of the article that runs over a line or two and says something.</p><div class="advertisement">Advert in the middle of the text, with a number of words to make it look like a paragraph.</div>'
-    '<p>+It goes on.</p><form><p>Leave your address for our letter of the week with all the news</p></form><div class="sidebar"><p>Related: a longer text about another thing that happened elsewhere at another time.</p></div><footer>Filed under news</footer></article><p>Share this page with your friends</p>',
-    "<p>+A page that is one plain block of text has no neighbours, and a reader would take it for the text of the page because it is long.</p>",
-    "<div>+Two blocks of plain text make up this page, and neither of them has any link in it or any element around it.</div><div>+The second one is as plain as the first one and goes on for a while.</div>",
-    '<div class="content"><h1>+Title</h1><p>+Yes.</p><p>+One more paragraph of middle length follows here.</p></div><div id="sidebar"><p>Weather</p><p>Long text in the side bar which is not part of the article but goes on for quite a while anyway.</p></div><div>Copyright</div>',
-    '<article><div class="post-header"><h1>+A title in a header of the post</h1></div><h2 id="how-to-register">+How to register</h2><p>+Everybody who lives in the town can register at the hall on any day but the first one of the month.</p>'
-    '<section id="related-work"><h2>+Related work</h2><p>+Others have written about the hall and the town before, and their pages are worth a visit.</p></section><section id="discussion"><h2>+Discussion</h2><ul><li id="reply-to-smith">+Short point</li></ul></section>'
-    '<section id="related"><h2>Related articles</h2><p>The town in winter, a long walk through streets that nobody else takes at this time</p></section><p>+End.</p></article>',
-    '<nav><a href="/n">News</a></nav><article><h1>+Short notes</h1><p>+Two words</p><ul><li id="skip-this">+Last point</li></ul></article>',
-)
-
-
 def tree_column(described: str, value) -> Column:
     """A fitted tree (its printed form) as a column expression over ``value(feature)``; true for class 1."""
     lines = [line for line in described.splitlines()[1:] if line.strip()]
@@ -236,11 +253,13 @@ def tree_column(described: str, value) -> Column:
     return node(0)[0]
 
 
-def fit_tree(spark: SparkSession, labelled: tuple[str, ...] = LABELLED, depth: int = 5) -> str:
-    """The printed form of the tree fitted on the labelled table."""
-    rows = [tuple(float(b[f]) for f in FEATURES) + (float(b["text"].startswith("+")),) for page in labelled for b in page_blocks(page)]
+def fit_tree(spark: SparkSession, labelled: list[str] | None = None, depth: int = 10) -> str:
+    """The printed form of the tree fitted on the labelled pages (``labelled_pages()`` unless given)."""
+    pages = labelled_pages() if labelled is None else labelled
+    rows = [tuple(float(b[f]) for f in FEATURES) + (float(b["text"].startswith("+")),) for page in pages for b in page_blocks(page)]
     table = spark.createDataFrame(rows, ", ".join(f"{f} double" for f in (*FEATURES, "label"))).coalesce(1)
-    return DecisionTreeClassifier(maxDepth=depth, seed=7).fit(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table)).toDebugString
+    learner = DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=4, seed=7)
+    return learner.fit(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table)).toDebugString
 
 
 def list_blocks(pages: DataFrame) -> DataFrame:
