@@ -6,8 +6,9 @@ of leading zeros and the next ``MANTISSA`` bits: two bytes a bucket. An empty bu
 its own that is the same for all documents; so short documents have full bands too, and registers still agree with
 the chance of the similarity. Neighbouring registers are hashed as bands.
 
-1. Rows with equal sets become one class, known by its least id. Bands of classes meet in buckets.
-2. Every class is paired with the least class of each bucket. Pairs whose sizes or whose collision-corrected estimate
+1. Rows with equal sets become one class with a number of its own. Bands of classes meet in buckets. The full sets of classes
+   that meet any other are computed once.
+2. Every class is paired with the first class of each bucket. Pairs whose sizes or whose collision-corrected estimate
    rule the similarity out are dropped, the rest is confirmed on full sets, and components are formed.
 3. Buckets that still hold several components are open. In small ones all classes of different components meet. In large
    ones each class outside the largest component first meets the most central class of it.
@@ -19,8 +20,11 @@ the chance of the similarity. Neighbouring registers are hashed as bands.
 
 With 48 bands of 4 registers a pair at similarity 0.75 shares no band with a chance of 1 in 80 million.
 
-Rows without words or text have empty sets and are linked with nothing. Rows that share an id count as one document.
-Null ids are linked with nothing and get a null component. Other columns are ignored; empty tables give no rows.
+A class that is paired with very many others is joined in as many parts as it takes (``HOT_PAIRS`` pairs each).
+
+Rows without words or text have empty sets and are linked with nothing. Rows count by their text: rows that share an id but not the
+text may lie in different components, and each is kept or dropped by itself. Null ids are linked with nothing and get a null
+component. Other columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -50,8 +54,10 @@ SIZE_STEP = 1.5
 RARE = 16
 #: Estimates are believed to this many standard deviations.
 DEVIATIONS = 5
-#: Ids of classes to verify that are sent to all executors (8 bytes each); more are joined by shuffling.
-BROADCAST_IDS = 2_000_000
+#: Rows to look up (16 bytes each) that are sent to all executors; more are joined by shuffling.
+BROADCAST_IDS = 1_000_000
+#: Pairs of one class that one task joins.
+HOT_PAIRS = 200
 #: Odd factors that make a shingle's hash depend on the order of its words.
 FACTORS = [xxhash.xxh3_64_intdigest(bytes([i])) | 1 for i in range(64)]
 
@@ -103,7 +109,13 @@ def sketch(hashes: np.ndarray) -> bytes:
     return registers.tobytes()
 
 
-SKETCHES = "doc_id bigint, n_shingles bigint, class binary, registers binary"
+SKETCHES = "doc_id bigint, text_hash bigint, n_shingles bigint, class binary, registers binary"
+
+
+def named_texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, text_hash``: id and hash tell the texts of one id apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
 def sketch_documents(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -113,15 +125,15 @@ def sketch_documents(docs: DataFrame, width: int = 5) -> DataFrame:
                 batch = whole.slice(at, 1000)
                 sets = [shingle_set(t.as_py(), width) for t in batch.column("text")]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                    batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()),
-                ], ["doc_id", "n_shingles", "class", "registers"])
+                ], ["doc_id", "text_hash", "n_shingles", "class", "registers"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SKETCHES)
+    return named_texts(docs).mapInArrow(run, SKETCHES)
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """``rep, shingles`` for the documents named in ``ids`` (column ``rep``)."""
+def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``rep, shingles`` of the classes ``rep``, whose sets are those of the texts ``doc_id, text_hash``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
@@ -131,9 +143,10 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 values = np.concatenate(sets) if sets else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["rep", "shingles"])
 
-    few = ids.count() <= BROADCAST_IDS
-    named = docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("string").alias("text"))
-    return named.join(F.broadcast(ids) if few else ids, "rep", "left_semi").mapInArrow(run, "rep bigint, shingles array<bigint>")
+    few = wanted.count() <= BROADCAST_IDS
+    found = named_texts(docs).join(F.broadcast(wanted) if few else wanted, ["doc_id", "text_hash"]).select("rep", "text").mapInArrow(run, "rep bigint, shingles array<bigint>")
+    # A row that is repeated as a whole gives its set more than once.
+    return found.dropDuplicates(["rep"])
 
 
 def estimated(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -155,15 +168,29 @@ def estimated(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+def hot_classes(pairs: DataFrame) -> DataFrame:
+    """``hot, parts``: classes of more pairs than one task should join, and the parts they are joined in. At most two classes per
+    ``HOT_PAIRS`` pairs; sent to all executors up to ``BROADCAST_IDS``."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("hot")).groupBy("hot").count()
+    hot = materialise(ends.where(F.col("count") > HOT_PAIRS).select("hot", F.ceil(F.col("count") / HOT_PAIRS).cast("int").alias("parts")), "hot")
+    return F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
+
+
+def attached(pairs: DataFrame, side: str, other: str, values: DataFrame, hot: DataFrame) -> DataFrame:
+    """Pairs with the columns of ``values`` for the class in ``side``. The pairs of a hot class are dealt over its parts by the class in ``other``."""
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.hash(other), F.coalesce("parts", F.lit(1))))
+    dealt = pairs.join(hot.withColumnRenamed("hot", side), side, "left").withColumn("part", part).drop("parts")
+    copies = values.join(hot.withColumnRenamed("hot", side), side, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copies, [side, "part"]).drop("part")
+
+
+def confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets are similar enough: size and estimate first, then the sets."""
-    side = classes.select("rep", "n_shingles", "registers")
-    sized = pairs.join(side.toDF("a", "a_n", "a_registers"), "a").join(side.toDF("b", "b_n", "b_registers"), "b")
+    side, hot = classes.select("rep", "n_shingles", "registers"), hot_classes(pairs)
+    sized = attached(attached(pairs, "a", "b", side.toDF("a", "a_n", "a_registers"), hot), "b", "a", side.toDF("b", "b_n", "b_registers"), hot)
     sized = sized.where((F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent))
     near = materialise(estimated(sized, percent / 100), "near")
-    ids = materialise(near.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "ids")
-    sets = materialise(full_sets(docs, ids, width), "sets")
-    both = near.join(sets.toDF("a", "a_set"), "a").join(sets.toDF("b", "b_set"), "b")
+    both = attached(attached(near, "a", "b", sets.toDF("a", "a_set"), hot), "b", "a", sets.toDF("b", "b_set"), hot)
     common = F.size(F.array_intersect("a_set", "b_set"))
     return materialise(both.where(common * 100 >= (F.size("a_set") + F.size("b_set") - common) * percent).select("a", "b").distinct(), "confirmed")
 
@@ -239,47 +266,62 @@ def all_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return left.join(right, "bucket").where(fit & (F.least("s_n", "m_n") * 100 >= F.greatest("s_n", "m_n") * percent) & once).select(F.least("s", "m").alias("a"), F.greatest("s", "m").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, kept``."""
-    rows = materialise(sketch_documents(docs, width), "sketches")
-    grouped = rows.where("n_shingles > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
-    classes = materialise(grouped, "classes")
-
+def find_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """``node, label``: the components of the classes ``rep`` that are linked with any other."""
     bands = band_rows(classes).select(F.xxhash64("band", "part").alias("bucket"), "band", "rep", "n_shingles")
     least = bands.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = materialise(bands.join(least.select("bucket", "centre"), "bucket"), "buckets")
+    wanted = materialise(shared.select("rep").distinct().join(classes, "rep").select("rep", "doc_id", "text_hash"), "wanted")
+    sets = materialise(full_sets(docs, wanted, width), "sets")
 
     first = materialise(shared.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = confirm(docs, first, classes, width, percent)
+    links = confirm(first, classes, sets, percent)
     labels, shared = components(links), shared.drop("centre")
 
     open_rows = mixed_buckets(by_size(shared, percent), labels)
-    held = classes.select("rep", "registers").join(classes.groupBy("rep").count().where("count = 1").select("rep"), "rep", "left_semi")
+    registers = classes.select("rep", "registers")
     no_own = F.lit(0).cast("bigint").alias("own")
     small, large = (open_rows.where(F.col("members") <= LARGE_BUCKET), open_rows.where(F.col("members") > LARGE_BUCKET))
-    meeting = all_pairs(small.select("*", no_own).join(classes.select("rep", "registers").dropDuplicates(["rep"]), "rep"), percent).unionByName(star_pairs(large))
+    meeting = all_pairs(small.select("*", no_own).join(registers, "rep"), percent).unionByName(star_pairs(large))
     second = materialise(meeting.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(confirm(docs, second, classes, width, percent))
+    links = links.unionByName(confirm(second, classes, sets, percent))
     labels = components(links)
 
     left = mixed_buckets(large.drop("label", "main", "members"), labels)
-    ids = materialise(left.select("rep").distinct().join(held, "rep", "left_semi"), "ids")
-    rare = materialise(rare_shingles(materialise(full_sets(docs, ids, width), "sets").repartition("rep"), labels), "rare")
+    ids = materialise(left.select("rep").distinct(), "ids")
+    rare = materialise(rare_shingles(sets.join(ids, "rep", "left_semi"), labels), "rare")
     own = rare.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
-    left = left.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))).join(classes.select("rep", "registers").dropDuplicates(["rep"]), "rep")
+    left = left.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))).join(registers, "rep")
     third = all_pairs(left, percent).unionByName(rare_pairs(rare, percent)).distinct()
     third = materialise(third.join(first.unionByName(second), ["a", "b"], "left_anti"), "pairs")
-    labels = components(links.unionByName(confirm(docs, third, classes, width, percent)))
+    return components(links.unionByName(confirm(third, classes, sets, percent)))
 
-    final = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("class", F.coalesce("label", "rep").alias("label"))
-    alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    together = rows.where("n_shingles > 0 and doc_id is not null").join(final, "class").select("doc_id", "n_shingles", F.col("label").alias("component_id"))
+
+def near_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, text_hash, n_shingles, component_id, kept``."""
+    rows = materialise(sketch_documents(docs, width), "sketches")
+    linked = F.expr("n_shingles > 0 and doc_id is not null")
+    least = F.min(F.struct("doc_id", "text_hash"))
+    grouped = rows.where(linked).groupBy("class").agg(least.alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+    # Numbers are given as the table is written, and read from it ever after.
+    classes = materialise(grouped.select("class", F.monotonically_increasing_id().alias("rep"), "least.doc_id", "least.text_hash", "n_shingles", "registers"), "classes")
+    labels = find_links(docs, classes, width, percent)
+    named = materialise(classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("class", "doc_id", F.coalesce("label", "rep").alias("label")), "labelled")
+    final = named.join(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("class", "component_id")
+    alone = rows.where(~linked).select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
+    together = rows.where(linked).join(final, "class").select("doc_id", "text_hash", "n_shingles", "component_id")
     return together.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id, kept``."""
+    return near_rows(docs, width, percent).drop("text_hash")
+
+
 def keep_documents(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` that are the least of their group, with their own columns. Rows that share an id stay together."""
-    gone = materialise(near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    """The rows of ``docs`` that are the least of their group, with their own columns. Rows that share id and text stay or go together."""
+    gone = materialise(near_rows(docs, width, percent).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"))
-    return rows.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("gone_id"), "left_anti").select("row.*")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    same = (F.col("doc_id") == F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash"))
+    return rows.join(F.broadcast(gone) if few else gone, same, "left_anti").select("row.*")

@@ -288,6 +288,28 @@ def test_large_group_of_copies_with_changes(spark, monkeypatch):
     assert found_components(hyperminhash.near_duplicates(frame)) == plain_components(rows)
 
 
+def test_ids_with_several_texts(spark):
+    """No text is lost because another one of its id is a copy, and a row counts by its own text."""
+    one, two, three = (" ".join(f"{name}{i}" for i in range(40)) for name in "abc")
+    rows = [(5, one, "p"), (5, two, "q"), (3, two, "r"), (7, three, "s"), (7, three, "t"), (9, three + " more", "u"), (9, None, "v"), (None, one, "w")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, text_hash string")
+    found = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in hyperminhash.near_duplicates(frame).where("doc_id is not null").collect())
+    assert found == [(3, 36, 3, True), (5, 36, 3, False), (5, 36, 5, True), (7, 36, 7, True), (7, 36, 7, True), (9, 0, 9, True), (9, 37, 7, False)]
+    assert sorted(r["text_hash"] for r in hyperminhash.keep_documents(frame).collect()) == ["p", "r", "s", "t", "v", "w"]
+
+
+def test_centres_of_many_pairs_are_joined_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(hyperminhash, "HOT_PAIRS", 3)
+    monkeypatch.setattr(hyperminhash, "BROADCAST_IDS", 0)
+    base = [f"b{i}" for i in range(150)]
+    rows = [(k, " ".join(base[:k] + [f"n{k}"] + base[k + 1 :])) for k in range(60)] + [(100 + k, f"other text {k} of its own with words {k}") for k in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert found_components(hyperminhash.near_duplicates(frame)) == plain_components(rows)
+    pairs = spark.createDataFrame([(0, k) for k in range(1, 60)] + [(k, 60) for k in range(60)], "a bigint, b bigint")
+    hot = {r["hot"]: r["parts"] for r in hyperminhash.hot_classes(pairs).collect()}
+    assert hot == {0: 20, 60: 20}
+
+
 def test_archives(spark, odd, none):
     pages = [(1, "http://a/ b", "x" * 1000), (2, None, "x" * 1000), (3, "", None), (4, "http://c", "é\n\nWARC/1.1\r\n\r\n" * 90), (5, "http://d", "short"), (6, "http://d", "short"), (9, "u", "x" * 1000), (None, "v", "x" * 1000)]
     frame = spark.createDataFrame(pages, "page_id bigint, url string, html string").withColumn("record_id", __import__("pyspark").sql.functions.lit(1)).repartition(3)
