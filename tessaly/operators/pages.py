@@ -56,19 +56,28 @@ def strip_page_boilerplate(pages: DataFrame) -> DataFrame:
     )
 
 
-def page_role(text: Column, page_no: Column, page_count: Column) -> Column:
-    """content, outline or skip. Phrases lose their blanks before the test."""
+def page_role(
+    text: Column, page_no: Column, page_count: Column, front_pages: int | None = None, title_pages: int | None = None,
+    metadata_chars: int = 2100, title_chars: int = 550,
+) -> Column:
+    """content, outline or skip. Phrases lose their blanks before the test.
+
+    ``front_pages``: only so many first pages may be outlines or front matter (None: any page). ``title_pages``: so many first pages are
+    skipped if they have at most ``title_chars`` characters and teach nothing (None: no page is skipped for being short).
+    A page that names its publisher and the like is front matter up to ``metadata_chars`` characters, or with a sure mark of it.
+    """
     squeezed = lambda words: [w.replace(" ", "") for w in words]
-    early = page_no <= F.least(page_count, F.lit(32))
+    early = F.lit(True) if front_pages is None else page_no <= F.least(page_count, F.lit(front_pages))
+    title = F.lit(False) if title_pages is None else page_no <= title_pages
 
     def judge(spaced: Column, key: Column) -> Column:
-        metadata = (F.length(key) <= 2100) | contains_any(spaced, V.METADATA_MARKERS)
+        metadata = (F.length(key) <= metadata_chars) | contains_any(spaced, V.METADATA_MARKERS)
         return (
             F.when(contains_any(key, squeezed(V.CLOSING_TERMS)), "skip")
             .when(~early, "content")
             .when(contains_any(key, squeezed(V.OUTLINE_TERMS)), "outline")
             .when(contains_any(key, squeezed(V.FRONT_MATTER_TERMS)) & metadata, "skip")
-            .when((page_no <= 3) & (F.length(key) <= 550) & ~spaced.rlike(V.TEACHING_SIGNAL), "skip")
+            .when(title & (F.length(key) <= title_chars) & ~spaced.rlike(V.TEACHING_SIGNAL), "skip")
             .otherwise("content")
         )
 
@@ -77,8 +86,9 @@ def page_role(text: Column, page_no: Column, page_count: Column) -> Column:
     )
 
 
-def with_roles(pages: DataFrame) -> DataFrame:
-    return with_page_count(pages).withColumn("role", page_role(F.col("text"), F.col("page_no"), F.col("page_count")))
+def with_roles(pages: DataFrame, **limits: int | None) -> DataFrame:
+    """Adds page_count and role; ``limits`` are those of ``page_role``."""
+    return with_page_count(pages).withColumn("role", page_role(F.col("text"), F.col("page_no"), F.col("page_count"), **limits))
 
 
 def document_profile(pages: DataFrame, types: DataFrame) -> DataFrame:
@@ -268,58 +278,44 @@ def retry_budget(characters: Column, parts: Column) -> Column:
     return F.when((characters >= 14000) | (parts >= 8), 6).when((characters >= 9000) | (parts >= 4), 5).otherwise(4)
 
 
-def sample_planning_pages(roled: DataFrame) -> DataFrame:
-    """Pages shown to structure planning, with the character budget of each page.
+def sample_planning_pages(
+    roled: DataFrame, whole_up_to: int | None = None, content_samples: int = 34, outline_pages: int | None = None,
+    page_chars: tuple[int, int] | None = None, total_chars: int | None = None,
+) -> DataFrame:
+    """Pages shown to structure planning, with the character budget of each page (null: the whole page).
 
-    Up to 80 pages all are shown; above that 34 evenly spaced content pages plus early
-    outline pages. The rank of a content page is needed only at 34 places per document.
+    By default every page is shown whole. With ``whole_up_to`` longer documents show ``content_samples`` evenly spaced content pages and the outlines
+    (of the first ``outline_pages`` only, if given); ``page_chars`` bounds the share of ``total_chars`` that each page gets.
+    The rank of a content page is needed only at the sampled places of a document.
     """
-    counts = roled.groupBy("doc").agg(
-        F.max("page_count").alias("n"), F.count_if(F.col("role") == "content").alias("learning")
-    )
-    long = counts.filter("n > 80").withColumn("samples", F.least(F.lit(34), F.col("learning")))
-    wanted = long.filter("samples > 0").select(
-        "doc", "learning", "samples", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("samples") - 1)).alias("i")
-    ).select(
-        "doc", (F.bround(F.col("i") * (F.col("learning") - 1) / F.greatest(F.lit(1), F.col("samples") - 1)) + 1).cast("bigint").alias("nth")
-    ).distinct()
-    content = roled.filter("role = 'content'").join(long.select("doc"), "doc").withColumn("block", F.floor(F.col("page_no") / 1000))
-    spaced = ranked(content.select("doc", "page_no", "block"), ["doc"], "block", [F.col("page_no")], "nth").join(wanted, ["doc", "nth"])
-    outline = roled.filter((F.col("role") == "outline") & (F.col("page_no") <= 36)).join(long.select("doc"), "doc")
-    short = roled.join(counts.filter("n <= 80").select("doc"), "doc")
-    chosen = (
-        spaced.select("doc", "page_no").union(outline.select("doc", "page_no")).union(short.select("doc", "page_no")).distinct()
-    )
-    budgets = chosen.groupBy("doc").agg(F.count(F.lit(1)).alias("shown")).withColumn(
-        "budget", F.greatest(F.lit(700), F.least(F.lit(2400), F.floor(F.lit(V.PLANNING_LIMIT) / F.col("shown"))))
-    )
+    chosen = roled.select("doc", "page_no")
+    if whole_up_to is not None:
+        counts = roled.groupBy("doc").agg(F.max("page_count").alias("n"), F.count_if(F.col("role") == "content").alias("learning"))
+        long = counts.filter(F.col("n") > whole_up_to).withColumn("samples", F.least(F.lit(content_samples), F.col("learning")))
+        wanted = long.filter("samples > 0").select(
+            "doc", "learning", "samples", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("samples") - 1)).alias("i")
+        ).select(
+            "doc", (F.bround(F.col("i") * (F.col("learning") - 1) / F.greatest(F.lit(1), F.col("samples") - 1)) + 1).cast("bigint").alias("nth")
+        ).distinct()
+        content = roled.filter("role = 'content'").join(long.select("doc"), "doc").withColumn("block", F.floor(F.col("page_no") / 1000))
+        spaced = ranked(content.select("doc", "page_no", "block"), ["doc"], "block", [F.col("page_no")], "nth").join(wanted, ["doc", "nth"])
+        early = F.lit(True) if outline_pages is None else F.col("page_no") <= outline_pages
+        outline = roled.filter((F.col("role") == "outline") & early).join(long.select("doc"), "doc")
+        short = roled.join(counts.filter(F.col("n") <= whole_up_to).select("doc"), "doc")
+        chosen = spaced.select("doc", "page_no").union(outline.select("doc", "page_no")).union(short.select("doc", "page_no"))
+    chosen = chosen.distinct()
     trimmed = F.regexp_replace(strip("text"), r"\n{3,}", "\n\n")
-    return (
-        roled.join(chosen, ["doc", "page_no"]).join(budgets, "doc")
-        .select("doc", "page_no", "role", "budget", F.substring(trimmed, F.lit(1), F.col("budget").cast("int")).alias("excerpt"))
-    )
+    shown = roled.join(chosen, ["doc", "page_no"])
+    if page_chars is None or total_chars is None:
+        return shown.select("doc", "page_no", "role", F.lit(None).cast("bigint").alias("budget"), trimmed.alias("excerpt"))
+    share = F.greatest(F.lit(page_chars[0]), F.least(F.lit(page_chars[1]), F.floor(F.lit(total_chars) / F.col("shown"))))
+    budgets = chosen.groupBy("doc").agg(F.count(F.lit(1)).alias("shown")).select("doc", share.alias("budget"))
+    return shown.join(budgets, "doc").select("doc", "page_no", "role", "budget", F.substring(trimmed, F.lit(1), F.col("budget").cast("int")).alias("excerpt"))
 
 
-def planning_text(samples: DataFrame) -> DataFrame:
-    """The whole planning input of a document: bounded by the 52000 character limit. A document
-    shows at most 80 + 36 pages of at most 2400 characters."""
+def planning_text(samples: DataFrame, total_chars: int | None = None) -> DataFrame:
+    """The whole planning input of a document, cut after ``total_chars`` if given. The text of one document is one value."""
     label = F.when(F.col("role") == "skip", "跳过正文").when(F.col("role") == "outline", "仅结构参考").otherwise("知识正文")
     part = F.concat(F.lit("[PAGE "), F.col("page_no").cast("string"), F.lit(" | "), label, F.lit("]\n"), F.col("excerpt"))
-    return samples.groupBy("doc").agg(
-        F.substring(ordered_join("\n\n", F.col("page_no"), part), 1, V.PLANNING_LIMIT).alias("planning_text")
-    )
-
-
-def join_pages(pages: DataFrame) -> DataFrame:
-    """Pages of a document as one text; the result is one row by definition."""
-    part = F.concat(F.lit("[PAGE "), F.col("page_no").cast("string"), F.lit("]\n"), F.col("text"))
-    return pages.groupBy("doc").agg(ordered_join("\n\n", F.col("page_no"), part).alias("original_text"))
-
-
-def sparse_pages(pages: DataFrame) -> DataFrame:
-    """Pages with almost no text, routed to bulk or single recognition."""
-    sparse = pages.filter(F.length(F.replace(F.col("text"), F.lit(" "), F.lit(""))) < 12)
-    counts = sparse.groupBy("doc").agg(F.count(F.lit(1)).alias("sparse"))
-    return sparse.join(counts, "doc").select(
-        "doc", "page_no", F.when(F.col("sparse") > 8, "bulk").otherwise("single").alias("route")
-    )
+    whole = ordered_join("\n\n", F.col("page_no"), part)
+    return samples.groupBy("doc").agg((whole if total_chars is None else F.substring(whole, 1, total_chars)).alias("planning_text"))

@@ -15,16 +15,22 @@ def squeezed(words):
     return [w.replace(" ", "") for w in words]
 
 
-def roles_sql(source: str) -> str:
+#: Limits of a role by position, for books whose front matter is short.
+FRONT = {"front_pages": 32, "title_pages": 3}
+
+
+def roles_sql(source: str, front_pages: int | None = None, title_pages: int | None = None) -> str:
     """roled: the page table with page_count and role."""
+    late = "false" if front_pages is None else f"page_no > least(page_count, {front_pages})"
+    title = "false" if title_pages is None else f"page_no <= {title_pages}"
     return f"""squeezed AS (SELECT *, count(*) OVER (PARTITION BY doc) AS page_count, {strip_sql(spaced_sql('text'))} AS spaced FROM {source}),
     keyed AS (SELECT *, {key_sql('lower(spaced)')} AS bare FROM squeezed),
     roled AS (SELECT doc, page_no, text, page_count, CASE
       WHEN {any_sql('bare', squeezed(V.CLOSING_TERMS))} THEN 'skip'
-      WHEN page_no > least(page_count, 32) THEN 'content'
+      WHEN {late} THEN 'content'
       WHEN {any_sql('bare', squeezed(V.OUTLINE_TERMS))} THEN 'outline'
       WHEN {any_sql('bare', squeezed(V.FRONT_MATTER_TERMS))} AND (len(bare) <= 2100 OR {any_sql('spaced', V.METADATA_MARKERS)}) THEN 'skip'
-      WHEN page_no <= 3 AND len(bare) <= 550 AND NOT regexp_matches(spaced, '{V.TEACHING_SIGNAL}') THEN 'skip'
+      WHEN {title} AND len(bare) <= 550 AND NOT regexp_matches(spaced, '{V.TEACHING_SIGNAL}') THEN 'skip'
       ELSE 'content' END AS role FROM keyed)"""
 
 
@@ -56,6 +62,11 @@ def page_roles(spark, sf_dir):
     return book(spark, sf_dir).select("doc", "page_no", "role")
 
 
+@query("d1_page_role_by_position", f"WITH {view_sql('book_pages')}, {roles_sql('book_pages', **FRONT)} SELECT doc, page_no, role FROM roled")
+def page_roles_by_position(spark, sf_dir):
+    return P.with_roles(view(spark, sf_dir, "book_pages"), **FRONT).select("doc", "page_no", "role")
+
+
 @query("a8_page_role_counts", f"""{BOOK} SELECT doc, count(*) FILTER (role = 'content') AS learning, count(*) FILTER (role = 'outline') AS outline,
     count(*) FILTER (role = 'skip') AS skipped FROM roled GROUP BY doc""")
 def role_counts(spark, sf_dir):
@@ -213,7 +224,26 @@ def sparse(spark, sf_dir):
 SOURCE_BOOK = "SELECT {src} AS doc, row_number() OVER (PARTITION BY {src} ORDER BY doc_id) AS page_no, text FROM documents"
 
 
-@query("t5_sample_planning_pages", f"""WITH book_pages AS ({SOURCE_BOOK.format(src="CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END")}), {roles_sql('book_pages')},
+SHELVES = "CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END"
+LABELLED_SQL = "concat('[PAGE ', page_no, ' | ', CASE role WHEN 'skip' THEN '跳过正文' WHEN 'outline' THEN '仅结构参考' ELSE '知识正文' END, ']', chr(10), "
+TRIMMED_SQL = f"regexp_replace({strip_sql('text')}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
+
+
+def shelf_pages(spark, sf_dir):
+    from tessaly.operators.segmented import ranked
+
+    docs = table(spark, sf_dir, "documents").select(F.expr(SHELVES).alias("doc"), "doc_id", "text", F.floor(F.col("doc_id") / 1000).alias("block"))
+    return ranked(docs, ["doc"], "block", [F.col("doc_id")], "page_no").select("doc", "page_no", "text")
+
+
+@query("t5_sample_planning_pages", f"""WITH book_pages AS ({SOURCE_BOOK.format(src=SHELVES)}), {roles_sql('book_pages')}
+    SELECT doc, count(*) AS shown, string_agg({LABELLED_SQL}{TRIMMED_SQL}), chr(10) || chr(10) ORDER BY page_no) AS planning_text FROM roled GROUP BY doc""")
+def planning(spark, sf_dir):
+    samples = P.sample_planning_pages(P.with_roles(shelf_pages(spark, sf_dir)))
+    return P.planning_text(samples).join(samples.groupBy("doc").agg(F.count(F.lit(1)).alias("shown")), "doc")
+
+
+@query("t5_planning_sample", f"""WITH book_pages AS ({SOURCE_BOOK.format(src=SHELVES)}), {roles_sql('book_pages', **FRONT)},
     counts AS (SELECT doc, count(*) AS n, count(*) FILTER (role = 'content') AS learning FROM roled GROUP BY doc),
     content AS (SELECT doc, page_no, row_number() OVER (PARTITION BY doc ORDER BY page_no) AS nth FROM roled WHERE role = 'content'),
     wanted AS (SELECT DISTINCT doc, CAST(round_even(i * (learning - 1) / greatest(1, samples - 1), 0) AS BIGINT) + 1 AS nth FROM (
@@ -225,14 +255,9 @@ SOURCE_BOOK = "SELECT {src} AS doc, row_number() OVER (PARTITION BY {src} ORDER
     excerpts AS (SELECT doc, page_no, concat('[PAGE ', page_no, ' | ', CASE role WHEN 'skip' THEN '跳过正文' WHEN 'outline' THEN '仅结构参考' ELSE '知识正文' END, ']', chr(10),
         substr(regexp_replace({strip_sql('text')}, '\\n{{3,}}', chr(10) || chr(10), 'g'), 1, budget)) AS part FROM roled JOIN chosen USING (doc, page_no) JOIN budgets USING (doc))
     SELECT doc, count(*) AS shown, substr(string_agg(part, chr(10) || chr(10) ORDER BY page_no), 1, {V.PLANNING_LIMIT}) AS planning_text FROM excerpts GROUP BY doc""")
-def planning(spark, sf_dir):
-    from tessaly.operators.segmented import ranked
-
-    docs = table(spark, sf_dir, "documents").select(
-        F.expr("CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END").alias("doc"), "doc_id", "text",
-        F.floor(F.col("doc_id") / 1000).alias("block"),
+def planning_sample(spark, sf_dir):
+    """The sample of bounded size: 34 content pages of documents above 80 pages, and their first outlines."""
+    samples = P.sample_planning_pages(
+        P.with_roles(shelf_pages(spark, sf_dir), **FRONT), whole_up_to=80, content_samples=34, outline_pages=36, page_chars=(700, 2400), total_chars=V.PLANNING_LIMIT
     )
-    pages = ranked(docs, ["doc"], "block", [F.col("doc_id")], "page_no").select("doc", "page_no", "text")
-    samples = P.sample_planning_pages(P.with_roles(pages))
-    shown = samples.groupBy("doc").agg(F.count(F.lit(1)).alias("shown"))
-    return P.planning_text(samples).join(shown, "doc")
+    return P.planning_text(samples, V.PLANNING_LIMIT).join(samples.groupBy("doc").agg(F.count(F.lit(1)).alias("shown")), "doc")
