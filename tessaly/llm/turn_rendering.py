@@ -118,35 +118,47 @@ def text_place(template: Template, before: list[Message], message: Message, whol
 
 
 def render_turns(template: Template, messages: list[Message], learned: frozenset[str], context: int = 0, opening: bool = True) -> list[Example]:
-    """The examples of consecutive turns. The first ``context`` messages are known before and give no output of their own."""
-    before = template.render(messages[:context])
-    cut = 0 if opening else len(before)
+    """The examples of consecutive turns. The first ``context`` messages are known before and give no output of their own.
+
+    A turn is rendered behind all turns before it, or behind as many as the template's reach."""
+    if template.reach is not None:
+        return [render_within_reach(template, messages, learned, context, opening)]
+    before = template.render([])
     example = Example(before, [], False)
     examples = [example]
-    for k in range(context, len(messages)):
-        past = messages[:k]
+    for k, (role, _) in enumerate(messages):
         whole = template.render(messages[: k + 1])
+        start = len(before)
         if not whole.startswith(before):
-            if template.reach is not None:
-                raise ValueError("a template that rewrites history must not name a reach")
             if example.spans:
                 example = Example(whole, [], True)
                 examples.append(example)
             example.rewrites = True
             start = next((i for i, (a, b) in enumerate(zip(before, whole)) if a != b), min(len(before), len(whole)))
-        else:
-            start = len(before)
-        begin, end = text_place(template, past, messages[k], whole)
-        role = messages[k][0]
+        begin, end = text_place(template, messages[:k], messages[k], whole)
         example.formatted = whole
-        # Positions before the cut belong to the context.
-        example.spans.append((k - context, role, start - cut, len(whole) - cut, begin - cut if begin >= 0 else -1, end - cut if begin >= 0 else -1, role in learned and begin >= 0))
+        example.spans.append((k, role, start, len(whole), begin, end, role in learned and begin >= 0))
         before = whole
-    for one in examples:
-        one.formatted = one.formatted[cut:]
     return examples
 
 
+def render_within_reach(template: Template, messages: list[Message], learned: frozenset[str], context: int, opening: bool) -> Example:
+    """One example; the time goes with the number of turns, however many there are."""
+    pieces = [template.render([])] if opening else []
+    spans, at = [], sum(map(len, pieces))
+    for k in range(context, len(messages)):
+        past, role = messages[max(0, k - template.reach) : k], messages[k][0]
+        before, whole = template.render(past), template.render([*past, messages[k]])
+        if not whole.startswith(before):
+            raise ValueError("a template that rewrites history must not name a reach")
+        begin, end = text_place(template, past, messages[k], whole)
+        shift, shown = at - len(before), begin >= 0
+        spans.append((k - context, role, at, at + len(whole) - len(before), begin + shift if shown else -1, end + shift if shown else -1, role in learned and shown))
+        pieces.append(whole[len(before) :])
+        at += len(pieces[-1])
+    return Example("".join(pieces), spans, False)
+
+
 EXAMPLES = (
     "conv_id bigint, block bigint, example bigint, formatted string, rewrites boolean, "
     "spans array<struct<turn:bigint,role:string,begin:bigint,end:bigint,text_begin:bigint,text_end:bigint,learned:boolean>>"

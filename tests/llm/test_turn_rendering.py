@@ -87,6 +87,14 @@ def ended(messages):
 TURNS = [("user", "q1"), ("assistant", "t1|a1"), ("user", "q2"), ("assistant", "t2|a2"), ("user", "q3")]
 
 
+def test_a_known_reach_changes_nothing():
+    chance = random.Random(9)
+    blind = Template(render_instructions, escape, unescape)
+    for n in (0, 1, 2, 9):
+        turns = [(chance.choice(["user", "assistant", "system", "tool"]), "".join(chance.choice(PIECES) for _ in range(chance.randint(0, 5)))) for _ in range(n)]
+        assert render_turns(turn_rendering.INSTRUCTIONS, turns, frozenset({"assistant"})) == render_turns(blind, turns, frozenset({"assistant"}))
+
+
 def learned_texts(examples):
     return [e.formatted[s[4] : s[5]] for e in examples for s in e.spans if s[6]]
 
