@@ -7,7 +7,6 @@ with its own log, so a lost executor or a restarted query leaves no duplicates.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -19,12 +18,12 @@ from tessaly.functions import vocabulary as V
 from tessaly.operators.chunking import split_text
 from tessaly.operators.jobs import next_retry
 from tessaly.operators.memory import partial_fold
+from tessaly.sources.folders import shared_root
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one the cluster names for checkpoints; a local one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessaly-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder below the one the cluster names for checkpoints."""
+    return f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
