@@ -71,7 +71,7 @@ def shaped_requests(requests: DataFrame, kind: str) -> DataFrame:
     budget = F.col("budget") if kind == "canteen" else F.coalesce(F.nullif(F.col("budget"), F.lit(0)), F.col("remembered_budget"), F.col("budget"))
     keyed = (
         requests.withColumn("_f", first).withColumn("_c", star("category")).withColumn("_t", star("taste", NO_SPICE)).withColumn("_p", party)
-        .withColumn("limit", F.coalesce((budget * 100).cast("bigint"), F.lit(NO_LIMIT)))
+        .withColumn("limit", F.coalesce(budget.cast("double"), F.lit(float(NO_LIMIT))))
         .withColumn("no_spice", F.coalesce(F.col("taste") == NO_SPICE, F.lit(False)))
         .withColumn("key5", F.concat_ws("|", F.lit("5"), "_f", "_c", "_t", "_p"))
     )
@@ -89,7 +89,7 @@ def _indexed(candidates: DataFrame, kind: str, tiers: Column) -> DataFrame:
     """Enabled candidates with the key lists of their attributes; ``*`` matches any request."""
     listed = lambda column: F.array_distinct(F.concat(column, F.array(F.lit("*"))))
     enabled = candidates.filter(F.coalesce("enabled", F.lit(True))).withColumn(
-        "cents", F.coalesce(F.round(F.col("price") * 100).cast("bigint"), F.lit(NO_LIMIT - 1))  # an unknown price fits no budget, but needs none
+        "price", F.coalesce(F.col("price").cast("double"), F.lit(float(NO_LIMIT - 1)))  # an unknown price fits no budget, but needs none
     )
     if kind == "restaurant":
         # Distances are whole minutes, so the distinct limits (a scalar array) are few.
@@ -103,7 +103,7 @@ def _indexed(candidates: DataFrame, kind: str, tiers: Column) -> DataFrame:
 
 
 def stage_rows(candidates: DataFrame, shaped: DataFrame, kind: str) -> DataFrame:
-    """(key, id, cents, units): every candidate under every stage key some request asks for."""
+    """(key, id, price, units): every candidate under every stage key some request asks for."""
     tiers = shaped.agg(F.collect_set("max_distance")).scalar()
     indexed = _indexed(candidates, kind, tiers)
     level2 = F.transform("_f", lambda f: F.concat(F.lit("2|"), f))
@@ -113,11 +113,11 @@ def stage_rows(candidates: DataFrame, shaped: DataFrame, kind: str) -> DataFrame
         "_t", lambda t: F.transform("_p", lambda p: F.concat_ws("|", F.lit("5"), f, c, t, p))))))))
     wanted = shaped.select(F.explode("keys").alias("key")).distinct()
     plain = indexed.select(
-        F.explode(F.concat(F.array(F.lit("1")), level2, level3, level4, level5)).alias("key"), "id", "cents", F.lit(0).cast("bigint").alias("units")
+        F.explode(F.concat(F.array(F.lit("1")), level2, level3, level4, level5)).alias("key"), "id", "price", F.lit(0).cast("bigint").alias("units")
     ).join(wanted, "key", "left_semi")
 
     profiles = shaped.groupBy("profile").agg(*[F.any_value(c).alias(c) for c in ("key5", "no_spice", "avoid", "liked", "taste", "category")])
-    worded = indexed.select(F.explode(level5).alias("key5"), "id", "cents", "text", "weight").join(profiles, "key5")
+    worded = indexed.select(F.explode(level5).alias("key5"), "id", "price", "text", "weight").join(profiles, "key5")
     has = lambda words: F.exists(words, lambda w: F.col("text").contains(F.lower(w)))
     spicy = F.col("text").contains(SPICE_CHARACTER)
     allowed = worded.filter(~has(F.col("avoid"))).withColumn("units", score_units(spicy, has(F.col("liked"))))
@@ -125,7 +125,7 @@ def stage_rows(candidates: DataFrame, shaped: DataFrame, kind: str) -> DataFrame
         F.struct(F.concat(F.lit("6"), "profile").alias("key"), F.lit(0).cast("bigint").alias("units")),
         F.when(~(F.col("no_spice") & spicy), F.struct(F.concat(F.lit("7"), "profile").alias("key"), "units")),
     ))
-    return plain.unionByName(allowed.select("id", "cents", F.explode(both).alias("_b")).select("_b.key", "id", "cents", "_b.units"))
+    return plain.unionByName(allowed.select("id", "price", F.explode(both).alias("_b")).select("_b.key", "id", "price", "_b.units"))
 
 
 def score_units(spicy: Column, liked: Column) -> Column:
@@ -138,12 +138,17 @@ def score_units(spicy: Column, liked: Column) -> Column:
     return F.greatest(F.lit(1), base + taste + category + F.when(liked, 150).otherwise(0)).cast("bigint")
 
 
+def price_band(price: Column) -> Column:
+    """Segments that grow with the price; prices themselves are compared as they are."""
+    return F.floor(price * 100 / PRICE_BAND)
+
+
 def cumulative(rows: DataFrame) -> DataFrame:
     """Counts and weights up to and including each candidate, along the price of its key."""
-    banded = rows.withColumn("band", F.floor(F.col("cents") / PRICE_BAND))
-    order = [F.col("cents"), F.col("id")]
+    banded = rows.withColumn("band", price_band(F.col("price")))
+    order = [F.col("price"), F.col("id")]
     totals = {"count_to": F.lit(1), "units_to": F.col("units")}
-    return running_sums(banded, ["key"], "band", order, totals).withColumn("at", F.struct("cents", "id"))
+    return running_sums(banded, ["key"], "band", order, totals).withColumn("at", F.struct("price", F.lit(0).alias("after"), "id"))
 
 
 def stage_counts(shaped: DataFrame, steps: DataFrame) -> DataFrame:
@@ -154,18 +159,20 @@ def stage_counts(shaped: DataFrame, steps: DataFrame) -> DataFrame:
     """
     stages = shaped.select(
         "request_id", "excluded", F.posexplode("keys").alias("stage", "key"), F.col("limit")
-    ).withColumn("cents", F.when(F.col("stage") == 0, NO_LIMIT).otherwise(F.col("limit")))
+    ).withColumn("price", F.when(F.col("stage") == 0, float(NO_LIMIT)).otherwise(F.col("limit")))
     probes = stages.select(
-        "request_id", "stage", "key", "excluded", F.struct("cents", F.lit(2**62).alias("id")).alias("at"),
-        F.floor(F.col("cents") / PRICE_BAND).alias("band"),
+        "request_id", "stage", "key", "excluded",
+        # Behind all candidates of the price, whatever their ids.
+        F.struct("price", F.lit(1).alias("after"), F.lit(None).cast(steps.schema["id"].dataType).alias("id")).alias("at"),
+        price_band(F.col("price")).alias("band"),
     )
     got = latest_at(probes, steps.select("key", "band", "at", "count_to", "units_to"), ["key"], "band", "at", ["count_to", "units_to"])
     found = got.select("request_id", "stage", F.coalesce("count_to", F.lit(0)).alias("n"), F.coalesce("units_to", F.lit(0)).alias("units"))
 
-    left_out = stages.select("request_id", "stage", "key", "cents", F.explode(F.array_distinct("excluded")).alias("id"))
-    removed = left_out.withColumnRenamed("cents", "_limit").join(
-        steps.select("key", "id", "cents", "units", "units_to"), ["key", "id"]
-    ).filter(F.col("cents") <= F.col("_limit"))
+    left_out = stages.select("request_id", "stage", "key", "price", F.explode(F.array_distinct("excluded")).alias("id"))
+    removed = left_out.withColumnRenamed("price", "_limit").join(
+        steps.select("key", "id", "price", "units", "units_to"), ["key", "id"]
+    ).filter(F.col("price") <= F.col("_limit"))
     per_stage = removed.groupBy("request_id", "stage").agg(
         F.count(F.lit(1)).alias("gone"), F.sum("units").alias("gone_units"),
         F.array_sort(F.collect_list(F.struct((F.col("units_to") - F.col("units")).alias("start"), "units"))).alias("intervals"),

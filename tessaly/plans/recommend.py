@@ -125,7 +125,7 @@ def soft_score(spark, sf_dir):
 
 @query("g5_weighted_pick", f"""{BASE}, {cascade_sql('canteen')},
     along AS (SELECT request_id, id, units, sum(units) OVER (PARTITION BY request_id ORDER BY price, id) AS upto, total_units FROM passed JOIN counted USING (request_id) WHERE t7),
-    placed AS (SELECT *, CAST(concat('0x', substr(md5(concat('seed-1|', request_id)), 1, 8)) AS HUGEINT) * total_units // 4294967296 AS place FROM along)
+    placed AS (SELECT *, CAST(concat('0x', substr(md5(concat('seed-1|', request_id)), 1, 15)) AS HUGEINT) * total_units // 1152921504606846976 AS place FROM along)
     SELECT request_id, id, units, total_units FROM placed WHERE upto > place AND upto - units <= place""")
 def pick(spark, sf_dir):
     shaped, steps, counted = parts(spark, sf_dir, "canteen")

@@ -169,6 +169,25 @@ def test_restaurant_budget(spark):
     assert {r.request_id: r.n_no_spice for r in counted.collect()} == {1: 1, 2: 1, 3: 1, 4: 0}
 
 
+def test_budgets_are_strict_and_ids_may_be_names(spark):
+    """A price of a fraction of a cent above the budget is too dear; ids of dishes are strings; every request avoids words of its own."""
+    priced = [("soup", 10.004), ("rice", 10.0), ("zucchini", 9.999), ("tea", None), ("air", 0.0), ("Äpfel", 10.0)]
+    dishes = catalogue(spark, [dict(id=k, price=price, weight=1.0, text=f"dish {name.lower()}") for k, (name, price) in enumerate(priced)])
+    names = spark.createDataFrame([(k, name) for k, (name, _) in enumerate(priced)], "id bigint, name string")
+    dishes = dishes.join(names, "id").drop("id").withColumnRenamed("name", "id")
+    asked = requested(spark, [
+        dict(request_id=1, budget=10.0), dict(request_id=2, budget=10.004), dict(request_id=3, budget=0.0), dict(request_id=4), dict(request_id=5, budget=9.9995),
+        *(dict(request_id=10 + k, budget=10.0, avoid=[name.lower(), f"word{k}"]) for k, (name, _) in enumerate(priced)),
+    ]).drop("excluded").withColumn("excluded", F.when(F.col("request_id") == 4, F.array(F.lit("tea"), F.lit("tea"))).otherwise(F.array().cast("array<string>")))
+    shaped = R.shaped_requests(asked, "canteen")
+    steps = R.cumulative(R.stage_rows(dishes, shaped, "canteen"))
+    counted = R.stage_counts(shaped, steps)
+    left = {r.request_id: r.n_no_spice for r in counted.collect()}
+    assert left == {1: 4, 2: 5, 3: 1, 4: 5, 5: 2, 10: 4, 11: 3, 12: 3, 13: 4, 14: 3, 15: 3}
+    picks = {r.request_id: r.id for r in R.weighted_pick(shaped, steps, counted, "s").collect()}
+    assert picks[3] == "air" and picks[1] in {"rice", "zucchini", "air", "Äpfel"} and picks[5] in {"zucchini", "air"} and set(picks) == set(left)
+
+
 def test_request_phrases(spark):
     texts = ["我不想出门，帮我点个外卖", "附近人均 40 以内，三个人聚餐", "食堂午饭吃什么，20块，不辣"]
     rows = R.parse_requests(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
