@@ -24,6 +24,8 @@ from tessaly.llm.storage import new_folder
 from tessaly.llm.wordpiece import ROWS_A_CALL, encoder
 
 SEPARATOR = "\x00\x00"
+#: Identifiers are stored one higher in 16 bits, 0 being the separator.
+LARGEST_ID = 65_534
 #: Documents in one file at most, so that a file fits in a task.
 DOCS_A_FILE = 10_000
 BLOCK = 1 << 20
@@ -41,7 +43,10 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, docs_a_file:
             for at in range(0, whole.num_rows, ROWS_A_CALL):
                 batch = whole.slice(at, ROWS_A_CALL)
                 texts = [t or "" for t in batch.column("text").to_pylist()]
-                stored = [(np.frombuffer(ids, "<u4") + 1).astype("<u2").tobytes() for ids in coder.encode(texts)]
+                encoded = [np.frombuffer(ids, "<u4") for ids in coder.encode(texts)]
+                if any(len(ids) and ids.max() > LARGEST_ID for ids in encoded):
+                    raise ValueError(f"token files hold identifiers up to {LARGEST_ID}")
+                stored = [(ids + 1).astype("<u2").tobytes() for ids in encoded]
                 line = " ".join(["-" if i is None else str(i) for i in (part, place, *batch.column("doc_id").to_pylist())])
                 place += len(stored)
                 yield pa.RecordBatch.from_arrays([pa.array([*stored, line.encode()], pa.binary()), pa.array(["tokens"] * len(stored) + ["ids"])], ["stored", "kind"])

@@ -42,6 +42,8 @@ BEGINNINGS = (4, 5, 6)
 LEXICON_SIZE, LEAST_EVIDENCE = 3000, 8.0
 NEAR = 3
 #: Score from which a text is called toxic.
+#: Labelled texts that are not toxic, per toxic one, from which the lexicon learns what is usual (by hash of the text).
+OTHER_TEXTS = 2
 THRESHOLD = 0.3
 FEATURES = ("hits", "hit_rate", "hit_kinds", "word_hits", "near_you", "best_window", "disguised_hits", "capitals", "shouted", "exclaims", "marks", "disguised", "drawn_out", "n_words")
 
@@ -67,8 +69,7 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> list[str]:
     toxic, other = totals["toxic"] or 0, totals["other"] or 0
     if not toxic or not other:
         return []
-    # As many other texts as twice the toxic ones are enough to know what is usual.
-    share = min(1.0, 2 * toxic / other)
+    share = min(1.0, OTHER_TEXTS * toxic / other)
     some = once.where((F.col("label") == 1) | (F.pmod(F.col("mark"), F.lit(10_000)) < int(share * 10_000))).select("text", "label")
     counts = some.mapInArrow(units, "unit string, toxic bigint, other bigint").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     usual = toxic / (toxic + share * other)

@@ -372,6 +372,34 @@ def test_rules_say_what_their_column_says(spark):
     assert len(rule_ensemble.statistics_of("x", packer)) == len(rule_ensemble.STATISTICS)
 
 
+def test_pipeline_on_odd_rows(spark, odd, none, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing columns, and no rows at all."""
+    import corpus_pipeline
+
+    labels = read_table(spark, SF_DIR, "labels")
+    assert toxicity.keep_documents(odd, labels).columns == odd.columns
+    assert toxicity.keep_documents(none, labels).count() == 0
+    for name, rows in (("odd", odd), ("none", none)):
+        folder = f"{tmp_path}/{name}"
+        rows.write.parquet(f"{folder}/documents.parquet")
+        for table in ("labels", "benchmark"):
+            read_table(spark, SF_DIR, table).write.parquet(f"{folder}/{table}.parquet")
+        docs = read_table(spark, folder, "documents")
+        kept = docs
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, folder)
+            assert kept.columns == docs.columns
+        pieces = corpus_pipeline.run(spark, folder)
+        assert {"doc_id", "sequence_id", "offset"} <= set(pieces.columns)
+        assert {r["doc_id"] for r in pieces.collect()} == {r["doc_id"] for r in kept.collect()}
+
+
+def test_identifiers_that_do_not_fit_fail(spark, odd, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_counts, "LARGEST_ID", 5)
+    with pytest.raises(Exception, match="identifiers up to 5"):
+        token_counts.count_tokens(odd, vocabulary()).collect()
+
+
 def test_disguised_words_count():
     words = toxicity.text_features("you 1d1ot", frozenset({"idiot"}), frozenset())
     assert dict(zip(toxicity.FEATURES, toxicity.text_features("you idiot", frozenset({"idiot"}), frozenset()), strict=True))["near_you"] == 1
