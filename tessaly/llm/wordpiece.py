@@ -81,7 +81,8 @@ def encoder(vocabulary: str) -> Encoder:
 
 
 TOKENS = "doc_id bigint, part int, place bigint, n_ids bigint, ids binary"
-ROWS_A_CALL = 2000
+#: Rows cut into pieces at once: a text takes some twenty times its bytes in pieces.
+ROWS_A_CALL = 250
 
 
 def tokenise(docs: DataFrame, vocabulary: str, end_id: int | None) -> DataFrame:
