@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessaly.functions import vocabulary as V
 from tessaly.operators import memory as M
-from tessaly.plans.jobs import DELAY, EVENTS, GAP, LATEST, iso
+from tessaly.plans.jobs import CLOCK, DELAY, EVENTS, GAP, LATEST, iso
 from tessaly.plans.memory import MEMORIES
 from tessaly.plans.registry import query
 from tessaly.plans.retrieval import chunks_sql
@@ -25,27 +25,23 @@ def event_stream(spark, sf_dir):
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-MARK = "(SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
-SESSIONS = f"""{EVENTS}, lagged AS (SELECT *, lag(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS p FROM job_events),
-    numbered AS (SELECT *, sum(CASE WHEN p IS NULL OR {{0}} THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS n FROM lagged)"""
-
-
-@query("x1_stale_heartbeats_stream", SESSIONS.format("epoch_us(ts) - epoch_us(p) > 75000000") + f""", closed AS (SELECT job_id, arg_max(event_id, ts) AS event_id, arg_max(status, ts) AS s, arg_max(cancel_requested, ts) AS c, max(ts) AS last_at FROM numbered GROUP BY job_id, n)
-    SELECT job_id, event_id, CASE WHEN c THEN 'cancelled' ELSE 'queued' END AS status FROM closed WHERE s IN ('running', 'cancelling') AND last_at + INTERVAL 75 SECOND < {MARK}""")
+@query("x1_stale_heartbeats_stream", f"""{EVENTS}, followed AS (SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS next_ts FROM job_events)
+    SELECT job_id, event_id, CASE WHEN cancel_requested THEN 'cancelled' ELSE 'queued' END AS status FROM followed
+    WHERE status IN ('running', 'cancelling') AND epoch_us(coalesce(next_ts, TIMESTAMP '{CLOCK}')) - epoch_us(ts) > 75000000""")
 def stale(spark, sf_dir):
-    return S.run_append(S.stale_heartbeats(event_stream(spark, sf_dir)), S.shared_folder(spark))
+    return S.stale_heartbeats(event_stream(spark, sf_dir), S.shared_folder(spark), F.lit(CLOCK).cast("timestamp"))
 
 
-@query("x5_heartbeat_sessions_stream", SESSIONS.format(f"epoch_us(ts) - epoch_us(p) >= {GAP}000000") + f""" SELECT job_id, {iso('min(ts)')} AS started_at, {iso('max(ts)')} AS last_at, count(*) AS events FROM numbered GROUP BY job_id, n
-    HAVING max(ts) + INTERVAL {GAP} SECOND <= {MARK}""")
+@query("x5_heartbeat_sessions_stream", f"""{EVENTS}, lagged AS (SELECT *, lag(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS p FROM job_events),
+    numbered AS (SELECT *, sum(CASE WHEN p IS NULL OR epoch_us(ts) - epoch_us(p) >= {GAP}000000 THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS n FROM lagged)
+    SELECT job_id, {iso('min(ts)')} AS started_at, {iso('max(ts)')} AS last_at, count(*) AS events FROM numbered GROUP BY job_id, n""")
 def sessions(spark, sf_dir):
-    return S.run_append(S.heartbeat_sessions(event_stream(spark, sf_dir), GAP), S.shared_folder(spark))
+    return S.heartbeat_sessions(event_stream(spark, sf_dir), S.shared_folder(spark), GAP).drop("open")
 
 
-@query("x6_weekly_refresh_stream", """SELECT event_type, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, n FROM (SELECT event_type, time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS w, count(*) AS n FROM events GROUP BY ALL)
-    WHERE w + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+@query("x6_weekly_refresh_stream", "SELECT event_type, strftime(time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n FROM events GROUP BY ALL")
 def weekly(spark, sf_dir):
-    return S.run_append(S.weekly_refresh_windows(event_stream(spark, sf_dir)), S.shared_folder(spark))
+    return S.weekly_refresh_windows(event_stream(spark, sf_dir), S.shared_folder(spark)).drop("open")
 
 
 @query("x3_status_stream", f"{LATEST} SELECT job_id, status, {iso('updated_at')} AS updated_at, attempts, CASE WHEN status = 'retry_wait' THEN {iso(f'''updated_at + to_seconds({DELAY.format('attempts')})''')} END AS next_retry_at FROM latest")
@@ -60,10 +56,14 @@ def upserts(spark, sf_dir):
     return M.merge_folds(S.memory_upsert_stream(rows, S.shared_folder(spark)))
 
 
-@query("x4_ingest_stream", f"""WITH {view_sql('docs')}, firsts AS (SELECT sha256(body) AS h, any_value(body) AS body FROM docs GROUP BY 1)
-    SELECT h AS content_hash, chunk_index, content FROM {chunks_sql('firsts', 'h', 'body', V.INDEX_CHUNK, V.INDEX_OVERLAP)}""")
+# Documents arrive in the order of a hash, not of their ids.
+ARRIVES = "1700000000 + (doc_id * 7919) % 5000"
+
+
+@query("x4_ingest_stream", f"""WITH {view_sql('docs')}, arrived AS (SELECT doc_id AS id, text AS body, {ARRIVES} AS arrived_at FROM documents),
+    firsts AS (SELECT sha256(body) AS h, arg_min(id, (arrived_at, id)) AS id, any_value(body) AS body FROM arrived GROUP BY 1)
+    SELECT f.id, h AS content_hash, chunk_index, content FROM {chunks_sql('firsts', 'h', 'body', V.INDEX_CHUNK, V.INDEX_OVERLAP)} JOIN firsts f USING (h)""")
 def ingested(spark, sf_dir):
-    docs = stream(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), F.col("text").alias("body"), F.timestamp_seconds(F.lit(1700000000) + F.col("doc_id") * 0).alias("arrived_at")
-    )
-    return S.run_append(S.ingest_stream(docs), S.shared_folder(spark)).drop("id")
+    docs = stream(spark, sf_dir, "documents").selectExpr("doc_id AS id", "text AS body", f"timestamp_seconds({ARRIVES}) AS arrived_at")
+    texts = table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "text AS body")
+    return S.ingested_chunks(S.first_arrivals(docs, S.shared_folder(spark)), texts)

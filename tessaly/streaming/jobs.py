@@ -1,7 +1,7 @@
 """Incremental forms of the batch operators on Structured Streaming.
 
-All state is Spark's own (windows, aggregates, duplicate filters). Results are written per
-micro-batch into ``batch_id=N`` folders which a replay overwrites, or by the Parquet sink
+All state is Spark's own (windows, aggregates, duplicate filters); groups still open at the end of
+the input are read from it. Results are written per micro-batch into ``batch_id=N`` folders which a replay overwrites, or by the Parquet sink
 with its own log, so a lost executor or a restarted query leaves no duplicates.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -58,31 +58,62 @@ def run_batches(stream: DataFrame, folder: str, shape: Callable[[DataFrame], Dat
     return stream.sparkSession.read.parquet(f"{folder}/rows")
 
 
-def stale_heartbeats(events: DataFrame, delay: str = "10 minutes", seconds: int = V.STALE_SECONDS) -> DataFrame:
-    """Items which went silent for longer than the limit while running.
+def open_groups(groups: DataFrame, folder: str) -> DataFrame:
+    """Groups that still wait behind the watermark, with the columns of ``groups``, read from the state which the
+    stream left in its folder. Nothing is computed twice, and a later run goes on from the same state.
 
-    A session of activity closes after the limit plus one microsecond of silence; a session
-    whose last event is a running one is a stale item. Native session state, no Python.
+    The buffers of the aggregates must be their results, as those of counts, minima and maxima are; columns stand as keys,
+    window, aggregates.
     """
-    gap = f"{seconds} seconds 1 microsecond"
-    last = F.max(F.struct("ts", "event_id", "status", "cancel_requested"))
-    sessions = events.withWatermark("ts", delay).groupBy("job_id", F.session_window("ts", gap)).agg(last.alias("l"))
-    return sessions.filter(F.col("l.status").isin("running", "cancelling")).select(
-        "job_id", F.col("l.event_id").alias("event_id"), F.when(F.col("l.cancel_requested"), "cancelled").otherwise("queued").alias("status")
+    state = groups.sparkSession.read.format("statestore").load(f"{folder}/log")
+    held = {part: [f"{part}.{name}" for name in state.schema[part].dataType.names] for part in ("key", "value")}
+    # Session state repeats its keys beside the aggregates, window state does not.
+    columns = held["value"] if len(held["value"]) == len(groups.columns) else held["key"] + held["value"]
+    return state.select(*[F.col(c).alias(name) for c, name in zip(columns, groups.columns, strict=True)])
+
+
+def run_complete(groups: DataFrame, folder: str) -> DataFrame:
+    """Process what is available and return every group: those the watermark closed, and those open at the end of the input.
+
+    Closed groups are appended once and never change; open ones are the state of the last batch, so replays and
+    further runs over the same folder neither lose nor repeat a group. ``open`` tells them apart.
+    """
+    closed = run_append(groups, folder).withColumn("open", F.lit(False))
+    return closed.unionByName(open_groups(groups, folder).withColumn("open", F.lit(True)))
+
+
+def activity(events: DataFrame, gap: str, delay: str) -> DataFrame:
+    """Sessions per item with their count and newest event. Native session state, no Python."""
+    newest = F.max(F.struct("ts", "event_id", "status", "cancel_requested"))
+    windowed = events.withWatermark("ts", delay).groupBy("job_id", F.session_window("ts", gap))
+    return windowed.agg(F.count(F.lit(1)).alias("events"), newest.alias("newest"))
+
+
+def stale_heartbeats(events: DataFrame, folder: str, now: Column, delay: str = "10 minutes", seconds: int = V.STALE_SECONDS) -> DataFrame:
+    """Items which went silent for longer than the limit while running, those silent at the end of the input among them.
+
+    A session of activity closes after the limit plus one microsecond of silence; a session whose last event is a
+    running one is a stale item. What the watermark has not closed yet is judged by ``now``.
+    """
+    sessions = run_complete(activity(events, f"{seconds} seconds 1 microsecond", delay), folder)
+    # An open session of an item may be followed by another one, which shows that it was silent.
+    silent = ~F.col("open") | (F.unix_micros(now) - F.unix_micros("newest.ts") > seconds * 1_000_000)
+    return sessions.filter(silent & F.col("newest.status").isin("running", "cancelling")).select(
+        "job_id", F.col("newest.event_id").alias("event_id"), F.when(F.col("newest.cancel_requested"), "cancelled").otherwise("queued").alias("status")
     )
 
 
-def heartbeat_sessions(events: DataFrame, gap_seconds: int, delay: str = "10 minutes") -> DataFrame:
-    windowed = events.withWatermark("ts", delay).groupBy("job_id", F.session_window("ts", f"{gap_seconds} seconds"))
-    return windowed.agg(F.count(F.lit(1)).alias("events"), F.max("ts").alias("last_at")).select(
-        "job_id", F.col("session_window.start").alias("started_at"), "last_at", "events"
+def heartbeat_sessions(events: DataFrame, folder: str, gap_seconds: int, delay: str = "10 minutes") -> DataFrame:
+    """Sessions of activity per item, with those still open."""
+    return run_complete(activity(events, f"{gap_seconds} seconds", delay), folder).select(
+        "job_id", F.col("session_window.start").alias("started_at"), F.col("newest.ts").alias("last_at"), "events", "open"
     )
 
 
-def weekly_refresh_windows(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Volume per seven-day window; rows later than the watermark are dropped."""
+def weekly_refresh_windows(events: DataFrame, folder: str, delay: str = "1 day") -> DataFrame:
+    """Volume per seven-day window, with the windows still open; rows later than the watermark are dropped."""
     windowed = events.withWatermark("ts", delay).groupBy("event_type", F.window("ts", f"{V.REFRESH_DAYS} days"))
-    return windowed.agg(F.count(F.lit(1)).alias("n")).select("event_type", F.col("window.start").alias("window_start"), "n")
+    return run_complete(windowed.agg(F.count(F.lit(1)).alias("n")), folder).select("event_type", F.col("window.start").alias("window_start"), "n", "open")
 
 
 def status_updates(events: DataFrame) -> DataFrame:
@@ -104,11 +135,18 @@ def memory_upsert_stream(events: DataFrame, folder: str) -> DataFrame:
     return run_batches(events, folder, partial_fold, "append")
 
 
-def ingest_stream(docs: DataFrame, size: int = V.INDEX_CHUNK, overlap: int = V.INDEX_OVERLAP, delay: str = "1 hour") -> DataFrame:
-    """New documents to chunks; a content seen within the watermark is not taken again.
+def first_arrivals(docs: DataFrame, folder: str) -> DataFrame:
+    """``content_hash, id``: each content once, with the document that arrived first (the smallest id of ties).
 
-    ``docs``: id, body, arrived_at.
+    ``docs``: id, body, arrived_at. The stream keeps one short row per content, no text: which document comes first is
+    settled over all batches before texts are read, so the choice depends neither on files nor on tasks.
     """
-    hashed = docs.withColumn("content_hash", F.sha2(F.col("body"), 256)).withWatermark("arrived_at", delay)
-    fresh = hashed.dropDuplicatesWithinWatermark(["content_hash"])
-    return split_text(fresh.select("id", "content_hash", "body"), size=size, overlap=overlap)
+    hashed = docs.withColumn("content_hash", F.sha2(F.col("body"), 256))
+    firsts = hashed.groupBy("content_hash").agg(F.min(F.struct("arrived_at", "id")).alias("first"))
+    updates = run_batches(firsts, folder, lambda batch: batch, "update")
+    return updates.groupBy("content_hash").agg(F.min("first").alias("first")).select("content_hash", F.col("first.id").alias("id"))
+
+
+def ingested_chunks(firsts: DataFrame, docs: DataFrame, size: int = V.INDEX_CHUNK, overlap: int = V.INDEX_OVERLAP) -> DataFrame:
+    """Chunks of the documents chosen by ``first_arrivals``, led back to their ids."""
+    return split_text(docs.join(firsts, "id").select("id", "content_hash", "body"), size=size, overlap=overlap)

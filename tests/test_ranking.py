@@ -201,20 +201,58 @@ def test_retry_delays(spark):
 
 
 def test_stale_stream_equals_batch(spark, tmp_path):
-    rows = [(1, 0, "running"), (1, 60, "running"), (1, 135, "running"), (1, 300, "completed"), (2, 10, "running"), (2, 400, "queued"), (3, 5, "completed"), (3, 500, "running"), (9, 9000, "queued")]
+    rows = [(1, 0, "running"), (1, 60, "running"), (1, 135, "running"), (1, 300, "completed"), (2, 10, "running"), (2, 400, "queued"), (3, 5, "completed"), (3, 500, "running"), (9, 9000, "queued"), (8, 9000, "running")]
     events = spark.createDataFrame(
         [(j, i, 1_700_000_000 + t, s, i == 4) for i, (j, t, s) in enumerate(rows)], "job_id bigint, event_id bigint, t bigint, status string, cancel_requested boolean"
     ).withColumn("ts", F.timestamp_seconds("t")).drop("t")
     for i in range(3):
         events.filter(F.col("event_id") % 3 == i).coalesce(1).write.parquet(str(tmp_path / f"in{i}"))
-    folder = str(tmp_path / "in*")
-    stream = spark.readStream.schema(events.schema).parquet(folder)
-    got = {(r.job_id, r.event_id, r.status) for r in S.run_append(S.stale_heartbeats(stream, "0 seconds"), str(tmp_path / "out")).collect()}
-    batch = {(r.job_id, r.event_id, r.status) for r in J.stale_gaps(events, F.timestamp_seconds(F.lit(1_700_009_000))).collect()}
-    assert batch == {(1, 2, "queued"), (2, 4, "cancelled"), (3, 7, "queued")}  # the last one is silent since
+    now = F.timestamp_seconds(F.lit(1_700_009_000 + 300))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in*"))
+    got = {(r.job_id, r.event_id, r.status) for r in S.stale_heartbeats(stream, str(tmp_path / "out"), now, "0 seconds").collect()}
+    batch = {(r.job_id, r.event_id, r.status) for r in J.stale_gaps(events, now).collect()}
+    assert batch == {(1, 2, "queued"), (2, 4, "cancelled"), (3, 7, "queued"), (8, 9, "queued")}  # jobs 3 and 8 are silent since
     assert got == batch
 
 
+def test_open_groups_are_kept_over_runs(spark, tmp_path):
+    """Each run of a stream over the same folder returns all groups, whether closed before, closed now or open."""
+    def arrive(name, rows):
+        events = spark.createDataFrame(rows, "job_id bigint, event_id bigint, t bigint, status string, cancel_requested boolean, event_type string")
+        events.withColumn("ts", F.timestamp_seconds("t")).drop("t").coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+        return spark.read.parquet(f"{tmp_path}/in/*")
+
+    day, base = 86_400, 1_700_000_000
+
+    def compare(events):
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        sessions = S.heartbeat_sessions(stream, f"{tmp_path}/sessions", 3600)
+        batch = J.activity_sessions(events, 3600).select("job_id", "started_at", "last_at", "events")
+        assert sorted(sessions.drop("open").collect()) == sorted(batch.collect())
+        weeks = S.weekly_refresh_windows(stream, f"{tmp_path}/weeks")
+        expected = events.groupBy("event_type", F.window("ts", "7 days")).count().select("event_type", "window.start", "count")
+        assert sorted(weeks.drop("open").collect()) == sorted(expected.collect())
+        return sessions.filter("open").count(), weeks.filter("open").count()
+
+    assert compare(arrive("a", [(1, 1, base, "running", False, "x"), (1, 2, base + 60, "running", False, "x"), (2, 3, base + 90, "queued", False, "y")])) == (2, 2)
+    # Job 1 goes on in its open session; two weeks later job 2 starts another one and closes what stood open.
+    later = [(1, 4, base + 120, "running", False, "x"), (2, 5, base + 14 * day, "queued", False, "y")]
+    assert compare(arrive("b", later)) == (1, 1)
+
+
+def test_first_arrival_of_a_content(spark, tmp_path):
+    """Of equal texts the one that arrived first is taken, the smallest id of ties, whatever file it lies in."""
+    rows = [(5, "same", 10), (9, "same", 5), (7, "same", 5), (2, "other", 3), (1, "other", 4), (4, None, 1), (3, "", 1)]
+    docs = spark.createDataFrame(rows, "id bigint, body string, t bigint").withColumn("arrived_at", F.timestamp_seconds("t")).drop("t")
+    for i in range(3):
+        docs.filter(F.col("id") % 3 == i).coalesce(1).write.parquet(f"{tmp_path}/in{i}")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in*")
+    firsts = S.first_arrivals(stream, f"{tmp_path}/out")
+    assert {r.id for r in firsts.collect()} == {7, 2, 4, 3}
+    chunks = S.ingested_chunks(firsts, docs.select("id", "body"), 3, 0)
+    assert {(r.id, r.chunk_index, r.content) for r in chunks.collect()} == {(7, 0, "sam"), (7, 1, "e"), (2, 0, "oth"), (2, 1, "er")}
+
+
 def test_text_corpus_and_catalogue(spark, tmp_path):
     (tmp_path / "a.TXT").write_bytes("é\r\nb".encode() + b"\xff")
     (tmp_path / "b.pdf").write_bytes(b"%PDF")
