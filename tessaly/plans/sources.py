@@ -161,9 +161,40 @@ def bound_figures(spark, sf_dir):
     return G.bind_figures(docs, assets)
 
 
-@query("d20_scan_page_cleanup")
+# Images inside lines, open marks, pages without anchor: the pages' own images all stand on lines of their own.
+SCAN_FORMS = ("replace(replace(replace(replace(body, 'ipsum', concat('![m](asset://page-007-figure-2.png)', chr(10))), 'and [图', concat('and ![](asset://page-003-figure-4.png) [图')), '![fig]', '[待核对] ![fig]'), '- first', '![k](asset://page-004-figure-1.png)')")
+SCAN_IMAGE = r"!\[[^\]]*\]\(asset://page-0*[37]-figure-\d+\.png\)"
+
+
+def reference_sql(image: str) -> str:
+    alt, page, source = (rf"regexp_extract({image}, '!\[([^\]]*)\]\((asset://page-0*(\d+)-figure-\d+\.png)\)', {i})" for i in (1, 3, 2))
+    label = f"CASE WHEN {strip_sql(alt)} = '' THEN concat('第 ', {page}, ' 页原始内容') ELSE {strip_sql(alt)} END"
+    return (f"concat('<details data-source-page-scan=\"true\">', chr(10), '<summary>原页核对：', {label}, '</summary>', chr(10), chr(10), '![', {label}, '](', {source}, ')', chr(10), chr(10), '</details>')")
+
+
+# Lines are rows here: a line that is an image alone goes, images in other lines become notes.
+SCANS_SQL = f"""WITH {view_sql('markdown')}, bodies AS (SELECT id, regexp_replace({SCAN_FORMS}, '(?m)^[ \\t]*>+[ \\t]?', '', 'g') AS body FROM markdown),
+    numbered AS (SELECT id, unnest(string_split(body, chr(10))) AS line, unnest(range(len(string_split(body, chr(10))))) AS n FROM bodies WHERE id % 2 = 0),
+    anchored AS (SELECT *, CAST(regexp_extract(line, '^<!-- page:(\\d+) -->', 1) AS VARCHAR) AS anchor FROM numbered),
+    paged AS (SELECT *, sum(CASE WHEN anchor <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY n) AS part FROM anchored),
+    judged AS (SELECT *, {strip_sql('line')} AS core, regexp_extract_all(line, '{SCAN_IMAGE}') AS images FROM paged),
+    marked AS (SELECT *, len(images) > 0 AND regexp_full_match(core, '{SCAN_IMAGE}') AS alone FROM judged),
+    parts AS (SELECT id, part, max(anchor) IN ('3', '7') AND sum(len(images)) > 0 AS scan, bool_or(contains(line, '[待核对]')) OR bool_or(len(images) > 0 AND NOT alone) AS needed,
+        (list(images ORDER BY n) FILTER (len(images) > 0))[1][1] AS first_image, list(images ORDER BY n) FILTER (len(images) > 0 AND NOT alone) AS inline_images,
+        string_agg(CASE WHEN alone THEN '' ELSE regexp_replace(line, '{SCAN_IMAGE}', '（矩阵或公式见下方原页核对）', 'g') END, chr(10) ORDER BY n) AS below,
+        string_agg(CASE WHEN alone THEN '' ELSE regexp_replace(line, '{SCAN_IMAGE}', '（矩阵或公式见文末原页核对）', 'g') END, chr(10) ORDER BY n) AS at_end FROM marked GROUP BY id, part),
+    pieces AS (SELECT id, part, NOT scan AS loose, inline_images, CASE WHEN scan THEN concat(regexp_replace(regexp_replace(below, '\\n{{3,}}', chr(10) || chr(10), 'g'), '\\s+$', ''), CASE WHEN needed THEN concat(chr(10), chr(10), {reference_sql('first_image')}) ELSE '' END, chr(10))
+        ELSE concat(at_end, chr(10)) END AS piece FROM parts),
+    joined AS (SELECT id, regexp_replace(string_agg(piece, '' ORDER BY part), '\\s+$', '') AS body, flatten(list(inline_images ORDER BY part) FILTER (loose AND inline_images IS NOT NULL)) AS moved FROM pieces GROUP BY id),
+    ended AS (SELECT id, body, string_agg({reference_sql('image')}, chr(10) || chr(10) ORDER BY place) AS notes FROM (
+        SELECT id, body, unnest(CASE WHEN len(moved) > 0 THEN flatten(moved) ELSE [NULL] END) AS image, unnest(range(greatest(len(CASE WHEN len(moved) > 0 THEN flatten(moved) ELSE [NULL] END), 1))) AS place FROM joined) GROUP BY id, body)
+    SELECT id, {strip_sql("body")} AS body FROM bodies WHERE id % 2 <> 0
+    UNION ALL SELECT id, {strip_sql("regexp_replace(CASE WHEN notes IS NULL OR NOT contains(notes, 'asset://page-0') THEN body ELSE concat(body, chr(10), chr(10), notes) END, '\\n{3,}', chr(10) || chr(10), 'g')")} FROM ended"""
+
+
+@query("d20_scan_page_cleanup", SCANS_SQL)
 def tidy_scans(spark, sf_dir):
-    docs = view(spark, sf_dir, "markdown").select("id", "body")
+    docs = view(spark, sf_dir, "markdown").select("id", F.expr(SCAN_FORMS).alias("body"))
     return docs.select("id", G.scan_page_cleanup(F.col("body"), F.when(F.col("id") % 2 == 0, F.array(F.lit(3), F.lit(7)))).alias("body"))
 
 
