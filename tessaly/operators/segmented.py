@@ -54,6 +54,18 @@ def running_sum(
     return running_sums(df, keys, segment, order, {name: value})
 
 
+def running_max(df: DataFrame, keys: list[str], segment: str, order: list[str], value: Column, name: str) -> DataFrame:
+    """max(value) over (partition by keys order by segment, order rows up to the current one), nulls passed over."""
+    valued = df.withColumn("_value", value)
+    per_segment = valued.groupBy(*keys, segment).agg(F.max("_value").alias("_most"))
+    before = Window.partitionBy(*keys).orderBy(segment).rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_segment.select(*keys, segment, F.max("_most").over(before).alias("_carried"))
+    local = Window.partitionBy(*keys, segment).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = valued.withColumn("_local", F.max("_value").over(local)).join(carried, keys + [segment])
+    # Up to here the segment's own maximum may still be none, and the carried one may be larger.
+    return joined.withColumn(name, F.greatest("_local", "_carried")).drop("_value", "_local", "_carried")
+
+
 def neighbour(
     df: DataFrame, keys: list[str], segment: str, order: list[str], value: str, name: str, step: int = -1
 ) -> DataFrame:

@@ -93,6 +93,33 @@ def test_conflicting_preferences_update_one_row(spark):
     assert M.merge_folds(halves).exceptAll(M.fold_memories(events)).count() == 0
 
 
+def one_by_one(events):
+    """Memories by applying events in turn: the rule itself."""
+    rows = []
+    for user, seq, key, text, importance in sorted(events, key=lambda e: e[1]):
+        same = [r for r in rows if r["user"] == user and (r["key"] == key if key else r["text"] == text)]
+        target = max(same, key=lambda r: r["id"], default={"id": seq, "created": seq, "importance": 0})
+        rows = [r for r in rows if r not in same]
+        rows.append({**target, "user": user, "key": key, "text": text, "importance": max(importance, target["importance"]), "updated": seq})
+    return [(r["user"], r["id"], r["key"], r["text"], r["importance"], r["created"], r["updated"]) for r in rows]
+
+
+def test_memories_of_mixed_types(spark):
+    """Texts with and without a key in any order; segments shorter than the gaps between clears."""
+    draw, events, rows = random.Random(5), [], []
+    for seq in range(1200):
+        user, name, keyed, importance = draw.randrange(60), draw.choice(["辣", "不辣", "10元", "20元", "面"]), draw.random() < 0.5, draw.randint(1, 5)
+        text = {"辣": "想吃辣", "不辣": "不吃辣", "10元": "预算10元", "20元": "预算20元", "面": "喜欢面"}[name]
+        key = {"辣": "food:spicy", "不辣": "food:spicy", "10元": "food:budget", "20元": "food:budget", "面": "food:like:面"}[name] if keyed else None
+        rows.append((user, seq, "food_preference" if keyed else "user", text, importance, seq))
+        events.append((user, seq, key, text, importance))
+    given = spark.createDataFrame(rows, "user_id bigint, seq bigint, memory_type string, content string, importance int, epoch bigint")
+    keys = {r.memory_key for r in given.select(M.infer_key("memory_type", "content").alias("memory_key")).distinct().collect()}
+    assert keys == {None, "food:spicy", "food:budget", "food:like:面"}
+    got = M.fold_memories_in_order(given, segment_events=50).collect()
+    assert sorted(((r.user_id, r.id, r.memory_key, r.content, r.importance, r.created_at, r.updated_at) for r in got), key=str) == sorted(one_by_one(events), key=str)
+
+
 def test_relevant_memory_ranks_first(spark):
     rows = M.fold_memories(memory_events(spark, ("user", "偏好早晨学习数学", 3), ("user", "喜欢用表格整理论文", 3)))
     asked = spark.createDataFrame([(1, "论文 表格")], "user_id bigint, query_text string")
