@@ -10,7 +10,7 @@ from tessaly.operators.chunking import split_text
 from tessaly.plans.markdown import ISSUES, MD, REPEATS, quality_rows
 from tessaly.plans.registry import query
 from tessaly.plans.retrieval import chunks_sql
-from tessaly.plans.views import WS, spaced_sql, strip_sql, view, view_sql
+from tessaly.plans.views import WS, any_sql, lines_sql, spaced_sql, strip_sql, view, view_sql
 from tessaly.session import table
 from tessaly.sources import corpus, sinks, web
 
@@ -198,13 +198,37 @@ def tidy_scans(spark, sf_dir):
     return docs.select("id", G.scan_page_cleanup(F.col("body"), F.when(F.col("id") % 2 == 0, F.array(F.lit(3), F.lit(7)))).alias("body"))
 
 
-@query("c6_wrap_bare_math")
+def split_lines_sql(source: str) -> str:
+    """(id, n, line, core) of the lines of ``source`` (id, body); a line break at the end opens no further line."""
+    return (f"(SELECT id, n, line, {strip_sql('line')} AS core FROM (SELECT id, unnest({lines_sql('body')}) AS line, unnest(range(len({lines_sql('body')}))) AS n, "
+            f"len({lines_sql('body')}) AS size FROM {source}) WHERE n < size - 1 OR line <> '')")
+
+
+def wrapped_sql(inserted: str) -> str:
+    """CTEs up to ``wrapped`` (id, body): the bodies with the inserted lines, bare formulas wrapped."""
+    display = lambda formula: f"concat('$$', chr(10), {formula}, chr(10), '$$')"
+    odd = lambda test: f"coalesce(sum(CASE WHEN {test} THEN 1 ELSE 0 END) OVER above, 0) % 2 = 1"
+    return f"""WITH {view_sql('markdown')}, given AS (SELECT id, replace(body, concat(chr(10), chr(10), 'Th'), {inserted}) AS body FROM markdown),
+    plain AS (SELECT id, replace(replace(replace(replace(body, '\\[', '$$'), '\\]', '$$'), '\\(', '$'), '\\)', '$') AS body FROM given),
+    sided AS (SELECT *, {odd("starts_with(core, '```')")} OR {odd("core = '$$'")} AS inside FROM {split_lines_sql('plain')} WINDOW above AS (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    bare AS (SELECT *, NOT inside AND NOT contains(core, '$') AND NOT starts_with(core, '```') AND {any_sql('core', G.LATEX_HINTS)} AS bare, starts_with(core, '[') AND ends_with(core, ']') AS bracketed FROM sided),
+    wrapped AS (SELECT id, string_agg(CASE WHEN bare AND bracketed THEN {display(strip_sql('substr(core, 2, len(core) - 2)'))} WHEN bare AND NOT regexp_matches(core, '[\\x{{4E00}}-\\x{{9FFF}}]') THEN {display('core')} ELSE line END, chr(10) ORDER BY n) AS body FROM bare GROUP BY id)"""
+
+
+FORMULA = "concat(chr(10), chr(10), '\\frac{a}{b}', chr(10), "
+
+
+@query("c6_wrap_bare_math", wrapped_sql(FORMULA + "'  | a | b |', chr(10), 'Th')") + f""", rows AS (SELECT *, starts_with(core, '|') AND ends_with(core, '|') AS in_table FROM {split_lines_sql('wrapped')}),
+    beside AS (SELECT *, lag(core) OVER w AS above, lag(in_table) OVER w AS table_above FROM rows WINDOW w AS (PARTITION BY id ORDER BY n))
+    SELECT id, string_agg(concat(CASE WHEN in_table <> table_above AND core <> '' AND above <> '' THEN chr(10) ELSE '' END, CASE WHEN in_table THEN regexp_replace(line, '^{WS}+', '') ELSE line END), chr(10) ORDER BY n) AS body FROM beside GROUP BY id""")
 def bare_math(spark, sf_dir):
     docs = view(spark, sf_dir, "markdown").select("id", F.replace(F.col("body"), F.lit("\n\nTh"), F.lit("\n\n\\frac{a}{b}\n  | a | b |\nTh")).alias("body"))
     return docs.select("id", G.unindent_tables(G.wrap_bare_math(F.col("body"))).alias("body"))
 
 
-@query("c6_math_blocks")
+@query("c6_math_blocks", wrapped_sql(FORMULA + "chr(10), 'Th')") + f""", pieces AS (SELECT id, unnest(string_split(body, '$$')) AS piece, unnest(range(len(string_split(body, '$$')))) AS place, len(string_split(body, '$$')) AS size FROM wrapped),
+    closed AS (SELECT id, CASE WHEN size % 2 = 0 AND place = size - 1 THEN place - 1 ELSE place END AS position, string_agg(piece, '$$' ORDER BY place) AS piece FROM pieces GROUP BY ALL)
+    SELECT id, position, CASE WHEN position % 2 = 1 THEN 'math' ELSE 'markdown' END AS kind, CASE WHEN position % 2 = 1 THEN {strip_sql('piece')} ELSE piece END AS text FROM closed WHERE piece <> ''""")
 def blocks(spark, sf_dir):
     docs = view(spark, sf_dir, "markdown").select("id", F.replace(F.col("body"), F.lit("\n\nTh"), F.lit("\n\n\\frac{a}{b}\n\nTh")).alias("body"))
     return G.math_blocks(docs)
