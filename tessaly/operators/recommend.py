@@ -1,27 +1,38 @@
 """Constrained recommendation: filter cascade, named blockers, soft score, weighted draw.
 
-Requests are never paired with candidates. The stages of the cascade are equalities except
-for the budget, which is a threshold on the price. So candidates are indexed by the keys of
-every stage, cumulative counts and weights run along the price inside each key, and a
-request reads all its stage counts and its total weight by as-of lookups at its budget. A
-weighted draw is a second lookup, of a random place on the cumulative weight.
-
-Word conditions (avoid, no spice, liked) are evaluated once per distinct request profile,
-not per request. Excluded ids of a request are subtracted from what the lookups gave.
+Requests are never paired with candidates. Candidates are numbered in the order of price and id, and
+every stage key (an attribute value or a combination that some request asks for) and every distinct
+word of the requests has a bitmap of candidate numbers, stored as one row per 64 of them. So a budget is
+a prefix of the numbers, the cascade is intersections of words of 64 bits, and running counts and weights
+along the blocks of a key turn each stage of a request into one as-of lookup. A weighted draw is a
+second lookup, of a random place on the cumulative weight.
+
+Word conditions (avoid, no spice, liked) are bitmaps of words, found once per distinct word, and are
+intersected once per distinct request profile and block. Excluded ids of a request are subtracted from
+what the lookups gave.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from itertools import product
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessaly.functions.text import strip
-from tessaly.operators.segmented import latest_at, running_sums
+from tessaly.operators.segmented import cut_points, latest_at, ranked, running_sums
+from tessaly.sources.folders import materialise
 
 ANYTHING = ("随机", "随便")
 NO_SPICE, SPICE_CHARACTER = "不吃辣", "辣"
 UNITS = 100  # weights are counted in hundredths, so sums are exact
-PRICE_BAND, WEIGHT_BAND = 1000, 100_000
+WEIGHT_BAND = 100_000
+BLOCK, SEGMENT, SEED = 64, 1024, 3  # candidates of a block, blocks of a segment, characters by which words meet texts
+ALL_CANDIDATES = 2**40
+RAISES = (("taste_bits", 200), ("category_bits", 200), ("liked_bits", 150))
+NO_SPICE_UNITS = 100
 NO_LIMIT = 10**12
 PARTY_LABELS = ("一人食", "两人", "聚餐")
 STAGES = ("enabled", "budget", "first", "category", "taste", "party", "avoid", "no_spice")
@@ -102,86 +113,187 @@ def _indexed(candidates: DataFrame, kind: str, tiers: Column) -> DataFrame:
     return enabled.withColumn("_c", listed(F.col("categories"))).withColumn("_t", listed(F.col("tastes")))
 
 
-def stage_rows(candidates: DataFrame, shaped: DataFrame, kind: str) -> DataFrame:
-    """(key, id, price, units): every candidate under every stage key some request asks for."""
+class Bitmaps(NamedTuple):
+    """Candidates in the order of price and id, and what is known of each run of 64 of them.
+
+    ``ordered``: ordinal, block, bit, id, price, base. ``blocks``: block, spice bits, ``weights``
+    (distinct base weight, bits). ``prices``: price, upto, segment. ``cuts``: prices that part segments.
+    ``rows``: key, block, bits, units and, for the last stage, the bits that raise a weight.
+    """
+
+    ordered: DataFrame
+    blocks: DataFrame
+    prices: DataFrame
+    cuts: Column
+    rows: DataFrame
+
+
+def _low(places: Column) -> Column:
+    """A word with that many low bits set, 0 to 63."""
+    return F.when(places == 0, F.lit(0).cast("bigint")).otherwise(
+        F.call_function("shiftrightunsigned", F.lit(-1).cast("bigint"), (F.lit(BLOCK) - places).cast("int")))
+
+
+def _and(*words: Column) -> Column:
+    return reduce(lambda a, b: a.bitwiseAND(b), words)
+
+
+def order_candidates(indexed: DataFrame) -> tuple[DataFrame, Column]:
+    """Every candidate's place in the order of price and id, counted over segments taken from the data."""
+    cuts = cut_points(indexed, ["price", "id"])
+    segmented = indexed.withColumn("_segment", F.size(F.filter(cuts, lambda c: c <= F.struct("price", "id"))))
+    ordinal = F.col("_rank").cast("bigint") - 1
+    placed = ranked(segmented, [], "_segment", [F.col("price"), F.col("id")], "_rank").select(
+        "*", ordinal.alias("ordinal"), F.floor(ordinal / BLOCK).alias("block"), F.pmod(ordinal, F.lit(BLOCK)).cast("int").alias("place"))
+    return placed.withColumn("bit", F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("place"))), cuts
+
+
+def word_bitmaps(ordered: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, block, bits) of the texts that contain each distinct word.
+
+    Words meet texts by their first characters, at most ``SEED``; only such pairs are compared in full.
+    """
+    text, length = F.col("text"), F.greatest(F.length("text"), F.lit(1))
+    cut = lambda n: F.transform(F.sequence(F.lit(1), length), lambda i: text.substr(i, F.lit(n)))
+    seeds = F.array_distinct(F.concat(*[cut(n) for n in range(1, SEED + 1)], F.array(F.lit(""))))
+    seeded = words.select("word", F.substring("word", 1, SEED).alias("seed"))
+    met = ordered.select("block", "bit", "text", F.explode(seeds).alias("seed")).join(seeded, "seed")
+    return met.filter(text.contains(F.col("word"))).groupBy("word", "block").agg(F.bit_or("bit").alias("bits"))
+
+
+def profile_words(profiles: DataFrame) -> DataFrame:
+    """(profile, role, word): what each profile avoids, likes and asks for. Null words say nothing."""
+    none = F.array().cast("array<string>")
+    listed = lambda name: F.transform(F.coalesce(F.col(name), none), lambda w: F.struct(F.lit(name).alias("role"), F.lower(w).alias("word")))
+    taste = F.when(~F.col("no_spice") & ~_free(F.col("taste")), F.replace(F.col("taste"), F.lit("想吃"), F.lit("")))
+    category = F.when(~_free(F.col("category")), F.lower("category"))
+    single = F.array(F.struct(F.lit("taste").alias("role"), taste.alias("word")), F.struct(F.lit("category").alias("role"), category.alias("word")))
+    return profiles.select("profile", F.explode(F.concat(listed("avoid"), listed("liked"), single)).alias("_a")).select(
+        "profile", "_a.*").filter("word IS NOT NULL").distinct()
+
+
+def units_of(bits: Column) -> Column:
+    """Summed score in hundredths of the candidates in ``bits``: base weight and what taste, category and
+    liked words add, at least one hundredth each. Reads the columns of a last stage's row and ``weights``."""
+    total = F.lit(0).cast("bigint")
+    parts = []
+    for chosen in product((True, False), repeat=len(RAISES)):
+        extra = sum(units for (_, units), on in zip(RAISES, chosen) if on)
+        masks = [F.col(name) if on else F.bitwise_not(F.col(name)) for (name, _), on in zip(RAISES, chosen)]
+        parts.append((_and(bits, *masks), F.lit(extra) + F.when(F.col("no_spice"), NO_SPICE_UNITS).otherwise(0)))
+
+    def weighed(sum_: Column, w: Column) -> Column:
+        for part, extra in parts:
+            sum_ = sum_ + F.greatest(F.lit(1).cast("bigint"), w["base"] + extra) * F.bit_count(_and(part, w["bits"]))
+        return sum_
+
+    return F.aggregate("weights", total, weighed)
+
+
+def stage_rows(candidates: DataFrame, shaped: DataFrame, kind: str) -> Bitmaps:
+    """Bitmaps of the candidates under every stage key some request asks for; one row holds up to 64 of them."""
     tiers = shaped.agg(F.collect_set("max_distance")).scalar()
-    indexed = _indexed(candidates, kind, tiers)
+    base = F.round(F.coalesce(F.nullif(F.col("weight").cast("double"), F.lit(0.0)), F.lit(1.0)) * UNITS).cast("bigint")
+    indexed = _indexed(candidates, kind, tiers).select(
+        "id", "price", F.coalesce("text", F.lit("")).alias("text"), base.alias("base"), "_f", "_c", "_t", "_p")
+    placed, cuts = order_candidates(indexed)
+    ordered = materialise(placed.drop("_segment", "_rank"), "candidates")
+    prices = ordered.groupBy("price").agg((F.max("ordinal") + 1).alias("upto")).withColumn("segment", _price_segment(cuts))
+
     level2 = F.transform("_f", lambda f: F.concat(F.lit("2|"), f))
     level3 = F.flatten(F.transform("_f", lambda f: F.transform("_c", lambda c: F.concat_ws("|", F.lit("3"), f, c))))
     level4 = F.flatten(F.transform("_f", lambda f: F.flatten(F.transform("_c", lambda c: F.transform("_t", lambda t: F.concat_ws("|", F.lit("4"), f, c, t))))))
     level5 = F.flatten(F.transform("_f", lambda f: F.flatten(F.transform("_c", lambda c: F.flatten(F.transform(
         "_t", lambda t: F.transform("_p", lambda p: F.concat_ws("|", F.lit("5"), f, c, t, p))))))))
     wanted = shaped.select(F.explode("keys").alias("key")).distinct()
-    plain = indexed.select(
-        F.explode(F.concat(F.array(F.lit("1")), level2, level3, level4, level5)).alias("key"), "id", "price", F.lit(0).cast("bigint").alias("units")
-    ).join(wanted, "key", "left_semi")
+    plain = (
+        ordered.select(F.explode(F.concat(F.array(F.lit("1")), level2, level3, level4, level5)).alias("key"), "block", "bit")
+        .join(wanted, "key", "left_semi").groupBy("key", "block").agg(F.bit_or("bit").alias("bits"))
+    )
+    blocks = (
+        ordered.groupBy("block", "base").agg(
+            F.bit_or("bit").alias("bits"), F.bit_or(F.when(F.col("text").contains(SPICE_CHARACTER), F.col("bit")).otherwise(0)).alias("spice"))
+        .groupBy("block").agg(F.bit_or("spice").alias("spice"), F.collect_list(F.struct("base", "bits")).alias("weights"))
+    )
+    stored = materialise(plain, "stages")
 
     profiles = shaped.groupBy("profile").agg(*[F.any_value(c).alias(c) for c in ("key5", "no_spice", "avoid", "liked", "taste", "category")])
-    worded = indexed.select(F.explode(level5).alias("key5"), "id", "price", "text", "weight").join(profiles, "key5")
-    has = lambda words: F.exists(words, lambda w: F.col("text").contains(F.lower(w)))
-    spicy = F.col("text").contains(SPICE_CHARACTER)
-    allowed = worded.filter(~has(F.col("avoid"))).withColumn("units", score_units(spicy, has(F.col("liked"))))
-    both = F.array_compact(F.array(
-        F.struct(F.concat(F.lit("6"), "profile").alias("key"), F.lit(0).cast("bigint").alias("units")),
-        F.when(~(F.col("no_spice") & spicy), F.struct(F.concat(F.lit("7"), "profile").alias("key"), "units")),
-    ))
-    return plain.unionByName(allowed.select("id", "price", F.explode(both).alias("_b")).select("_b.key", "id", "price", "_b.units"))
-
-
-def score_units(spicy: Column, liked: Column) -> Column:
-    """Soft score in hundredths: weight, taste, category and liked words; at least one hundredth."""
-    taste = F.when(F.col("no_spice"), F.when(spicy, -90).otherwise(100)).when(
-        ~_free(F.col("taste")) & F.col("text").contains(F.replace(F.col("taste"), F.lit("想吃"), F.lit(""))), 200
-    ).otherwise(0)
-    category = F.when(~_free(F.col("category")) & F.col("text").contains(F.lower("category")), 200).otherwise(0)
-    base = F.round(F.coalesce(F.nullif(F.col("weight").cast("double"), F.lit(0.0)), F.lit(1.0)) * UNITS).cast("bigint")
-    return F.greatest(F.lit(1), base + taste + category + F.when(liked, 150).otherwise(0)).cast("bigint")
+    asked = profile_words(profiles)
+    by_role = {f"{role}_bits": F.bit_or(F.when(F.col("role") == role, F.col("bits")).otherwise(0)) for role in ("avoid", "liked", "taste", "category")}
+    marks = asked.join(word_bitmaps(ordered, asked.select("word").distinct()), "word").groupBy("profile", "block").agg(
+        *[bits.alias(name) for name, bits in by_role.items()])
+    reached = (
+        profiles.select("profile", "key5", "no_spice").join(stored.withColumnRenamed("key", "key5"), "key5")
+        .join(marks, ["profile", "block"], "left").fillna(0, list(by_role)).join(blocks, "block")
+        .withColumn("_six", _and(F.col("bits"), F.bitwise_not(F.col("avoid_bits"))))
+        .withColumn("_seven", F.when(F.col("no_spice"), _and(F.col("_six"), F.bitwise_not(F.col("spice")))).otherwise(F.col("_six")))
+    )
+    zero = F.lit(0).cast("bigint")
+    raised = [name for name, _ in RAISES]
+    both = F.array(
+        F.struct(F.concat(F.lit("6"), "profile").alias("key"), F.col("_six").alias("bits"), zero.alias("units")),
+        F.struct(F.concat(F.lit("7"), "profile").alias("key"), F.col("_seven").alias("bits"), units_of(F.col("_seven")).alias("units")),
+    )
+    last = reached.select("block", *raised, F.explode(both).alias("_b")).select("_b.key", "block", "_b.bits", "_b.units", *raised).filter("bits <> 0")
+    rows = stored.select("key", "block", "bits", zero.alias("units"), *[zero.alias(name) for name in raised]).unionByName(last)
+    return Bitmaps(ordered, blocks, prices, cuts, rows)
 
 
-def price_band(price: Column) -> Column:
-    """Segments that grow with the price; prices themselves are compared as they are."""
-    return F.floor(price * 100 / PRICE_BAND)
+def _price_segment(cuts: Column) -> Column:
+    return F.size(F.filter(cuts, lambda c: c["price"] <= F.col("price")))
 
 
-def cumulative(rows: DataFrame) -> DataFrame:
-    """Counts and weights up to and including each candidate, along the price of its key."""
-    banded = rows.withColumn("band", price_band(F.col("price")))
-    order = [F.col("price"), F.col("id")]
-    totals = {"count_to": F.lit(1), "units_to": F.col("units")}
-    return running_sums(banded, ["key"], "band", order, totals).withColumn("at", F.struct("price", F.lit(0).alias("after"), "id"))
+def cumulative(bitmaps: Bitmaps) -> Bitmaps:
+    """Counts and weights up to and including each block, along the price of its key. Written once, read by every lookup."""
+    banded = bitmaps.rows.withColumn("band", F.floor(F.col("block") / SEGMENT))
+    totals = {"count_to": F.bit_count("bits"), "units_to": F.col("units")}
+    summed = running_sums(banded, ["key"], "band", [F.col("block")], totals)
+    return bitmaps._replace(rows=materialise(summed, "cascade"))
 
 
-def stage_counts(shaped: DataFrame, steps: DataFrame) -> DataFrame:
+def stage_counts(shaped: DataFrame, steps: Bitmaps) -> DataFrame:
     """Survivors of every stage and the total weight per request, exclusions subtracted.
 
-    Also the excluded intervals on the cumulative weight, in order (a request excludes what it
-    was shown before, so the list is part of its row).
+    A budget is a number of candidates in price order: whole blocks before it come from the running
+    counts, of the block it lies in the low bits are counted. Also the excluded intervals on the
+    cumulative weight, in order (a request excludes what it was shown before, so the list is part of its row).
     """
-    stages = shaped.select(
-        "request_id", "excluded", F.posexplode("keys").alias("stage", "key"), F.col("limit")
-    ).withColumn("price", F.when(F.col("stage") == 0, float(NO_LIMIT)).otherwise(F.col("limit")))
+    limits = shaped.select(F.col("limit").alias("price")).distinct().withColumn("segment", _price_segment(steps.cuts))
+    placed = latest_at(limits, steps.prices, [], "segment", "price", ["upto"]).select(F.col("price").alias("limit"), F.coalesce("upto", F.lit(0)).alias("upto"))
+    stages = shaped.join(placed, "limit").select(
+        "request_id", "excluded", "no_spice", F.posexplode("keys").alias("stage", "key"), "upto"
+    ).withColumn("upto", F.when(F.col("stage") == 0, ALL_CANDIDATES).otherwise(F.col("upto")))
+    block = F.floor(F.col("upto") / BLOCK)
     probes = stages.select(
-        "request_id", "stage", "key", "excluded",
-        # Behind all candidates of the price, whatever their ids.
-        F.struct("price", F.lit(1).alias("after"), F.lit(None).cast(steps.schema["id"].dataType).alias("id")).alias("at"),
-        price_band(F.col("price")).alias("band"),
+        "request_id", "stage", "key", "no_spice", block.alias("block"), _low(F.pmod("upto", F.lit(BLOCK))).alias("below"), F.floor(block / SEGMENT).alias("band"))
+    raised = [name for name, _ in RAISES]
+    values = ["last_block", "bits", "units", "count_to", "units_to", *raised]
+    marks = steps.rows.select("key", "band", "block", F.col("block").alias("last_block"), *values[1:])
+    got = latest_at(probes, marks, ["key"], "band", "block", values).withColumn(
+        "_kept", F.when(F.col("last_block") == F.col("block"), _and(F.col("bits"), F.col("below"))).otherwise(F.col("bits")))
+    final = F.col("stage") == len(STAGES) - 1
+    weights = steps.blocks.select("block", "weights")
+    # Only the last stage of a request weighs, and only one block of it.
+    weighed = got.join(weights.withColumnRenamed("block", "last_block"), "last_block", "left")
+    found = weighed.select(
+        "request_id", "stage", F.coalesce(F.col("count_to") - F.bit_count("bits") + F.bit_count("_kept"), F.lit(0)).alias("n"),
+        F.when(final, F.coalesce(F.col("units_to") - F.col("units") + units_of(F.col("_kept")), F.lit(0))).otherwise(0).alias("units"))
+
+    left_out = shaped.select("request_id", F.explode(F.array_distinct("excluded")).alias("id")).join(steps.ordered.select("id", "ordinal", "block", "place", "bit"), "id")
+    removed = (
+        left_out.join(stages.drop("excluded"), "request_id").filter(F.col("ordinal") < F.col("upto"))
+        .join(steps.rows.drop("band"), ["key", "block"]).filter(_and(F.col("bits"), F.col("bit")) != 0).join(weights, "block")
+        .withColumn("own", F.when(final, units_of(F.col("bit"))).otherwise(0))
+        .withColumn("start", F.when(final, F.col("units_to") - F.col("units") + units_of(_and(F.col("bits"), _low(F.col("place"))))).otherwise(0))
     )
-    got = latest_at(probes, steps.select("key", "band", "at", "count_to", "units_to"), ["key"], "band", "at", ["count_to", "units_to"])
-    found = got.select("request_id", "stage", F.coalesce("count_to", F.lit(0)).alias("n"), F.coalesce("units_to", F.lit(0)).alias("units"))
-
-    left_out = stages.select("request_id", "stage", "key", "price", F.explode(F.array_distinct("excluded")).alias("id"))
-    removed = left_out.withColumnRenamed("price", "_limit").join(
-        steps.select("key", "id", "price", "units", "units_to"), ["key", "id"]
-    ).filter(F.col("price") <= F.col("_limit"))
     per_stage = removed.groupBy("request_id", "stage").agg(
-        F.count(F.lit(1)).alias("gone"), F.sum("units").alias("gone_units"),
-        F.array_sort(F.collect_list(F.struct((F.col("units_to") - F.col("units")).alias("start"), "units"))).alias("intervals"),
+        F.count(F.lit(1)).alias("gone"), F.sum("own").alias("gone_units"),
+        F.array_sort(F.collect_list(F.struct("start", F.col("own").alias("units")))).alias("intervals"),
     )
     net = found.join(per_stage, ["request_id", "stage"], "left")
     counts = [
         F.max(F.when(F.col("stage") == i, F.col("n") - F.coalesce("gone", F.lit(0)))).alias(f"n_{name}") for i, name in enumerate(STAGES)
     ]
-    final = F.col("stage") == len(STAGES) - 1
     return net.groupBy("request_id").agg(
         *counts, F.max(F.when(final, F.col("units") - F.coalesce("gone_units", F.lit(0)))).alias("total_units"),
         F.max(F.when(final, F.col("intervals"))).alias("intervals"),
@@ -201,11 +313,11 @@ def first_blocker(counted: DataFrame, kind: str) -> Column:
     return F.when(F.col(f"n_{STAGES[-1]}") == 0, F.coalesce(blocker, F.lit("default")))
 
 
-def weighted_pick(shaped: DataFrame, steps: DataFrame, counted: DataFrame, seed: str) -> DataFrame:
-    """One draw per request, probability proportional to the soft score, repeatable by seed.
+def drawn_steps(shaped: DataFrame, steps: DataFrame, counted: DataFrame, seed: str, values: list[str]) -> DataFrame:
+    """One draw per request: the step of its last stage which holds a random place on the cumulative weight.
 
     A 60-bit number from a hash of seed and request is scaled to the remaining weight; the
-    place then jumps over excluded intervals and is looked up on the cumulative weight.
+    place then jumps over excluded intervals. ``at`` is the place, ``start`` where the step begins.
     """
     number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("request_id").cast("string"))), 1, 15), 16, 10)
     place = F.expr("(CAST(_number AS DECIMAL(19,0)) * CAST(total_units AS DECIMAL(18,0))) div 1152921504606846976")
@@ -221,9 +333,31 @@ def weighted_pick(shaped: DataFrame, steps: DataFrame, counted: DataFrame, seed:
         )
         .select("request_id", "key", "total_units", "at", F.floor(F.col("at") / WEIGHT_BAND).alias("band"))
     )
-    starts = steps.filter(F.col("key").startswith("7")).select("key", (F.col("units_to") - F.col("units")).alias("at"), "id", "units")
-    starts = starts.withColumn("band", F.floor(F.col("at") / WEIGHT_BAND))
-    return latest_at(drawn, starts, ["key"], "band", "at", ["id", "units"]).select("request_id", "id", "units", "total_units")
+    starts = steps.filter(F.col("key").startswith("7")).withColumn("at", F.col("units_to") - F.col("units")).select(
+        "key", "at", F.col("at").alias("start"), F.floor(F.col("at") / WEIGHT_BAND).alias("band"), *values)
+    return latest_at(drawn, starts, ["key"], "band", "at", ["start", *values])
+
+
+def weighted_pick(shaped: DataFrame, steps: Bitmaps | DataFrame, counted: DataFrame, seed: str) -> DataFrame:
+    """One candidate per request, probability proportional to the soft score, repeatable by seed.
+
+    ``steps`` are bitmaps, or rows of single candidates: key, id, units, units_to.
+    """
+    if isinstance(steps, DataFrame):
+        return drawn_steps(shaped, steps, counted, seed, ["id", "units"]).select("request_id", "id", "units", "total_units")
+    hit = drawn_steps(shaped, steps.rows, counted, seed, ["block", "bits", *[name for name, _ in RAISES]])
+    # Of one block per request, the candidates are weighed one by one.
+    members = (
+        hit.join(shaped.select("request_id", "no_spice"), "request_id")
+        .join(steps.ordered.select("block", "place", "bit", "base", "id"), "block").filter(_and(F.col("bits"), F.col("bit")) != 0)
+        .withColumn("weights", F.array(F.struct("base", F.col("bit").alias("bits")))).withColumn("own", units_of(F.col("bit")))
+    )
+    along = Window.partitionBy("request_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        members.withColumn("_to", F.col("start") + F.sum("own").over(along))
+        .filter((F.col("_to") > F.col("at")) & (F.col("_to") - F.col("own") <= F.col("at")))
+        .select("request_id", "id", F.col("own").alias("units"), "total_units")
+    )
 
 
 def parse_requests(texts: DataFrame, text: str = "text") -> DataFrame:

@@ -11,6 +11,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
+
+
+def cut_points(df: DataFrame, order: list[str], segments: int = 64, sample: int = 6400) -> Column:
+    """Sort keys that part the rows into about even segments: an array of structs of ``order``.
+
+    They come from a random sample of bounded size. A row's segment is the number of cuts at or
+    before its key; which cuts were drawn changes the sizes of the segments, never a result.
+    """
+    place = df.select(F.struct(*order).alias("place"))
+    drawn = place.orderBy(F.rand(11)).limit(sample).agg(F.array_sort(F.collect_list("place")).alias("all")).first()["all"]
+    kind = place.schema["place"].dataType
+    chosen = sorted({i * len(drawn) // segments for i in range(1, segments)}) if drawn else []
+    literal = lambda row: F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, kind.fields)])
+    return F.array(*[literal(drawn[i]) for i in chosen]).cast(ArrayType(kind))
 
 
 def ranked(

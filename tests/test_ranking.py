@@ -188,6 +188,72 @@ def test_every_place_of_a_large_weight_can_be_drawn(spark):
     assert [r["id"] for r in R.weighted_pick(shaped, steps, counted, "s").collect()] == [2]
 
 
+def test_bitmaps_equal_every_request_against_every_dish(spark):
+    """Each request has words of its own; prices tie or are unknown, weights are missing or below zero, words are empty or null."""
+    draw = random.Random(5)
+    syllables = ["ka", "ro", "mi", "辣", "te", "Su", "é"]
+    word = lambda: "".join(draw.choices(syllables, k=draw.randint(1, 4)))
+    dishes = [
+        dict(id=i * 7 % 601, price=draw.choice([None, 10.0, 10.004, draw.randint(0, 400) / 8]), weight=draw.choice([None, 0.0, 1.0, 2.5, -1.0, -3.25]),
+             enabled=draw.random() < 0.95, meal_times=draw.sample(["早餐", "午餐", "晚餐"], draw.randint(0, 3)), tastes=[word() for _ in range(draw.randint(0, 2))],
+             categories=[draw.choice(["米饭", "粉"])], text=" ".join([word(), word(), "米饭"][: draw.randint(0, 3)]).lower())
+        for i in range(601)
+    ]
+    asks = [
+        dict(request_id=i, budget=draw.choice([None, 0.0, 10.0, 10.002, 33.3, 900.0]), meal=draw.choice([None, "随便", "午餐"]), category=draw.choice([None, "米饭", "none"]),
+             taste=draw.choice([None, "不吃辣", "想吃ka", "mi"]), avoid=[f"own{i}", word(), None][: draw.randint(0, 3)] + [""] * (i == 3),
+             liked=[word(), f"like{i}"][: draw.randint(0, 2)], excluded=draw.sample(range(601), draw.randint(0, 40)))
+        for i in range(50)
+    ]
+    shaped = R.shaped_requests(requested(spark, asks), "canteen")
+    steps = R.cumulative(R.stage_rows(catalogue(spark, dishes), shaped, "canteen"))
+    counted = R.stage_counts(shaped, steps)
+    got = {r.request_id: r for r in counted.collect()}
+    picks = {r.request_id: (r.id, r.units) for r in R.weighted_pick(shaped, steps, counted, "s").collect()}
+    some = 0
+    for ask in asks:
+        free = lambda v, *also: v in (None, "", "随机", "随便", *also)
+        rows = sorted((d for d in dishes if d["enabled"] and d["id"] not in ask["excluded"]), key=lambda d: (math.inf if d["price"] is None else d["price"], d["id"]))
+        mild = ask["taste"] == "不吃辣"
+        tests = [
+            lambda d: ask["budget"] is None or (d["price"] is not None and d["price"] <= ask["budget"]),
+            lambda d: free(ask["meal"]) or ask["meal"] in d["meal_times"], lambda d: free(ask["category"]) or ask["category"] in d["categories"],
+            lambda d: free(ask["taste"], "不吃辣") or ask["taste"] in d["tastes"], lambda d: True,
+            lambda d: not any(w.lower() in d["text"] for w in ask["avoid"] if w is not None), lambda d: not (mild and "辣" in d["text"]),
+        ]
+        left = [len(rows)]
+        for test in tests:
+            rows = [d for d in rows if test(d)]
+            left.append(len(rows))
+
+        def units(d):
+            taste = 100 if mild else 200 * (not free(ask["taste"]) and ask["taste"].replace("想吃", "") in d["text"])
+            category = 200 * (not free(ask["category"]) and ask["category"] in d["text"])
+            return max(1, round((d["weight"] or 1.0) * 100) + taste + category + 150 * any(w.lower() in d["text"] for w in ask["liked"]))
+
+        row, total = got[ask["request_id"]], sum(map(units, rows))
+        assert [row[f"n_{name}"] for name in R.STAGES] == left and (row.total_units or 0) == total
+        if total:
+            some += 1
+            place = int(hashlib.md5(f"s|{ask['request_id']}".encode()).hexdigest()[:15], 16) * total >> 60
+            for d in rows:
+                if place < units(d):
+                    assert picks[ask["request_id"]] == (d["id"], units(d))
+                    break
+                place -= units(d)
+    assert len(picks) == some > 10
+    # A row holds up to 64 candidates.
+    assert steps.rows.count() < 601 * 50
+
+
+def test_empty_catalogue_has_no_candidates(spark):
+    shaped = R.shaped_requests(requested(spark, [dict(request_id=1, avoid=["a"])]), "canteen")
+    steps = R.cumulative(R.stage_rows(catalogue(spark, []), shaped, "canteen"))
+    counted = R.stage_counts(shaped, steps)
+    assert [(r.n_enabled, r.n_no_spice, r.total_units) for r in counted.collect()] == [(0, 0, 0)]
+    assert R.weighted_pick(shaped, steps, counted, "s").count() == 0
+
+
 def test_restaurant_budget(spark):
     places = catalogue(spark, [dict(id=1, price=25.0, weight=1.0), dict(id=2, price=60.0, weight=1.0, suitable_for=["聚餐"], distance=30)])
     asked = requested(spark, [dict(request_id=1, budget=30.0), dict(request_id=2, max_distance=10), dict(request_id=3, group_size=1), dict(request_id=4, remembered_budget=5.0)])
