@@ -31,6 +31,34 @@ def list_library(docs: DataFrame, viewer: str, admin: bool = False) -> DataFrame
     return chosen.drop("body").orderBy(F.coalesce("parent_id", "id").desc(), "sort_order", "id")
 
 
+def visible_to(docs: DataFrame, viewers: DataFrame) -> DataFrame:
+    """Light columns of what every viewer sees: ``viewer``, ``admin`` and the document.
+
+    ``viewers``: viewer, admin; a viewer in several rows counts once, as admin if any row says so. Every
+    document names its audiences and every viewer those they belong to. A document and a viewer share one
+    at most, so one equality join gives each pair once. Documents without an owner that are not global,
+    and viewers that are null, meet nobody.
+    """
+    person = lambda name: F.concat(F.lit("user:"), F.col(name).cast("string"))
+    for_admins = F.when(F.col("library_scope") != "custom", F.lit("admins"))
+    audience = F.when(F.coalesce("is_global", F.lit(False)), F.array_compact(F.array(F.lit("everyone"), for_admins))).otherwise(F.array_compact(F.array(person("owner"))))
+    who = viewers.groupBy("viewer").agg(F.max(F.coalesce("admin", F.lit(False))).alias("admin")).filter("viewer IS NOT NULL")
+    member = who.select("viewer", "admin", F.explode(F.when(F.col("admin"), F.array(F.lit("admins"))).otherwise(F.array(F.lit("everyone"), person("viewer")))).alias("_audience"))
+    light = docs.drop("body", "viewer", "admin")
+    return light.withColumn("_audience", F.explode(audience)).join(member, "_audience").select("viewer", "admin", *light.columns)
+
+
+def flags_of(seen: DataFrame) -> DataFrame:
+    """What each viewer may do with each document that ``visible_to`` gave them."""
+    shared = F.coalesce("is_global", F.lit(False))
+    can_edit = F.when(F.col("admin") & shared, True).otherwise(~shared & (F.col("owner") == F.col("viewer")))
+    managed = can_edit & (F.col("document_role") != "section")
+    return seen.select(
+        "viewer", "id", can_edit.alias("can_edit"), managed.alias("can_delete"), managed.alias("can_reprocess"),
+        (F.coalesce("status", F.lit("ready")) == "ready").alias("can_study"),
+    )
+
+
 def list_sections(docs: DataFrame, viewer: str) -> DataFrame:
     """Visible sections of every parent in order."""
     place = Window.partitionBy("parent_id").orderBy("sort_order", "id")

@@ -48,8 +48,12 @@ def stable_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha1(raw), 1, 12))
 
 
-def normalise_catalogue(raw: DataFrame, prefix: str) -> DataFrame:
-    """Stable ids and defaults of catalogue records."""
+def normalise_catalogue(raw: DataFrame, prefix: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """Stable ids and defaults of catalogue records; the columns ``also`` stay as they are.
+
+    Records may lack the single values ``taste`` and ``meal_time``, as those of the current version do.
+    """
+    raw = raw.withColumns({c: F.lit(None).cast("string") for c in ("taste", "meal_time") if c not in raw.columns})
     origin = F.coalesce("origin", F.lit("manual"))
     return raw.select(
         F.coalesce("id", stable_id(prefix, F.coalesce("food_name", "name"), F.col("venue"), F.col("source_url"))).alias("id"),
@@ -58,7 +62,7 @@ def normalise_catalogue(raw: DataFrame, prefix: str) -> DataFrame:
         F.when(F.size(F.coalesce("tastes", F.array())) > 0, F.col("tastes"))
         .otherwise(F.coalesce(F.array_compact(F.array("taste")), F.array())).alias("tastes"),
         F.when(F.size(F.coalesce("meal_times", F.array())) > 0, F.col("meal_times"))
-        .otherwise(F.coalesce(F.array_compact(F.array("meal_time")), F.array())).alias("meal_times"),
+        .otherwise(F.coalesce(F.array_compact(F.array("meal_time")), F.array())).alias("meal_times"), *also,
     )
 
 

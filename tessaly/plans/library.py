@@ -38,6 +38,30 @@ def library_list(spark, sf_dir):
     )
 
 
+VIEWERS = ("concat('src', CAST(n_nationkey AS STRING)) AS viewer", "n_nationkey % 6 = 0 AS admin")
+SEEN = f"""{LIB}, viewers AS (SELECT {', '.join(VIEWERS)} FROM nation), seen AS (SELECT v.viewer, v.admin, l.* FROM viewers v JOIN library l
+      ON CASE WHEN v.admin THEN l.is_global AND l.library_scope <> 'custom' ELSE l.owner = v.viewer OR l.is_global END)"""
+
+
+def seen_by_all(spark, sf_dir):
+    return L.visible_to(view(spark, sf_dir, "library"), table(spark, sf_dir, "nation").selectExpr(*VIEWERS))
+
+
+@query("f2_list_for_viewers", f"""{SEEN} SELECT viewer, id, title, library_scope, document_role, parent_id,
+    row_number() OVER (PARTITION BY viewer ORDER BY coalesce(parent_id, id) DESC, sort_order, id) AS position FROM seen""")
+def library_lists(spark, sf_dir):
+    seen = seen_by_all(spark, sf_dir).withColumn("band", F.floor(F.coalesce("parent_id", "id") / 1000))
+    order = [F.coalesce("parent_id", "id").desc(), F.col("sort_order"), F.col("id")]
+    return ranked(seen, ["viewer"], "band", order, "position", True).select("viewer", "id", "title", "library_scope", "document_role", "parent_id", "position")
+
+
+@query("f6_flags_for_viewers", f"""{SEEN}, rights AS (SELECT *, CASE WHEN admin THEN is_global ELSE NOT is_global AND owner = viewer END AS edits FROM seen)
+    SELECT viewer, id, CAST(edits AS BIGINT) AS can_edit, CAST(edits AND document_role <> 'section' AS BIGINT) AS can_delete,
+      CAST(edits AND document_role <> 'section' AS BIGINT) AS can_reprocess, CAST(status = 'ready' AS BIGINT) AS can_study FROM rights""")
+def viewer_flags(spark, sf_dir):
+    return L.flags_of(seen_by_all(spark, sf_dir))
+
+
 @query("f3_list_sections", f"""{LIB} SELECT parent_id, id, row_number() OVER (PARTITION BY parent_id ORDER BY sort_order, id) AS position FROM library
     WHERE document_role = 'section' AND (owner = '{VIEWER}' OR is_global)""")
 def section_list(spark, sf_dir):

@@ -8,6 +8,8 @@ from tessaly.operators import recommend as R
 from tessaly.plans.registry import query
 from tessaly.plans.views import strip_sql, view, view_sql
 from tessaly.session import table
+from tessaly.sources.folders import materialise
+from tessaly.sources.migration import migrate_catalogue
 
 MEALS = "CASE id % 3 WHEN 0 THEN {a}'午餐'{z} WHEN 1 THEN {a}'早餐', '晚餐'{z} ELSE {a}'午餐', '晚餐'{z} END"
 FITS = "CASE id % 4 WHEN 1 THEN {a}'一人食'{z} WHEN 2 THEN {a}'两人', '聚餐'{z} WHEN 3 THEN {a}'聚餐'{z} ELSE {e} END"
@@ -137,6 +139,52 @@ def texts(spark, sf_dir):
     return candidates(spark, sf_dir).select("id", "text")
 
 
+DISH = "concat(p_name, ' ', CAST(p_partkey AS STRING))"
+VERSIONS = f"""CASE WHEN p_partkey % 2 = 1 THEN
+    concat('{{"updated_at": "day 3", "dishes": [{{"food_name": "', {DISH}, '", "venue": "', p_brand, '", "meal_time": "午餐", "taste": "', split_part(p_name, ' ', 1), '", "price": ', CAST(p_size AS STRING), '.5, "stall": 7}}, {{"food_name": " "}}], "restaurants": [{{"name": "', p_brand, '", "tags": ["a", "b"], "distance": "near"}}], "venues": [{{"name": "', {DISH}, '", "evidence": "seen", "locked": true}}]}}')
+  ELSE concat('{{"schema_version": 2, "canteen_dishes": [{{"food_name": "', {DISH}, '", "venue": "', p_brand, '", "meal_times": ["早餐"], "weight": ', CAST(p_size % 3 + 1 AS STRING), ', "price": ', CAST(p_size AS STRING), '.5}}]}}') END"""
+DISH_SQL = "concat(p_name, ' ', p_partkey)"
+OLD_ID = f"concat('canteen_', substr(sha1(concat(lower(p_brand), '||', lower({DISH_SQL}))), 1, 12))"
+NEW_ID = f"concat('canteen_', substr(sha1(concat(lower({DISH_SQL}), '|', lower(p_brand), '|')), 1, 12))"
+
+
+def catalogue_records(spark, sf_dir):
+    return migrate_catalogue(table(spark, sf_dir, "part").selectExpr("p_partkey", f"{VERSIONS} AS value"))[0]
+
+
+@query("s2_migrate_catalogue", f"""SELECT p_partkey, 'canteen_dishes' AS collection, {OLD_ID} AS id, {DISH_SQL} AS label, '午餐' AS meals, split_part(p_name, ' ', 1) AS tastes, NULL AS area, NULL AS status, '7' AS stall FROM part WHERE p_partkey % 2 = 1
+    UNION ALL SELECT p_partkey, 'restaurants', concat('restaurant_', substr(sha1(concat(lower(p_brand), '|')), 1, 12)), p_brand, NULL, 'a|b', 'near', NULL, NULL FROM part WHERE p_partkey % 2 = 1
+    UNION ALL SELECT p_partkey, 'pending_review', concat('pending_', substr(sha1(concat('canteen_venue|', lower({DISH_SQL}), '|')), 1, 12)), {DISH_SQL}, NULL, NULL, NULL, 'pending', NULL FROM part WHERE p_partkey % 2 = 1
+    UNION ALL SELECT p_partkey, 'canteen_dishes', NULL, {DISH_SQL}, '早餐', NULL, NULL, NULL, NULL FROM part WHERE p_partkey % 2 = 0""")
+def migrated(spark, sf_dir):
+    return catalogue_records(spark, sf_dir).select(
+        "p_partkey", "collection", "id", F.coalesce("food_name", "name").alias("label"), F.array_join("meal_times", "|").alias("meals"),
+        F.array_join("tastes", "|").alias("tastes"), "area", "status", F.col("rest")["stall"].alias("stall"),
+    )
+
+
+@query("s2_catalogue_to_pick", f"""WITH cands AS (SELECT CASE WHEN p_partkey % 2 = 1 THEN {OLD_ID} ELSE {NEW_ID} END AS id, p_size + 0.5::DOUBLE AS price, CASE WHEN p_partkey % 2 = 1 THEN 100 ELSE (p_size % 3 + 1) * 100 END AS units,
+      CASE WHEN p_partkey % 2 = 1 THEN '午餐' ELSE '早餐' END AS meal FROM part),
+    reqs AS (SELECT c_custkey AS request_id, c_custkey % 50 AS budget, CASE c_custkey % 3 WHEN 0 THEN '午餐' WHEN 1 THEN '早餐' END AS meal FROM customer),
+    along AS (SELECT request_id, id, units, sum(units) OVER (PARTITION BY request_id ORDER BY price, id) AS upto, sum(units) OVER (PARTITION BY request_id) AS total_units
+      FROM reqs r JOIN cands c ON c.price <= r.budget AND (r.meal IS NULL OR c.meal = r.meal)),
+    placed AS (SELECT *, CAST(concat('0x', substr(md5(concat('chain|', request_id)), 1, 15)) AS HUGEINT) * total_units // 1152921504606846976 AS place FROM along)
+    SELECT request_id, id, CAST(units AS BIGINT) AS units, CAST(total_units AS BIGINT) AS total_units FROM placed WHERE upto > place AND upto - units <= place""")
+def catalogue_to_pick(spark, sf_dir):
+    """Catalogue texts of both versions, read, migrated, normalised, ranked and drawn from."""
+    dishes = catalogue_records(spark, sf_dir).filter("collection = 'canteen_dishes'")
+    chosen = R.normalise_catalogue(dishes, "canteen", ("price", "category")).withColumns({
+        "categories": F.array_compact(F.array("category")), "text": R.record_text(F.col("food_name"), F.col("venue"), F.array_join("tastes", " "))})
+    asked = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS request_id", "c_custkey % 50 AS budget", "CAST(NULL AS DOUBLE) AS remembered_budget", "CASE c_custkey % 3 WHEN 0 THEN '午餐' WHEN 1 THEN '早餐' END AS meal",
+        "CAST(NULL AS INT) AS max_distance", "CAST(NULL AS STRING) AS category", "CAST(NULL AS STRING) AS taste", "CAST(NULL AS INT) AS group_size",
+        f"{SPARK['e']} AS avoid", f"{SPARK['e']} AS liked", f"{SPARK['e']} AS excluded",
+    )
+    shaped = R.shaped_requests(asked, "canteen")
+    steps = R.cumulative(R.stage_rows(materialise(chosen, "dishes"), shaped, "canteen"))
+    return R.weighted_pick(shaped, steps, R.stage_counts(shaped, steps), "chain")
+
+
 ID_SQL = "concat('canteen_', substr(sha1(concat_ws('|', lower(coalesce({0}, '')), lower(p_brand), '')), 1, 12))"
 
 
