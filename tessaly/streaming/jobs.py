@@ -18,7 +18,7 @@ from tessaly.functions import vocabulary as V
 from tessaly.operators.chunking import split_text
 from tessaly.operators.jobs import next_retry
 from tessaly.operators.memory import partial_fold
-from tessaly.sources.folders import shared_root
+from tessaly.sources.folders import is_folder, shared_root
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,11 +27,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
-    """New Parquet files of one table as they arrive in a folder."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    """New Parquet files of one table as they arrive: in a folder of the table's name, or files of that name in ``folder``."""
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    own = f"{folder}/{name}"
+    return reader.parquet(own) if is_folder(spark, own) else reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def run_append(stream: DataFrame, folder: str) -> DataFrame:

@@ -386,3 +386,12 @@ def test_replacing_rewrites_only_touched_buckets(spark, tmp_path):
     sinks.save_replaced(sinks.write_replace(touched, changed.withColumn("v", F.lit("new")), changed, ["id"]), path, ["id"], 8)
     spark.catalog.refreshByPath(path)
     assert {r.v: r["count"] for r in spark.read.parquet(path).groupBy("v").count().collect()} == {"old": 99, "new": 1}
+
+
+def test_a_stream_reads_a_table_that_is_a_file_or_a_folder(spark, tmp_path):
+    rows = spark.range(20).selectExpr("id AS doc")
+    rows.repartition(3).write.parquet(str(tmp_path / "in" / "many.parquet"))
+    rows.toPandas().to_parquet(tmp_path / "in" / "one.parquet")
+    for name in ("many.parquet", "one.parquet"):
+        arrived = S.run_append(S.file_stream(spark, str(tmp_path / "in"), name, rows.schema, 1), str(tmp_path / f"out-{name}"))
+        assert sorted(r.doc for r in arrived.collect()) == list(range(20))
