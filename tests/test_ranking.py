@@ -395,3 +395,17 @@ def test_a_stream_reads_a_table_that_is_a_file_or_a_folder(spark, tmp_path):
     for name in ("many.parquet", "one.parquet"):
         arrived = S.run_append(S.file_stream(spark, str(tmp_path / "in"), name, rows.schema, 1), str(tmp_path / f"out-{name}"))
         assert sorted(r.doc for r in arrived.collect()) == list(range(20))
+
+
+def test_texts_are_not_sent_to_the_words(spark, monkeypatch):
+    texts = ["red bolt", "cold ring", "small plate", "", "red ring"]
+    ordered = spark.createDataFrame([(0, 1 << i, t) for i, t in enumerate(texts)], "block bigint, bit bigint, text string")
+    words = spark.createDataFrame([("ring",), ("re",), ("late",), ("absent",)], "word string")
+    joins = []
+    for most in (R.SENT_WORDS, 1):
+        monkeypatch.setattr(R, "SENT_WORDS", most)
+        found = R.word_bitmaps(ordered, words)
+        joins.append(found._jdf.queryExecution().executedPlan().toString())
+        assert {r.word: r.bits for r in found.collect()} == {"ring": 0b10010, "re": 0b10001, "late": 0b100}
+    assert "BuildRight" in joins[0] and "BuildLeft" not in joins[0]
+    assert "SortMergeJoin" in joins[1] and "BroadcastHashJoin" not in joins[1]
