@@ -57,9 +57,10 @@ def boilerplate(spark, sf_dir):
     return P.strip_page_boilerplate(view(spark, sf_dir, "doc_pages"))
 
 
-@query("d1_page_role", f"{BOOK} SELECT doc, page_no, role FROM roled")
+@query("d1_page_role", f"WITH {view_sql('book_pages')}, {roles_sql('book_pages', title_pages=FRONT['title_pages'])} SELECT doc, page_no, role FROM roled")
 def page_roles(spark, sf_dir):
-    return book(spark, sf_dir).select("doc", "page_no", "role")
+    """Every rule of a role, on every page: title pages are told too, outlines and front matter wherever they stand."""
+    return P.with_roles(view(spark, sf_dir, "book_pages"), title_pages=FRONT["title_pages"]).select("doc", "page_no", "role")
 
 
 @query("d1_page_role_by_position", f"WITH {view_sql('book_pages')}, {roles_sql('book_pages', **FRONT)} SELECT doc, page_no, role FROM roled")
