@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANK = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: The characters of ``BLANK`` one by one.
+BLANKS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 NON_WORD = r"[^\p{L}\p{N}]+"
 PAGE_ANCHOR = r"(?i)<!--\s*page\s*:\s*(\d+)\s*-->"
@@ -21,8 +23,8 @@ def as_column(value: Column | str) -> Column:
 
 
 def strip(value: Column | str) -> Column:
-    """Remove blanks of any kind at both ends."""
-    return F.regexp_replace(as_column(value), rf"^{BLANK}+|{BLANK}+$", "")
+    """Remove blanks of any kind at both ends. Only the ends are looked at; a pattern would try every blank of the text."""
+    return F.btrim(as_column(value), F.lit(BLANKS))
 
 
 def lines(value: Column | str) -> Column:
