@@ -69,6 +69,12 @@ def test_segmented_windows_equal_plain_ones(spark):
     assert out.select("i", "r", "s", "lag", "lead").exceptAll(plain).count() == 0
 
 
+def test_key_totals(spark):
+    rows = spark.createDataFrame([("a", 0, 1), ("a", 0, 2), ("a", 3, 4), ("b", 3, 8)], "k string, seg int, v int")
+    got = segmented.key_totals(rows, ["k"], "seg", {"total": F.col("v")}).collect()
+    assert sorted((r.k, r.seg, r.v, r.total) for r in got) == [("a", 0, 1, 7), ("a", 0, 2, 7), ("a", 3, 4, 7), ("b", 3, 8, 8)]
+
+
 def test_latest_at(spark):
     steps = spark.createDataFrame([("a", p, p * 10) for p in (3, 70, 71, 300)], "k string, p int, v int").withColumn("seg", F.floor(F.col("p") / 50))
     probes = spark.createDataFrame([("a", q, q) for q in (1, 3, 69, 70, 299, 1000)] + [("b", 5, 5)], "k string, p int, q int").withColumn("seg", F.floor(F.col("p") / 50))
