@@ -194,10 +194,14 @@ def normalise_chapters(plan: DataFrame, roled: DataFrame) -> DataFrame:
     """Clamp a chapter plan to content pages, merge equal starts, make ranges contiguous.
 
     ``plan``: doc, item, title, start_page, end_page, key_terms. Content pages in a range are
-    found by two as-of lookups; chapters are ordered per block of pages.
+    found by two as-of lookups; chapters are ordered per block of pages. Roles are told once and written as rows without text,
+    and so are the rows between the lookups: each of the following steps reads its input several times.
     """
-    counts = roled.groupBy("doc").agg(F.max("page_count").alias("page_count"), F.count_if(F.col("role") == "content").alias("content"))
-    content = roled.join(counts.select("doc", F.col("content").alias("_content")), "doc").filter("role = 'content' OR _content = 0")
+    marks = materialise(roled.select("doc", "page_no", "page_count", "role"), "page-roles")
+    is_content = (F.col("role") == "content").cast("bigint")
+    counts = marks.groupBy("doc").agg(F.max("page_count").alias("page_count"))
+    blocked = marks.withColumn("_block", F.coalesce(page_block(), F.lit(0).cast("bigint")))
+    content = key_totals(blocked, ["doc"], "_block", {"_content": is_content}).filter("role = 'content' OR _content = 0")
     bounds = content.groupBy("doc").agg(F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"))
     limits = counts.select("doc", "page_count")
 
@@ -207,12 +211,13 @@ def normalise_chapters(plan: DataFrame, roled: DataFrame) -> DataFrame:
         .withColumn("hi", F.greatest(F.col("lo"), F.least(F.col("page_count"), F.col("end_page"))))
         .select("doc", "item", "title", "key_terms", "lo", "hi")
     )
-    block = lambda c: F.floor(F.col(c) / 1000)
-    upward = content.select("doc", (-F.col("page_no")).alias("at"), F.col("page_no").alias("start_page")).withColumn("block", block("at"))
-    downward = content.select("doc", F.col("page_no").alias("at"), F.col("page_no").alias("end_page")).withColumn("block", block("at"))
-    first = latest_at(clamped.withColumn("at", -F.col("lo")).withColumn("block", block("at")), upward, ["doc"], "block", "at", ["start_page"])
+    upward = content.select("doc", (-F.col("page_no")).alias("at"), F.col("page_no").alias("start_page")).withColumn("block", page_block("at"))
+    downward = content.select("doc", F.col("page_no").alias("at"), F.col("page_no").alias("end_page")).withColumn("block", page_block("at"))
+    first = materialise(
+        latest_at(clamped.withColumn("at", -F.col("lo")).withColumn("block", page_block("at")), upward, ["doc"], "block", "at", ["start_page"]), "chapter-starts"
+    )
     both = latest_at(
-        first.drop("block", "at").withColumn("at", F.col("hi")).withColumn("block", block("at")), downward, ["doc"], "block", "at", ["end_page"]
+        first.drop("block", "at").withColumn("at", F.col("hi")).withColumn("block", page_block("at")), downward, ["doc"], "block", "at", ["end_page"]
     ).filter((F.col("start_page") <= F.col("hi")) & (F.col("end_page") >= F.col("lo")))
 
     title = strip(F.regexp_replace(strip("title"), r"^#+", ""))
@@ -220,13 +225,14 @@ def normalise_chapters(plan: DataFrame, roled: DataFrame) -> DataFrame:
     tidy = both.withColumn("title", F.when(title == "", "正文").otherwise(title)).withColumn("key_terms", terms)
     items = F.array_sort(F.collect_list(F.struct("end_page", "item", "title", "key_terms")))
     later_terms = F.flatten(F.transform(F.slice("items", F.lit(2), F.size("items")), lambda x: F.concat(F.array(x["title"]), x["key_terms"])))
-    merged = (
+    merged = materialise(
         tidy.groupBy("doc", "start_page").agg(F.max("end_page").alias("end_page"), items.alias("items"))
         .withColumn("title", F.col("items")[0]["title"])
         .withColumn("key_terms", F.array_distinct(F.concat(F.col("items")[0]["key_terms"], later_terms)))
+        .drop("items"), "chapters"
     )
     opening = merged.groupBy("doc").agg(F.min("start_page").alias("opening"))
-    followed = neighbour(merged.withColumn("block", block("start_page")), ["doc"], "block", ["start_page"], "start_page", "next_start", 1)
+    followed = neighbour(merged.withColumn("block", page_block("start_page")), ["doc"], "block", ["start_page"], "start_page", "next_start", 1)
     named = unique_titles(followed.join(bounds, "doc").join(opening, "doc")).withColumn(
         "start_page", F.when(F.col("start_page") == F.col("opening"), F.col("first_page")).otherwise(F.col("start_page"))
     )
@@ -234,7 +240,7 @@ def normalise_chapters(plan: DataFrame, roled: DataFrame) -> DataFrame:
         "end_page",
         F.when(F.col("next_start").isNull(), F.col("last_page")).otherwise(F.greatest("start_page", F.col("next_start") - 1)),
     )
-    planned = ranged.select("doc", "title", "start_page", "end_page", F.array_join("key_terms", "|").alias("key_terms"))
+    planned = materialise(ranged.select("doc", "title", "start_page", "end_page", F.array_join("key_terms", "|").alias("key_terms")), "chapter-ranges")
     unplanned = fallback_chapters(limits.join(planned.select("doc").distinct(), "doc", "left_anti"))
     return planned.unionByName(unplanned.withColumn("key_terms", F.lit("")))
 
