@@ -67,3 +67,13 @@ def test_lots_do_not_change_hits(spark, monkeypatch, lot):
         if owner:
             texts.setdefault(owner, []).append({f" {w} "[i : i + n] for w in (text or "").lower().split() for n in (2, 3, 4) for i in range(len(w) + 3 - n)})
     assert df == {(owner, term): sum(term in x for x in own) for owner, own in texts.items() for term in set().union(*own)}
+
+
+def test_small_scopes_leave_no_rows_per_term(spark):
+    rows = [(f"o{i // 4}", i, 0, text) for i, (_, _, _, text) in enumerate(some_rows(1200, 500, seed=5))]
+    size = sum(len(row[3].encode()) for row in rows)
+    asked = spark.createDataFrame([(i, f"o{i}", " ".join(rows[4 * i][3].split()[20:80])) for i in range(300)], "query_id bigint, owner string, query_text string")
+    files = stored(spark)
+    pairs = retrieval.score_pairs(spark.createDataFrame(rows, SCHEMA).repartition(4), asked, ["owner"], KEY, ["query_id"]).collect()
+    assert sum(n for name, n in stored(spark).items() if name not in files) < size
+    assert len(pairs) == 1200 and min(max(r["score"] for r in pairs if r["query_id"] == i) for i in (0, 7, 299)) > 0.7
