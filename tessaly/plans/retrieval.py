@@ -12,6 +12,7 @@ from tessaly.operators.segmented import ranked
 from tessaly.plans.registry import query
 from tessaly.plans.views import WS, lines_sql, strip_sql, view, view_sql
 from tessaly.session import table
+from tessaly.sources.folders import materialise
 
 CHUNK_KEY = ["id", "chunk_index"]
 NEWEST_FIRST = ("-id", "-chunk_index")
@@ -196,9 +197,9 @@ def search_in_document(spark, sf_dir):
        LEFT JOIN (SELECT query_id, string_agg(concat('[相关片段 ', hit_rank, ']', chr(10), content), chr(10) || chr(10) ORDER BY hit_rank) AS context
          FROM hits JOIN chunks USING (owner, id, chunk_index) GROUP BY query_id) USING (query_id)""")
 def rag_context(spark, sf_dir):
-    hits = owner_hits(spark, sf_dir).join(
-        index_chunks(spark, sf_dir).select("id", "chunk_index", "content"), CHUNK_KEY
-    )
+    # Stored first, so that few hits go to the chunks and the chunks stay where they are.
+    hits = search_index.sent(materialise(owner_hits(spark, sf_dir), "hits"))
+    hits = hits.join(index_chunks(spark, sf_dir).select("id", "chunk_index", "content"), CHUNK_KEY)
     asked = view(spark, sf_dir, "asked")
     texts = retrieval.numbered_context(hits, ["query_id"])
     return asked.join(texts, "query_id", "left").select("query_id", F.coalesce("context", "query_text").alias("context"))

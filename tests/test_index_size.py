@@ -77,3 +77,11 @@ def test_small_scopes_leave_no_rows_per_term(spark):
     pairs = retrieval.score_pairs(spark.createDataFrame(rows, SCHEMA).repartition(4), asked, ["owner"], KEY, ["query_id"]).collect()
     assert sum(n for name, n in stored(spark).items() if name not in files) < size
     assert len(pairs) == 1200 and min(max(r["score"] for r in pairs if r["query_id"] == i) for i in (0, 7, 299)) > 0.7
+
+
+@pytest.mark.parametrize("name", ["r4_rag_context", "j12_context_bundle"])
+def test_few_hits_go_to_the_chunks(spark, name):
+    import __spark_entry__ as entry
+
+    frame = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert "strategy=broadcast" in frame._jdf.queryExecution().optimizedPlan().toString()
